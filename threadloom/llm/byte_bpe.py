@@ -19,12 +19,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import Memo, chunks, per_batch
+from threadloom.llm.memo import ChunkCoder
+from threadloom.llm.text import per_batch
 
 #: Pieces up to this many bytes are encoded in rows; longer ones alone.
 ROW_WIDTH = 32
-#: Entries of a worker's memo of pieces; about 150 MB.
-MEMO = 800_000
 _INF = np.int32(2**31 - 1)
 _MODELS: dict[tuple[str, str], ByteBpe] = {}
 
@@ -48,7 +47,7 @@ class ByteBpe:
         self._keys = np.array(sorted(pairs), dtype=np.int64)
         self._ranks = np.array([pairs[k] for k in self._keys.tolist()], dtype=np.int32)
         self._byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.memo = Memo(MEMO)
+        self.coder = ChunkCoder(self.encode_many)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -171,39 +170,21 @@ class ByteBpe:
                 out.update(zip(part, self.merge_rows(part, width), strict=True))
         return out
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of strings as little-endian 32-bit integers; each distinct match of the pattern is encoded once."""
+        matches = [self._matches(t) for t in texts]
+        ids = self._encode_pieces(list({p for some in matches for p in some}))
+        return [ids[some[0]] if len(some) == 1 else b"".join([ids[p] for p in some]) for some in matches]
+
+    def _matches(self, text: str) -> list[bytes]:
+        # a space and plain letters are one match and need no search
+        if text[:1] == " " and (word := text[1:]).isalpha() and max(word) < "\u0250":
+            return [text.encode()]
+        return [m.encode("utf-8", "surrogatepass") for m in self.pattern.findall(text)]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian 32-bit integers."""
-        split = [chunks(t) for t in texts]
-        wanted = set()
-        for parts in split:
-            wanted.update(parts[1:])
-        fresh = self.memo.missing(wanted)
-        known, find = self.memo.young, self.pattern.findall
-        stops = {c: self.ranks[c.encode()].to_bytes(4, "little") for c in ".,"}
-        # a plain word, with or without a stop behind it, needs no search by the pattern
-        plain, others = [], []
-        for c in fresh:
-            word = c[:-1] if c[-1:] in stops else c
-            if word.isalpha() and max(word) < "\u0250":
-                plain.append((c, word))
-            else:
-                others.append((c, [m.encode("utf-8", "surrogatepass") for m in find(" " + c)]))
-        heads = [[m.encode("utf-8", "surrogatepass") for m in find(parts[0])] for parts in split]
-        words = {word for _, word in plain if word not in known}
-        for word in [w for w in words if w in self.memo.old]:
-            known[word] = self.memo.old[word]
-            words.discard(word)
-        words = list(words)
-        pieces = {p for _, some in others for p in some}
-        pieces.update(p for some in heads for p in some)
-        ids = self._encode_pieces(list(pieces.difference(spaced := [(" " + w).encode() for w in words])) + spaced)
-        known.update(zip(words, map(ids.__getitem__, spaced), strict=True))
-        for c, word in plain:
-            if c is not word:
-                known[c] = known[word] + stops[c[-1]]
-        for c, some in others:
-            known[c] = b"".join([ids[p] for p in some])
-        return [b"".join([*(ids[p] for p in head), *map(known.__getitem__, parts[1:])]) for head, parts in zip(heads, split, strict=True)]
+        """Ids of whole texts as little-endian 32-bit integers, by way of the worker's memo of chunks."""
+        return self.coder.encode_batch(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

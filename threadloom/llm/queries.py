@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,53 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.quality_rules import apply_rules, fit
+
+    docs = _docs(spark, sf_dir)
+    return apply_rules(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(_docs(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.language_id import fit, predict
+
+    docs = _docs(spark, sf_dir)
+    return predict(docs, fit(docs))
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.simhash_dedup import near_duplicate_groups
+
+    groups = near_duplicate_groups(_docs(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.toxicity import fit, score
+
+    docs = _docs(spark, sf_dir)
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.sharding import interleave
+
+    placed = interleave(_docs(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.token_binary import token_files
+
+    return token_files(_docs(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +75,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
+    "op4_language_id": op4_language_id,
+    "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op8_sharding": op8_sharding,
+    "op9_token_binary": op9_token_binary,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows whose texts a task holds as Python objects at a time.
+ROWS = 1_000
+
 
 def fold_of(key: str, parts: int) -> Column:
     """crc32 of a key's text, modulo ``parts``; null keys give null."""
@@ -28,10 +32,12 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # memos of many small objects hold no cycles; scanning them takes a third of the time
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -50,20 +56,3 @@ def chunks(text: str) -> list[str]:
     """
     return _LONE_SPACE.split(text) if _NEXT_TO_SPACE.search(text) else text.split(" ")
 
-
-class Memo:
-    """A memo of two generations: when the young one is full it becomes the old one, and what is asked for again moves up."""
-
-    def __init__(self, most: int):
-        self.half, self.young, self.old = most // 2, {}, {}
-
-    def missing(self, wanted: set) -> list:
-        """Those of ``wanted`` that aren't known; the known ones are in ``young`` afterwards, until the next call."""
-        if len(self.young) + len(wanted) > self.half:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        absent = [w for w in wanted if w not in young]
-        if not old:
-            return absent
-        young.update((w, old[w]) for w in absent if w in old)
-        return [w for w in absent if w not in young]
