@@ -17,7 +17,6 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from threadloom.llm.memo import ChunkCoder
 from threadloom.llm.text import per_batch
@@ -190,26 +189,26 @@ class ByteBpe:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, n_tokens, ids, decoded)``: ids as little-endian 32-bit integers, and the bytes they decode to.
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids, round_trip)``: ids as little-endian 32-bit integers, and whether they decode to the text.
 
-    Null texts count as empty: no ids, no bytes. Repeated rows and null keys
-    are encoded like any other row. There is no shuffle; a worker keeps a
-    bounded memo of pieces, so memory doesn't grow with the input.
+    Null texts count as empty: no ids. Repeated rows and null keys are
+    encoded like any other row. There is no shuffle; a worker keeps a bounded
+    memo of chunks, so memory doesn't grow with the input.
     """
 
     def make():
         model = ByteBpe.load(path, pattern)
 
         def work(batch):
-            coded = model.encode_batch([t or "" for t in batch["text"]])
-            return {"k": batch["k"], "n_tokens": [len(c) // 4 for c in coded], "ids": coded, "decoded": [model.decode(c) for c in coded]}
+            texts = [t or "" for t in batch["text"]]
+            coded = model.encode_batch(texts)
+            same = [model.decode(c) == t.encode("utf-8", "surrogatepass") for c, t in zip(coded, texts, strict=True)]
+            return {"doc_id": batch["doc_id"], "n_tokens": [len(c) // 4 for c in coded], "ids": coded, "round_trip": same}
 
         return work
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    return per_batch(rows, make, f"k {kind}, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("k", key)
+    return per_batch(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids binary, round_trip boolean")
 
 
 def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -32,6 +32,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_docs(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.pii import span_digest
+
+    return span_digest(_docs(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadloom.llm.language_id import fit, predict
 
@@ -53,6 +59,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.decontaminate import find_leaks
+
+    return find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadloom.llm.sharding import interleave
 
@@ -77,9 +89,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
     "op9_token_binary": op9_token_binary,
     "op10_byte_bpe": op10_byte_bpe,

@@ -152,3 +152,114 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, seed: int = 42, crowd
     named = rooted.join(lowest, "root").select("fp", F.col("component_id").alias("linked_id"))
     named = first.join(named, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Seeds of the fingerprints that propose near copies; fixed odd numbers.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+#: Words of the shingles that propose, words of those that decide, and the similarity that makes a near copy.
+PROPOSE_WORDS, WORDS, SIMILAR = 2, 5, 0.8
+_NO_ID = 2**63 - 1
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
+class Shingler:
+    """Hashes of word shingles by way of word hashes, which a bounded memo holds."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.memo = most, {}
+
+    def hashes(self, text: str | None, words: int) -> np.ndarray:
+        """One 64-bit hash a shingle, in order; a text of fewer words is one shingle, one of none has none."""
+        from xxhash import xxh64_intdigest
+
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        memo, out = self.memo, []
+        for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
+            if (h := memo.get(w)) is None:
+                h = memo[w] = xxh64_intdigest(w)
+            out.append(h)
+        if not out:
+            return np.zeros(0, dtype=np.uint64)
+        w = np.array(out, dtype=np.uint64)
+        if len(w) < words:
+            w = np.concatenate([w, np.zeros(words - len(w), dtype=np.uint64)])
+        n = len(w) - words + 1
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(words):
+            h = _mix(h + w[i : i + n] * np.uint64(SEEDS[0]))
+        return h
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with the key of their text's class of exact copies; null counts as empty, rows without id come last."""
+    return docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+
+
+def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """Classes of exact copies ``(key, first_id, n)``, and verified links ``(src, dst)`` between class keys.
+
+    Several fingerprints a text propose pairs (a text that differs in a few
+    words keeps most of its fingerprints within three bits); a pair is a link
+    if the sets of five-word shingles have a Jaccard similarity of at least
+    ``similar``. Only texts that were proposed are shuffled.
+    """
+
+    def make():
+        shingler = Shingler()
+
+        def marks(text):
+            h = shingler.hashes(text, PROPOSE_WORDS)
+            return [fold_bits(_mix(h ^ np.uint64(s))) for s in SEEDS]
+
+        def work(batch):
+            return {"key": batch["_key"], "id": batch["_id"], "fps": [marks(t) for t in batch["text"]]}
+
+        return work
+
+    rows = per_batch(_keyed(docs).select("_key", "_id", "text"), make, "key string, id bigint, fps array<bigint>")
+    classes = materialize(rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("fps").alias("fps")), "classes")
+    marked = classes.select("key", F.explode(F.array_distinct("fps")).alias("fp"))
+    heads = materialize(marked.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
+    equal = marked.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    close = hamming_links(heads.select("fp"), crowded)
+    close = close.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
+    proposed = equal.unionByName(close).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    proposed = materialize(proposed, "proposed")
+
+    ends = proposed.select(F.explode(F.array("src", "dst")).alias("key")).distinct().join(classes.select("key", "first_id"), "key")
+
+    def shingled():
+        shingler = Shingler()
+
+        def work(batch):
+            return {"key": batch["_key"], "shingles": [np.unique(shingler.hashes(t, words)).view(np.int64).tolist() for t in batch["text"]]}
+
+        return work
+
+    texts = _keyed(docs).select("_key", "_id", "text").join(ends.withColumnRenamed("first_id", "_id"), "_id").where("_key = key").select("_key", "text")
+    sets = per_batch(texts, shingled, "key string, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "shingles")
+    both = proposed.join(sets.select(F.col("key").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("key").alias("dst"), F.col("shingles").alias("y")), "dst")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.select("src", "dst", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("c") >= similar * F.col("u")).select("src", "dst")
+    return classes.select("key", "first_id", "n"), links
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each group of exact and near copies: that of the smallest doc_id.
+
+    A row without id stays only if no copy has one. Empty texts are copies of
+    each other. An empty table gives no rows.
+    """
+    classes, links = near_copy_links(docs, similar, words)
+    roots = connected_components(materialize(links, "links"))
+    placed = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    keep = placed.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("k")).select(F.col("k.first_id").alias("_id"), F.col("k.key").alias("_kept"))
+    kept = _keyed(docs).join(keep, "_id").where("_key = _kept")
+    return kept.dropDuplicates(["_id", "_kept"]).select(*docs.columns)

@@ -272,6 +272,32 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = 4, held: int | N
     return {"cost": cost, "features": features, "weights": weights}
 
 
+class Scorer:
+    def __init__(self, model: dict):
+        self.reader, self.weights = Reader(model["cost"], model["features"]), model["weights"]
+
+    def score(self, text: str | None) -> float:
+        found = list(self.reader.text(text))
+        logit = float(self.weights[-1]) + (float(self.weights[found].sum()) if found else 0.0)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+
+
+def without_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; one map, all columns kept."""
+    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def make():
+        scorer = Scorer(model)
+
+        def work(batch):
+            clean = [i for i, t in enumerate(batch["text"]) if scorer.score(t) < threshold]
+            return {n: [batch[n][i] for i in clean] for n in names}
+
+        return work
+
+    return per_batch(docs, make, schema)
+
+
 def score(docs: DataFrame, model: dict, folds: int = 4, held: int = 2) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row.
 
@@ -280,14 +306,10 @@ def score(docs: DataFrame, model: dict, folds: int = 4, held: int = 2) -> DataFr
     """
 
     def make():
-        reader, weights = Reader(model["cost"], model["features"]), model["weights"]
-
-        def one(text):
-            found = list(reader.text(text))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[found].sum() if found else 0.0) + float(weights[-1])))))
+        scorer = Scorer(model)
 
         def work(batch):
-            scores = [one(t) for t in batch["text"]]
+            scores = [scorer.score(t) for t in batch["text"]]
             return {
                 "doc_id": batch["doc_id"],
                 "held_out": [crc_fold(k, folds) == held for k in batch["doc_id"]],
