@@ -33,7 +33,7 @@ OTHER = "identifier"
 #: 8 to 64 letters and digits, a digit among them.
 CANDIDATE = r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,63}[0-9])[0-9A-Za-z]{8,64}+(?![0-9A-Za-z])"
 #: Words before an assignment whose values are seeds.
-SEED_WORDS = ("password", "passwd", "secret", "api_key", "apikey")
+SEED_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key")
 ROUNDS, ACCEPT, SUPPORT, PATTERNS = 3, 0.5, 3, 1_000
 _CHUNK = 256
 
