@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 
 from threadloom.storage import materialize
 
+ROWS_A_FILE = 500_000
+
 
 def _oriented(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is linked to the node's smallest neighbour."""
+    """Each larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the smallest of them."""
+    """A node and its smaller neighbours are linked to the smallest of them; the larger end comes first."""
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
     links = edges.join(lowest, "u")
-    return links.select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-        lowest.select("u", F.col("m").alias("v"))
-    )
+    return links.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -47,6 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == before or not row["n"]:
             break
         before = now
-        state = materialize(_oriented(_small_star(_oriented(_large_star(state)))), "cc")
+        # small graphs are kept in few files, so a round has few tasks
+        state = materialize(_small_star(_large_star(state)).coalesce(1 + row["n"] // ROWS_A_FILE), "cc")
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
