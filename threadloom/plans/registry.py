@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from threadloom.plans import q_people, q_scalar, q_sources, q_views
+
+QUERIES = q_scalar.QUERIES | q_people.QUERIES | q_views.QUERIES | q_sources.QUERIES
+SQL = q_scalar.SQL | q_people.SQL | q_views.SQL | q_sources.SQL
