@@ -42,27 +42,44 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once; inside a lambda a plain column expression is computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _prefix_sums(lengths: Column) -> Column:
     """Sums of all earlier elements, in chunks so that long arrays stay cheap."""
-    n = F.size(lengths)
     plus = lambda a, b: a + b
     zero = F.lit(0)
-    chunks = F.when(n > 0, F.sequence(zero, F.floor((n - 1) / _CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    sums = F.transform(chunks, lambda c: F.aggregate(F.slice(lengths, c * _CHUNK + 1, F.lit(_CHUNK)), zero, plus))
-    before = F.transform(sums, lambda _, c: F.aggregate(F.slice(sums, F.lit(1), c), zero, plus))
-    return F.transform(
+    chunk = lambda i: F.floor(i / _CHUNK).cast("int")
+
+    def chunk_sums(x: Column) -> Column:
+        n = F.size(x)
+        starts = F.when(n > 0, F.sequence(zero, chunk(n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda c: F.aggregate(F.slice(x, c * _CHUNK + 1, F.lit(_CHUNK)), zero, plus))
+
+    def prefixes(x: Column, before: Column) -> Column:
+        return F.transform(x, lambda _, i: F.get(before, chunk(i)) + F.aggregate(F.slice(x, chunk(i) * _CHUNK + 1, i % _CHUNK), zero, plus))
+
+    return _let(
         lengths,
-        lambda _, i: F.get(before, F.floor(i / _CHUNK).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK), zero, plus),
+        lambda x: _let(chunk_sums(x), lambda sums: _let(F.transform(sums, lambda _, c: F.aggregate(F.slice(sums, F.lit(1), c), zero, plus)), lambda before: prefixes(x, before))),
     )
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, match, gap): leftmost non-overlapping matches with code-point starts and the text since the last one."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("gap")))
-    ends = _prefix_sums(F.transform(pairs, lambda p: F.char_length(p["m"]) + F.char_length(p["gap"])))
-    return F.transform(pairs, lambda p, i: F.struct((F.get(ends, i) + F.char_length(p["gap"])).alias("start"), p["m"].alias("m"), F.right(p["gap"], F.lit(48)).alias("gap")))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def place(x: Column) -> Column:
+        gap = lambda i: F.get(x["gaps"], i)
+        lengths = F.transform(x["found"], lambda m, i: F.char_length(m) + F.char_length(gap(i)))
+        row = lambda before: F.transform(
+            x["found"], lambda m, i: F.struct((F.get(before, i) + F.char_length(gap(i))).alias("start"), m.alias("m"), F.right(gap(i), F.lit(48)).alias("gap"))
+        )
+        return _let(_prefix_sums(lengths), row)
+
+    return _let(both, place)
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -187,8 +204,8 @@ def mask(docs: DataFrame, contexts: list[str]) -> DataFrame:
     them, stay as they are.
     """
     names = docs.columns
-    kept = docs.select(*names, F.col("text").alias("_raw"))
-    rows = find_spans(kept, contexts, keep=[*names, "_raw"])
+    # the row travels as one column, so its names meet none of those made here
+    rows = find_spans(docs.select(F.struct(*names).alias("_row"), "text"), contexts, keep=["_row"])
     order = F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     kind = "array<struct<start:int,end:int,kind:string>>"
 
@@ -207,8 +224,8 @@ def mask(docs: DataFrame, contexts: list[str]) -> DataFrame:
         ),
     )
     tail = F.expr("substring(_text, element_at(_spans, -1).end + 1)")
-    text = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("_raw"))
-    masked = rows.withColumn("text", text)
+    masked = rows.withColumn("_masked", F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("_row.text")))
+    new = {"text": F.col("_masked")}
     if "n_chars" in names:
-        masked = masked.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return masked.select(*names)
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("_masked").cast("bigint")).otherwise(F.col("_row.n_chars"))
+    return masked.select(*(new.get(n, F.col("_row")[n]).alias(n) for n in names))
