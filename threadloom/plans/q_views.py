@@ -105,9 +105,9 @@ def assign_sequence(spark, sf):
     return R.assign_sequence(rows, "part", "o").select("target", "seq0", "seq")
 
 
-@query("latest_fact_wins", sql("items", "SELECT target, arg_max(supplier, (date, seq)) AS supplier, arg_max(CASE WHEN seq % 2 = 0 THEN part END, (date, seq)) FILTER (seq % 2 = 0) AS part FROM items GROUP BY target"))
+@query("latest_fact_wins", sql("items", "SELECT target, arg_max(supplier, (date, seq, supplier, part)) AS supplier, arg_max(CASE WHEN seq % 2 = 0 THEN part END, (date, seq, supplier, part)) FILTER (seq % 2 = 0) AS part FROM items GROUP BY target"))
 def latest_fact_wins(spark, sf):
-    facts = t.items(spark, sf).select("target", "date", "seq", "supplier", F.when(F.col("seq") % 2 == 0, F.col("part")).alias("part"))
+    facts = t.items(spark, sf).select("target", "date", F.struct("seq", "supplier", "part").alias("seq"), "supplier", F.when(F.col("seq") % 2 == 0, F.col("part")).alias("part"))
     return R.latest_fact_wins(facts, "target", ["supplier", "part"])
 
 
@@ -292,9 +292,9 @@ def fold_duplicates(spark, sf):
     return t.items(spark, sf).join(mapping, "part").groupBy(F.col("keep").alias("id")).agg(F.count("*").alias("bullets"))
 
 
-@query("provenance_count", sql("items", "SELECT target, count(DISTINCT ref) AS refs, arg_max(ref, (date, seq)) AS newest FROM items GROUP BY target"))
+@query("provenance_count", sql("items", "SELECT target, count(DISTINCT ref) AS refs, arg_max(ref, (date, seq, ref)) AS newest FROM items GROUP BY target"))
 def provenance_count(spark, sf):
-    return t.items(spark, sf).groupBy("target").agg(F.count_distinct("ref").alias("refs"), F.max_by("ref", F.struct("date", "seq")).alias("newest"))
+    return t.items(spark, sf).groupBy("target").agg(F.count_distinct("ref").alias("refs"), F.max_by("ref", F.struct("date", "seq", "ref")).alias("newest"))
 
 
 @query("cleanup_summary", sql("projects commitments", f"SELECT 'duplicates' AS finding, count(*) AS n FROM (SELECT title, company FROM projects GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'overdue', count(*) FROM commitments WHERE status = 'open' AND due < {_TODAY}"))
@@ -368,9 +368,9 @@ def merge_companies(spark, sf):
     return t.projects(spark, sf).groupBy(F.col("company").alias("key")).agg(F.max("size").alias("size"), F.count("*").alias("n"))
 
 
-@query("merge_projects", sql("projects items", "SELECT p.id, arg_max(i.supplier, (i.date, i.target, i.seq)) AS supplier FROM projects p JOIN items i ON i.part = p.id GROUP BY p.id"))
+@query("merge_projects", sql("projects items", "SELECT p.id, arg_max(i.supplier, (i.date, i.target, i.seq, i.supplier)) AS supplier FROM projects p JOIN items i ON i.part = p.id GROUP BY p.id"))
 def merge_projects(spark, sf):
-    facts = t.items(spark, sf).select(F.col("part").alias("id"), "supplier", "date", F.struct("target", "seq").alias("seq"))
+    facts = t.items(spark, sf).select(F.col("part").alias("id"), "supplier", "date", F.struct("target", "seq", "supplier").alias("seq"))
     return R.latest_fact_wins(facts, "id", ["supplier"])
 
 
@@ -448,10 +448,10 @@ def sliding_send_count(spark, sf):
     return t.records(spark, sf).where("is_from_me").withColumn("s", F.unix_seconds("ts")).select("id", F.count("*").over(by).alias("day"))
 
 
-@query("batch_ledger_state", sql("items", "SELECT target, arg_max(CASE supplier % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'written' ELSE 'merged' END, (date, seq)) AS status, count(*) AS attempts FROM items GROUP BY target HAVING count(*) < 3"))
+@query("batch_ledger_state", sql("items", "SELECT target, arg_max(CASE supplier % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'written' ELSE 'merged' END, (date, seq, supplier)) AS status, count(*) AS attempts FROM items GROUP BY target HAVING count(*) < 3"))
 def batch_ledger_state(spark, sf):
     status = F.when(F.col("supplier") % 3 == 0, "pending").when(F.col("supplier") % 3 == 1, "written").otherwise("merged")
-    return t.items(spark, sf).withColumn("status", status).groupBy("target").agg(F.max_by("status", F.struct("date", "seq")).alias("status"), F.count("*").alias("attempts")).where("attempts < 3")
+    return t.items(spark, sf).withColumn("status", status).groupBy("target").agg(F.max_by("status", F.struct("date", "seq", "supplier")).alias("status"), F.count("*").alias("attempts")).where("attempts < 3")
 
 
 @query("calendar_refresh_window", sql("records", "SELECT id FROM records WHERE kind = 'meeting' AND (ts > TIMESTAMP '2024-01-28' OR ts BETWEEN TIMESTAMP '2024-01-14' AND TIMESTAMP '2024-01-20')"))
