@@ -238,4 +238,4 @@ def speakers(c: Column) -> Column:
 def section_text(c: Column, start: str, end: str) -> Column:
     """Text between two marks, null without both."""
     found = F.regexp_extract(c, f"(?s){start}(.*?){end}", 1)
-    return F.when(c.rlike(f"(?s){start}.*?{end}"), F.trim(found))
+    return F.when(c.rlike(f"(?s){start}.*?{end}"), trim_space(found))
