@@ -20,7 +20,7 @@ def digits(c: Column) -> Column:
 
 def trim_space(c: Column) -> Column:
     """Unicode white space off both ends; Spark's own trim takes the plain space only."""
-    return F.regexp_replace(c, r"^[\s  - 　﻿]+|[\s  - 　﻿]+$", "")
+    return F.regexp_replace(c, r"^[\s\u00a0\u2000-\u200a\u3000\ufeff]+|[\s\u00a0\u2000-\u200a\u3000\ufeff]+$", "")
 
 
 def let(c: Column, f) -> Column:

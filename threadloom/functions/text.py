@@ -166,12 +166,12 @@ def html_to_text(c: Column) -> Column:
     s = F.regexp_replace(s, r"<[^>]*>", " ")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(entity), F.lit(sign))
-    s = F.regexp_replace(F.regexp_replace(s, r"[ \t ]+", " "), r" ?\n ?", "\n")
+    s = F.regexp_replace(F.regexp_replace(s, r"[ \t\u00a0]+", " "), r" ?\n ?", "\n")
     return trim_space(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
 
 def clean_text(c: Column) -> Column:
-    s = F.regexp_replace(c, r"[\u0000‎‏‪-‮⁦-⁩￼﻿]", "")
+    s = F.regexp_replace(c, r"[\u0000\u200e\u200f\u202a-\u202e\u2066-\u2069\ufffc\ufeff]", "")
     return trim_space(F.regexp_replace(F.regexp_replace(s, r"\r\n?", "\n"), r"\n{3,}", "\n\n"))
 
 
