@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,66 +32,74 @@ from threadloom.storage import materialize
 #: Ids of a segment; a longer document has a segment of its own.
 SEGMENT_TOKENS = 1_000_000
 #: Rounds of replacement, pairs replaced in a round, and the least count that pays.
-ROUNDS, PAIRS, LEAST = 12, 4096, 8
+ROUNDS, PAIRS, LEAST = 8, 8192, 8
 END_ID = 0
 _MAGIC = b"RPTK"
-_BINS = 1 << 20
-_CODERS: dict[str, ChunkCoder] = {}
+_BIN_BITS = 18
+_MODELS: dict = {}
 
 
 def coder(path: str) -> ChunkCoder:
-    """A worker's encoder for a file of the tokenizers library; strings of special tokens are ordinary text."""
-    if path not in _CODERS:
+    """A task's encoder for a file of the tokenizers library; strings of special tokens are ordinary text."""
+    if path not in _MODELS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
+        _MODELS[path] = Tokenizer.from_file(path)
+        _MODELS[path].encode_special_tokens = True
+    model = _MODELS[path]
 
-        def encode_many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode_many(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _CODERS[path] = ChunkCoder(encode_many)
-    return _CODERS[path]
+    return ChunkCoder(encode_many)
 
 
-def _frequent_pairs(keys: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Sorted keys of the most frequent pairs; a hashed count picks the few that are counted exactly."""
-    bins = (keys * np.int64(-7046029254386353131)) >> np.int64(44) & (_BINS - 1)
-    many = keys[np.bincount(bins, minlength=_BINS)[bins] >= least]
-    if not many.size:
-        return many
-    found, counts = np.unique(many, return_counts=True)
-    found, counts = found[counts >= least], counts[counts >= least]
-    if len(found) > most:
-        found = found[np.argpartition(-counts, most)[:most]]
-    return np.sort(found)
+def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B)) + (left << np.uint32(7))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - _BIN_BITS)
 
 
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """``(symbols, rules)`` of ids; rule i is a pair of symbols named ``first + i``. The end id joins no pair."""
-    seq, rules = ids.astype(np.int64), []
+    """``(symbols, rules)`` of ids; rule i is a pair of symbols named ``first + i``. The end id joins no pair.
+
+    A round hashes all pairs into bins, lets the last pair of each bin stand
+    for it, counts those pairs exactly, and replaces the most frequent ones
+    all at once; a pair that lost its bin has its chance in a later round.
+    """
+    seq, rules = ids.astype(np.uint32), []
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = seq[:-1] << 32 | seq[1:]
-        open_ = (seq[:-1] != END_ID) & (seq[1:] != END_ID)
-        chosen = _frequent_pairs(keys[open_], least, pairs)
-        if not chosen.size:
+        left, right = seq[:-1], seq[1:]
+        inner = (left != END_ID) & (right != END_ID)
+        bins = _bins(left, right)
+        stands = np.zeros(1 << _BIN_BITS, dtype=np.int64)
+        stands[bins] = np.arange(len(bins))
+        chief = stands[bins]
+        same = (left == left[chief]) & (right == right[chief]) & inner
+        counts = np.bincount(bins[same], minlength=1 << _BIN_BITS)
+        good = np.flatnonzero(counts >= least)
+        if not good.size:
             break
-        at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = (chosen[at] == keys) & open_
+        if len(good) > pairs:
+            good = good[np.argpartition(-counts[good], pairs)[:pairs]]
+        chosen = np.zeros(1 << _BIN_BITS, dtype=bool)
+        chosen[good] = True
         # of neighbouring hits that overlap, every second one counts
-        place = np.flatnonzero(hit)
+        place = np.flatnonzero(same & chosen[bins])
         breaks = np.flatnonzero(np.diff(place, prepend=-2) != 1)
         run = np.arange(len(place)) - np.repeat(breaks, np.diff(np.append(breaks, len(place))))
         place = place[run % 2 == 0]
-        used = np.unique(at[place])
-        name = np.full(len(chosen), -1, dtype=np.int64)
+        used = np.unique(bins[place])
+        name = np.zeros(1 << _BIN_BITS, dtype=np.uint32)
         name[used] = first + len(rules) + np.arange(len(used))
-        rules.extend(zip((chosen[used] >> 32).tolist(), (chosen[used] & 0xFFFFFFFF).tolist(), strict=True))
-        seq[place] = name[at[place]]
-        seq = np.delete(seq, place + 1)
+        heads = stands[used]
+        rules.extend(zip(left[heads].tolist(), right[heads].tolist(), strict=True))
+        made = name[bins[place]]
+        keep = np.ones(len(seq), dtype=bool)
+        keep[place + 1] = False
+        seq[place] = made
+        seq = seq[keep]
     return seq, np.array(rules, dtype=np.int64).reshape(-1, 2)
 
 
