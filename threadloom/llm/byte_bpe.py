@@ -46,7 +46,6 @@ class ByteBpe:
         self._keys = np.array(sorted(pairs), dtype=np.int64)
         self._ranks = np.array([pairs[k] for k in self._keys.tolist()], dtype=np.int32)
         self._byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.coder = ChunkCoder(self.encode_many)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -182,8 +181,8 @@ class ByteBpe:
         return [m.encode("utf-8", "surrogatepass") for m in self.pattern.findall(text)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian 32-bit integers, by way of the worker's memo of chunks."""
-        return self.coder.encode_batch(texts)
+        """Ids of whole texts as little-endian 32-bit integers."""
+        return ChunkCoder(self.encode_many).encode_batch(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -199,10 +198,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         model = ByteBpe.load(path, pattern)
+        coder = ChunkCoder(model.encode_many)  # its memo lives as long as the task
 
         def work(batch):
             texts = [t or "" for t in batch["text"]]
-            coded = model.encode_batch(texts)
+            coded = coder.encode_batch(texts)
             same = [model.decode(c) == t.encode("utf-8", "surrogatepass") for c, t in zip(coded, texts, strict=True)]
             return {"doc_id": batch["doc_id"], "n_tokens": [len(c) // 4 for c in coded], "ids": coded, "round_trip": same}
 
@@ -216,9 +216,10 @@ def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         model = ByteBpe.load(path, pattern)
+        coder = ChunkCoder(model.encode_many)  # its memo lives as long as the task
 
         def work(batch):
-            coded = model.encode_batch([t or "" for t in batch["text"]])
+            coded = coder.encode_batch([t or "" for t in batch["text"]])
             return {
                 "doc_id": batch["doc_id"],
                 "n_tokens": [len(c) // 4 for c in coded],

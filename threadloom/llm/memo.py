@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from threadloom.llm.text import chunks
 
-#: Entries of a worker's memo of chunks; about 100 MB.
-MOST = 600_000
+#: Entries of a task's memo of chunks; about 80 MB.
+MOST = 400_000
 
 
 class ChunkCoder:
@@ -15,13 +15,15 @@ class ChunkCoder:
 
     ``encode_many`` gives the ids of strings as little-endian 32-bit integers.
     The memo has two generations: when the young one is full it becomes the
-    old one, and what is met again moves up, so frequent words stay.
+    old one, and what is met again moves up. What moved up once is taken along
+    at the next change, so frequent words stay.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = MOST):
         self.encode_many, self.half = encode_many, most // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.lasting: list[str] = []
         self.stops = dict(zip(".,", encode_many([".", ","]), strict=True))
 
     def _learn(self, wanted: dict[str, None]) -> None:
@@ -30,6 +32,7 @@ class ChunkCoder:
         for c in wanted:
             if (v := old.get(c)) is not None:
                 young[c] = v
+                self.lasting.append(c)
             elif c[-1:] in stops and (word := c[:-1]).isalpha():
                 # a stop behind letters is a match of its own
                 stopped.append((c, word))
@@ -47,7 +50,8 @@ class ChunkCoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
+            taken = {c: self.young[c] for c in self.lasting[-self.half // 2 :]}
+            self.old, self.young, self.lasting = self.young, taken, list(taken)
         split, found, wanted, get = [], [], {}, self.young.get
         for text in texts:
             parts = chunks(text)

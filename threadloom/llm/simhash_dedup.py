@@ -170,7 +170,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of word shingles by way of word hashes, which a bounded memo holds."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.memo = most, {}
 
     def hashes(self, text: str | None, words: int) -> np.ndarray:

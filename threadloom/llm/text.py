@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows whose texts a task holds as Python objects at a time.
-ROWS = 1_000
+ROWS = 500
 
 
 def fold_of(key: str, parts: int) -> Column:
@@ -33,17 +33,22 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # memos of many small objects hold no cycles; scanning them takes a third of the time
-        work = make()
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            work = make()
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(start, ROWS)
+                    out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:
+            work = out = None  # a worker serves many tasks: nothing of one stays for the next
+            gc.enable()
+            gc.collect()
 
     return df.mapInArrow(run, schema)
 
 
-_NEXT_TO_SPACE = re.compile(r"\s | \s")
+_ODD_SPACE = re.compile(r"[^\S \n]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -54,5 +59,7 @@ def chunks(text: str) -> list[str]:
     back over it, so the pieces can be tokenized apart: the first as it is,
     each of the others with its space put back in front.
     """
-    return _LONE_SPACE.split(text) if _NEXT_TO_SPACE.search(text) else text.split(" ")
+    if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
+        return _LONE_SPACE.split(text)
+    return text.split(" ")
 

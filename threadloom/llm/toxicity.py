@@ -36,7 +36,7 @@ _DROPPED = "*.-_~'`^"
 _EDGE = "\"'()[]{}<>,.;:?!#*%&|$~`_-…"
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _MOST = 40  # longer tokens aren't words in hiding
-_MEMO = 400_000
+_MEMO = 200_000
 
 
 def _codes(text: str) -> np.ndarray:
