@@ -58,7 +58,7 @@ class ChunkCoder:
             values = list(map(get, parts))
             values[0] = b""
             if None in values:
-                wanted.update((c, None) for c, v in zip(parts, values) if v is None)
+                wanted.update(dict.fromkeys([c for c, v in zip(parts, values, strict=True) if v is None]))
             split.append(parts)
             found.append(values)
         self._learn(wanted)

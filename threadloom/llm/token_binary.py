@@ -32,27 +32,31 @@ from threadloom.storage import materialize
 #: Ids of a segment; a longer document has a segment of its own.
 SEGMENT_TOKENS = 1_000_000
 #: Rounds of replacement, pairs replaced in a round, and the least count that pays.
-ROUNDS, PAIRS, LEAST = 8, 8192, 8
+ROUNDS, PAIRS, LEAST = 5, 8192, 8
 END_ID = 0
 _MAGIC = b"RPTK"
 _BIN_BITS = 18
-_MODELS: dict = {}
+_CODERS: dict[str, ChunkCoder] = {}
 
 
 def coder(path: str) -> ChunkCoder:
-    """A task's encoder for a file of the tokenizers library; strings of special tokens are ordinary text."""
-    if path not in _MODELS:
+    """A worker's encoder for a file of the tokenizers library; strings of special tokens are ordinary text.
+
+    The library is slow on words it sees for the first time, so the memo lasts
+    as long as the worker; it holds about 200 MB at most.
+    """
+    if path not in _CODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _MODELS[path] = Tokenizer.from_file(path)
-        _MODELS[path].encode_special_tokens = True
-    model = _MODELS[path]
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = True
 
-    def encode_many(texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        def encode_many(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return ChunkCoder(encode_many)
+        _CODERS[path] = ChunkCoder(encode_many, 1_000_000)
+    return _CODERS[path]
 
 
 def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -113,7 +117,8 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], first: int) -> bytes:
     """A segment's bytes; every document's ids end with the end id, which occurs nowhere else in ``ids``."""
-    body = np.concatenate([np.append(x + 1, END_ID) for x in ids]) if ids else np.zeros(0, dtype=np.int64)
+    end = np.zeros(1, dtype=np.uint32)
+    body = np.concatenate([y for x in ids for y in (x.astype(np.uint32) + np.uint32(1), end)]) if ids else end[:0]
     symbols, rules = compress(body, first + 1)
     ends = np.flatnonzero(symbols == END_ID)
     head = np.array([1, len(doc_ids), len(rules), len(symbols), first + 1], dtype="<u4")
@@ -219,7 +224,7 @@ def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", voca
                 piece = batch.slice(start, 1000)
                 coded = model.encode_batch([t or "" for t in piece.column(1).to_pylist()])
                 for key, code in zip(piece.column(0).to_pylist(), coded, strict=True):
-                    one = np.frombuffer(code, dtype="<u4").astype(np.int64)
+                    one = np.frombuffer(code, dtype="<u4")
                     if held and held + len(one) > SEGMENT_TOKENS:
                         yield flush()
                     keys.append(key)
