@@ -205,3 +205,39 @@ def queue_scan(spark, sf):
 @query("table_functions", sql("thread_records", "SELECT id, length(string_split(text, chr(10))) AS lines FROM thread_records"))
 def table_functions(spark, sf):
     return t.thread_records(spark, sf).select("id", F.explode(F.split("text", "\n")).alias("l")).groupBy("id").agg(F.count("*").alias("lines"))
+
+
+@query("source_plugin", sql("records thread_records", "SELECT 'events' AS plugin, count(*) AS n FROM records UNION ALL SELECT 'chats', count(*) FROM thread_records"))
+def source_plugin(spark, sf):
+    from threadloom.sources.plugins import Source, extract_all
+
+    found = extract_all(spark, [Source("events", lambda s: None, lambda s: t.records(s, sf)), Source("chats", lambda s: None, lambda s: t.thread_records(s, sf)), Source("none", lambda s: "no_data", lambda s: t.records(s, sf))])
+    return found.groupBy("plugin").agg(F.count("*").alias("n"))
+
+
+@query("scrub_override", "SELECT doc_id, regexp_replace(text, '[0-9]', '#', 'g') AS scrubbed FROM documents")
+def scrub_override(spark, sf):
+    from threadloom.sources.plugins import scrub_with
+
+    return scrub_with(t.read(spark, sf, "documents").select("doc_id", "text"), lambda c: F.regexp_replace(c, "[0-9]", "#")).select("doc_id", "scrubbed")
+
+
+@query("transcriber_hook", sql("thread_records", "SELECT id AS path, CASE WHEN turn % 2 = 0 THEN 'Ann: ' || length(encode(text)) ELSE '' END AS text, turn % 2 = 1 AS needs_transcript FROM thread_records".replace("length(encode(text))", "octet_length(encode(text))")))
+def transcriber_hook(spark, sf):
+    from threadloom.sources.plugins import transcribe
+
+    files = t.thread_records(spark, sf).select(F.concat("id", F.when(F.col("turn") % 2 == 1, "!").otherwise("")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    heard = transcribe(files, lambda content, path: None if path.endswith("!") else [("Ann", str(len(content)))])
+    return heard.withColumn("path", F.regexp_replace("path", "!$", ""))
+
+
+@query("cleanup_apply", sql("projects items commitments", "SELECT 'folded' AS step, count(*) AS n FROM (SELECT id, first_value(id) OVER (PARTITION BY title, company ORDER BY size DESC, id) AS keep FROM projects) WHERE id <> keep UNION ALL SELECT 'closed', count(*) FROM commitments WHERE status = 'open' AND id % 4 = 0 UNION ALL SELECT 'bullets', count(*) FROM items WHERE part IN (SELECT id FROM projects)"))
+def cleanup_apply(spark, sf):
+    """Duplicates are folded and their bullets moved, confirmed commitments are closed; each step's rows are counted."""
+    order = Window.partitionBy("title", "company").orderBy(F.desc("size"), "id")
+    mapping = t.projects(spark, sf).select(F.col("id").alias("part"), F.first("id").over(order).alias("keep"))
+    moved = t.items(spark, sf).join(mapping, "part").withColumn("part", F.col("keep"))
+    before = t.commitments(spark, sf).select("id", F.col("status").alias("old"))
+    closed = apply_resolved(spark, sf).join(before, "id").where("status <> old")
+    part = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n")
+    return part(mapping.where("part <> keep"), "folded").unionByName(part(closed, "closed")).unionByName(part(moved, "bullets"))
