@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as D
 from threadloom.llm import simhash_dedup as S
+from threadloom.operators.graph import connected_components
 
 
 def brute_fp(text):
@@ -101,6 +102,45 @@ def test_one_of_each_keeps_one_and_leaves_others(make):
     assert 60 not in left and len(left & {61, 62}) == 1 and len(left & {63, 64}) == 1
 
 
+def brute_kept(texts, similar=0.8, k=5):
+    """Smallest number of each component of pairs with a Jaccard similarity of ``similar`` or more."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a, texts[j], k) >= similar:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_one_of_each_in_crowded_families_equals_brute_force(make):
+    rng = random.Random(22)
+    texts = []
+    for _ in range(4):  # chains: neighbours are near copies, far ones are not, nor are most to any one centre
+        text = [f"u{rng.randrange(4000)}" for _ in range(100)]
+        for _ in range(30):
+            text = list(text)
+            for _ in range(rng.randrange(1, 4)):
+                text[rng.randrange(100)] = f"u{rng.randrange(4000)}"
+            texts.append(" ".join(text))
+    rng.shuffle(texts)
+    want = brute_kept(texts)
+    for crowded in (0, 512):
+        classes, links = S.near_copy_links(make(texts), crowded=crowded)
+        ids = {r["key"]: r["first_id"] for r in classes.collect()}
+        root = {r["node"]: r["root"] for r in connected_components(links).collect()}
+        lowest = {}
+        for key, i in ids.items():
+            lowest[root.get(key, key)] = min(i, lowest.get(root.get(key, key), i))
+        assert set(lowest.values()) == want
+
+
 def test_one_of_each_keeps_unlike_texts(make):
     rng = random.Random(1)
     texts = [" ".join(str(rng.randrange(10_000)) for _ in range(80)) for _ in range(60)]

@@ -158,6 +158,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, seed: int = 42, crowd
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
 #: Words of the shingles that propose, words of those that decide, and the similarity that makes a near copy.
 PROPOSE_WORDS, WORDS, SIMILAR = 2, 5, 0.8
+#: Turns in which crowded buckets of a shingle are held against one text; they save pairs and drop none.
+STARS = 2
+_BIN_BITS, _BIN_MASK, _PIECES = 20, np.uint64((1 << 20) - 1), 16
 _NO_ID = 2**63 - 1
 
 
@@ -201,39 +204,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID)))
 
 
-def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
-    """Classes of exact copies ``(key, first_id, n)``, and verified links ``(src, dst)`` between class keys.
+def _shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """Texts a shingle occurs in, counted by bins of its hash; a task sends sums in pieces, never shingles.
 
-    Six fingerprints a text propose pairs: about nine in ten pairs of
-    similarity 0.8 or more have one within three bits, nearly all at 0.95, and
-    a group holds together if each of its texts has one such partner. A pair is a link
-    if the sets of five-word shingles have a Jaccard similarity of at least
-    ``similar``. Only texts that were proposed are shuffled.
+    Bins only order shingles from rare to common, so two in one bin cost time, never a pair.
     """
 
-    def make():
-        shingler = Shingler()
+    def count(batches):
+        import pyarrow as pa
 
-        def marks(text):
-            h = shingler.hashes(text, PROPOSE_WORDS)
-            return [fold_bits(_mix(h ^ np.uint64(s))) for s in SEEDS]
+        shingler, sums, held, size = Shingler(), np.zeros(1 << _BIN_BITS, dtype=np.int64), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(np.unique(shingler.hashes(text.as_py(), words)))
+                size += len(held[-1])
+                if size > _STEP * 8:
+                    sums += np.bincount((np.concatenate(held) & _BIN_MASK).astype(np.int64), minlength=len(sums))
+                    held, size = [], 0
+        if held:
+            sums += np.bincount((np.concatenate(held) & _BIN_MASK).astype(np.int64), minlength=len(sums))
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(_PIECES), pa.int32()), "n": pa.array([x.tobytes() for x in np.split(sums, _PIECES)], pa.binary())})
 
-        def work(batch):
-            return {"key": batch["_key"], "id": batch["_id"], "fps": [marks(t) for t in batch["text"]]}
+    def add(batches):
+        import pyarrow as pa
 
-        return work
+        sums = {}
+        for batch in batches:
+            for piece, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(n, dtype=np.int64)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "n": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    shape, out = "piece int, n binary", np.zeros((_PIECES, (1 << _BIN_BITS) // _PIECES), dtype=np.int64)
+    for piece, n in docs.select("text").mapInArrow(count, shape).repartition(_PIECES, "piece").mapInArrow(add, shape).collect():
+        out[piece] = np.frombuffer(bytes(n), dtype=np.int64)
+    return out.reshape(-1)
+
+
+def prefix_of(shingles: np.ndarray, counts: np.ndarray, similar: float) -> np.ndarray:
+    """The rarest of distinct shingles, rarest first: as many that any set of at least ``similar`` holds one of them among its own."""
+    order = np.lexsort((shingles, counts[(shingles & _BIN_MASK).astype(np.int64)]))
+    return shingles[order[: len(shingles) - int(np.ceil(similar * len(shingles) - 1e-9)) + 1]] if len(shingles) else shingles
 
-    rows = per_batch(_keyed(docs).select("_key", "_id", "text"), make, "key string, id bigint, fps array<bigint>")
-    classes = materialize(rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("fps").alias("fps")), "classes")
-    marked = classes.select("key", F.explode(F.array_distinct("fps")).alias("fp"))
-    heads = materialize(marked.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
-    equal = marked.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    close = hamming_links(heads.select("fp"), crowded)
-    close = close.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
-    proposed = equal.unionByName(close).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    proposed = materialize(proposed, "proposed")
 
-    ends = proposed.select(F.explode(F.array("src", "dst")).alias("key")).distinct().join(classes.select("key", "first_id"), "key")
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar: float, words: int) -> DataFrame:
+    """Those pairs ``(src, dst)`` of class keys whose sets of shingles are similar enough; only texts in pairs are shuffled."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct().join(classes.select("key", "first_id"), "key")
 
     def shingled():
         shingler = Shingler()
@@ -246,10 +261,92 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
     texts = _keyed(docs).select("_key", "_id", "text").join(ends.withColumnRenamed("first_id", "_id"), "_id").where("_key = key").select("_key", "text")
     sets = per_batch(texts, shingled, "key string, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "shingles")
-    both = proposed.join(sets.select(F.col("key").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("key").alias("dst"), F.col("shingles").alias("y")), "dst")
+    both = pairs.join(sets.select(F.col("key").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("key").alias("dst"), F.col("shingles").alias("y")), "dst")
     common = F.size(F.array_intersect("x", "y"))
-    links = both.select("src", "dst", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("c") >= similar * F.col("u")).select("src", "dst")
-    return classes.select("key", "first_id", "n"), links
+    tested = both.select("src", "dst", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("c") >= similar * F.col("u"))
+    return materialize(tested.select("src", "dst"), "links")
+
+
+def _open_entries(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(shingle, key, root, size, pos, n)`` of prefix shingles that texts of different components share."""
+    roots = connected_components(links).select(F.col("node").alias("key"), "root")
+    placed = classes.join(roots, "key", "left").select("key", F.xxhash64(F.coalesce("root", "key")).alias("root"), "size", "prefix")
+    placed = materialize(placed, "placed")
+    shared = placed.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    shared = materialize(shared.where("low <> high").select("shingle", "n"), "shared")
+    return materialize(placed.select("key", "root", "size", F.posexplode("prefix").alias("pos", "shingle")).join(shared, "shingle"), "entries")
+
+
+def _could_reach(similar: float) -> Column:
+    """True unless sizes, or the shingles that follow the first common one, rule the similarity out."""
+    most = F.least(F.expr("a.size - a.pos"), F.expr("b.size - b.pos"))
+    least = (F.col("a.size") + F.col("b.size")) * (similar / (1 + similar))
+    return (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similar - 1e-6) & (most >= least - 1e-6)
+
+
+def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """Classes of exact copies ``(key, first_id, n)``, and verified links ``(src, dst)`` between class keys.
+
+    A pair is a link if the sets of five-word shingles have a Jaccard
+    similarity of at least ``similar``; links join exactly the components of
+    all such pairs. Six fingerprints a text propose pairs first, which joins
+    most copies cheaply. What they miss is found by prefixes: two sets of that
+    similarity share one of their rarest shingles, so every pair of texts of
+    different components that share one is tested, in buckets of any size. In
+    crowded buckets the texts are first held against one of them, ``STARS``
+    times, which joins families without pairs; this drops no pair.
+    """
+    counts = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, words))
+
+    def make():
+        shingler = Shingler()
+
+        def marks(text):
+            h = shingler.hashes(text, PROPOSE_WORDS)
+            return [fold_bits(_mix(h ^ np.uint64(s))) for s in SEEDS]
+
+        def work(batch):
+            sets = [np.unique(shingler.hashes(t, words)) for t in batch["text"]]
+            return {
+                "key": batch["_key"],
+                "id": batch["_id"],
+                "fps": [marks(t) for t in batch["text"]],
+                "size": [len(x) for x in sets],
+                "prefix": [prefix_of(x, counts.value, similar).view(np.int64).tolist() for x in sets],
+            }
+
+        return work
+
+    rows = per_batch(_keyed(docs).select("_key", "_id", "text"), make, "key string, id bigint, fps array<bigint>, size int, prefix array<bigint>")
+    grouped = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = materialize(grouped, "classes")
+    marked = classes.select("key", F.explode(F.array_distinct("fps")).alias("fp"))
+    heads = materialize(marked.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
+    equal = marked.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    close = hamming_links(heads.select("fp"), crowded)
+    close = close.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
+    ordered = (F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    proposed = materialize(equal.unionByName(close).where("a <> b").select(*ordered).distinct(), "proposed")
+    links = _verified(docs, classes, proposed, similar, words)
+
+    for turn in range(STARS):
+        entries = _open_entries(classes, links)
+        full = entries.where(F.col("n") > crowded)
+        if full.isEmpty():
+            break
+        # another centre each turn, and the same one for as many shingles of a family as possible
+        centre = full.groupBy("shingle").agg(F.min_by(F.struct("key", "root", "size", "pos"), F.xxhash64("key", F.lit(turn))).alias("c")).select("shingle", "c.*")
+        pairs = full.alias("a").join(centre.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & F.expr("a.root <> b.root") & _could_reach(similar))
+        pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).select(*ordered).distinct()
+        found = _verified(docs, classes, materialize(pairs, "stars"), similar, words)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+    else:
+        entries = _open_entries(classes, links)
+    pairs = entries.alias("a").join(entries.alias("b"), F.expr("a.shingle = b.shingle and a.key < b.key and a.root <> b.root") & _could_reach(similar))
+    pairs = materialize(pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct(), "pairs")
+    return classes.select("key", "first_id", "n"), links.unionByName(_verified(docs, classes, pairs, similar, words))
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
