@@ -119,6 +119,23 @@ def brute_kept(texts, similar=0.8, k=5):
     return {i for i in range(len(texts)) if find(i) == i}
 
 
+def _isolated_pairs():
+    rng = random.Random(21)
+    texts = []
+    for n in range(60):  # pairs just above and just below 0.8
+        base = [f"v{rng.randrange(4000)}" for _ in range(130)]
+        copy = list(base)
+        for at in rng.sample(range(5, 125), 2 + n % 3):
+            copy[at] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    return texts
+
+
+def test_one_of_each_finds_every_isolated_pair(make):
+    texts = _isolated_pairs()
+    assert {r["doc_id"] for r in S.one_of_each(make(texts)).collect()} == brute_kept(texts)
+
+
 def test_one_of_each_in_crowded_families_equals_brute_force(make):
     rng = random.Random(22)
     texts = []
