@@ -131,6 +131,26 @@ def test_segments_round_trip(spark, make, strings, monkeypatch):
     assert token_binary.token_files(make([]), path).count() == 0
 
 
+def test_grammar_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 50_000, 600)
+    parts = [np.array([1])]
+    for _ in range(40):
+        parts += [rng.integers(1, 50_000, 5000), passage, np.array([0])]
+    body = np.concatenate(parts).astype(np.uint32)
+    symbols, rules = token_binary.compress(body, 50_001)
+    lengths = token_binary.expansion_lengths(rules, 50_001)
+    assert lengths.max() >= 500  # the copied passage is one symbol, or nearly
+    inner = (symbols[:-1] != 0) & (symbols[1:] != 0)
+    left = np.unique(symbols[:-1].astype(np.uint64)[inner] << np.uint64(32) | symbols[1:][inner], return_counts=True)[1]
+    assert left.max() < token_binary.LEAST
+    out = {i: [i] for i in range(50_001)}
+    for i, (a, b) in enumerate(rules.tolist()):
+        out[50_001 + i] = out[a] + out[b]
+    assert [x for y in symbols.tolist() for x in out[y]] == body.tolist()
+    assert len(token_binary.compress(body[:0], 50_001)[0]) == 0 and token_binary.compress(body[:1], 50_001)[0].tolist() == [1]
+
+
 def test_grammar_compresses_and_reads_at_random():
     rng = np.random.default_rng(4)
     docs = [np.tile(rng.integers(0, 50_000, 9), rng.integers(0, 60)) for _ in range(40)]

@@ -31,11 +31,10 @@ from threadloom.storage import materialize
 
 #: Ids of a segment; a longer document has a segment of its own.
 SEGMENT_TOKENS = 1_000_000
-#: Rounds of replacement, pairs replaced in a round, and the least count that pays.
-ROUNDS, PAIRS, LEAST = 5, 8192, 8
+#: Pairs replaced in a round, and the least count that pays.
+PAIRS, LEAST = 8192, 8
 END_ID = 0
 _MAGIC = b"RPTK"
-_BIN_BITS = 18
 _CODERS: dict[str, ChunkCoder] = {}
 
 
@@ -59,51 +58,46 @@ def coder(path: str) -> ChunkCoder:
     return _CODERS[path]
 
 
-def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B)) + (left << np.uint32(7))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - _BIN_BITS)
-
-
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """``(symbols, rules)`` of ids; rule i is a pair of symbols named ``first + i``. The end id joins no pair.
 
-    A round hashes all pairs into bins, lets the last pair of each bin stand
-    for it, counts those pairs exactly, and replaces the most frequent ones
-    all at once; a pair that lost its bin has its chance in a later round.
+    A round counts all pairs exactly and replaces the most frequent ones all
+    at once, until none occurs ``least`` times or ``rounds`` are over. A pair
+    that is too rare stays so, since new neighbours always have a new symbol;
+    later rounds count only the places that can still pay.
     """
     seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        left, right = seq[:-1], seq[1:]
-        inner = (left != END_ID) & (right != END_ID)
-        bins = _bins(left, right)
-        stands = np.zeros(1 << _BIN_BITS, dtype=np.int64)
-        stands[bins] = np.arange(len(bins))
-        chief = stands[bins]
-        same = (left == left[chief]) & (right == right[chief]) & inner
-        counts = np.bincount(bins[same], minlength=1 << _BIN_BITS)
+    live = np.ones(len(seq), dtype=bool)
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
+        inner = seq != END_ID
+        live[:-1] &= inner[:-1] & inner[1:]
+        live[-1:] = False
+        at = np.flatnonzero(live)
+        found, which, counts = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
+        live[at[counts[which] < least]] = False
         good = np.flatnonzero(counts >= least)
         if not good.size:
             break
         if len(good) > pairs:
             good = good[np.argpartition(-counts[good], pairs)[:pairs]]
-        chosen = np.zeros(1 << _BIN_BITS, dtype=bool)
+        chosen = np.zeros(len(found), dtype=bool)
         chosen[good] = True
         # of neighbouring hits that overlap, every second one counts
-        place = np.flatnonzero(same & chosen[bins])
+        hit = np.flatnonzero(chosen[which])
+        place = at[hit]
         breaks = np.flatnonzero(np.diff(place, prepend=-2) != 1)
         run = np.arange(len(place)) - np.repeat(breaks, np.diff(np.append(breaks, len(place))))
-        place = place[run % 2 == 0]
-        used = np.unique(bins[place])
-        name = np.zeros(1 << _BIN_BITS, dtype=np.uint32)
-        name[used] = first + len(rules) + np.arange(len(used))
-        heads = stands[used]
-        rules.extend(zip(left[heads].tolist(), right[heads].tolist(), strict=True))
-        made = name[bins[place]]
+        hit = hit[run % 2 == 0]
+        place = at[hit]
+        used, name = np.unique(which[hit], return_inverse=True)
+        seq[place] = (first + len(rules) + name).astype(np.uint32)
+        rules.extend(zip((found[used] >> np.uint64(32)).tolist(), (found[used] & np.uint64(0xFFFFFFFF)).tolist(), strict=True))
+        live[place] = True
+        live[place[place > 0] - 1] = True
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
-        seq[place] = made
-        seq = seq[keep]
+        seq, live = seq[keep], live[keep]
     return seq, np.array(rules, dtype=np.int64).reshape(-1, 2)
 
 
