@@ -240,3 +240,26 @@ def test_leaks_of_odd_rows(spark, make, odd_texts):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(len(odd_texts), 1)]
     assert D.without_leaks(docs, items).count() == len(odd_texts)
     assert D.find_leaks(docs, items.where("false")).count() == 0 and D.find_leaks(make([]), items).count() == 0
+
+
+def test_tails_and_short_items(spark, make):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(3000)]
+    long = [rng.choice(words) for _ in range(96)] + ["common"]
+    rows = [(1, " ".join(long)), (2, "common"), (3, "red common green"), (4, "sole"), (5, "one two common four five six")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    filler = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [
+        " ".join([*filler(40), "common", *filler(40)]),  # the tail's word alone is no leak of item 1
+        " ".join([*filler(20), *long, *filler(20)]),
+        " ".join([*filler(10), "red", "x", "common", "green", *filler(10)]),
+        " ".join([*filler(10), "red", "common", "green", *filler(10)]),
+        " ".join([*filler(30), "sole"]),
+        " ".join([*filler(9), "one two changed four five six", *filler(9)]),
+        " ".join(["one", *filler(3), "two", *filler(3), "common four", *filler(3), "five", *filler(3), "six"]),
+        " ".join(filler(60)),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(make(texts), items).collect()}
+    assert got == {(0, 2), (1, 1), (1, 2), (2, 2), (3, 2), (3, 3), (4, 4), (5, 5), (6, 2)}
+    assert {r["doc_id"] for r in D.without_leaks(make(texts), items).collect()} == {7}
+    assert [len(w) for _, w in D.passages_of(rows[:1])] == [96, 96]

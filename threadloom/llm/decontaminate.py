@@ -35,6 +35,8 @@ NEAR = 0.4
 SAME, LOOSE = 0.8, 0.6
 #: Terms in more than this share of documents carry no weight, except in passages of few other terms.
 COMMON, AT_LEAST = 0.02, 8
+#: Passages of fewer words have no terms to tell them by; they are sought word by word.
+FEW = 8
 _STEP = 16_384
 
 
@@ -59,11 +61,13 @@ def judge(passage: list[bytes], region: list[bytes]) -> tuple[float, float]:
 
 
 def passages_of(items: list[tuple[int, str | None]]) -> list[tuple[int, list[bytes]]]:
-    """``(item_id, words)`` of pieces of at most ``PASSAGE`` words; a short tail joins nothing and stands alone."""
+    """``(item_id, words)`` of pieces of at most ``PASSAGE`` words; the last piece of a longer item reaches back to full length."""
     out = []
     for item, text in items:
         words = words_of(text)
-        out += [(item, words[i : i + PASSAGE]) for i in range(0, len(words), PASSAGE)]
+        for i in range(0, len(words), PASSAGE):
+            i = max(0, min(i, len(words) - PASSAGE))
+            out.append((item, words[i : i + PASSAGE]))
     return out
 
 
@@ -212,12 +216,51 @@ class Search:
         return [(item, *found) for item, found in best.items()]
 
 
+class ShortSearch:
+    """Finds the leaks of passages of fewer than ``FEW`` words in a text.
+
+    The common subsequence must reach ``SAME`` inside a window of the
+    passage's length and a fifth of it, so up to four words must stand
+    together as they are, and of five to seven one may be changed.
+    """
+
+    def __init__(self, passages: list[tuple[int, list[bytes]]]):
+        self.passages, self.by_word = passages, {}
+        for p, (_, words) in enumerate(passages):
+            for w in set(words):
+                self.by_word.setdefault(w, []).append(p)
+
+    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+        """As ``Search.leaks``; nearness is the common share."""
+        words, places, best = words_of(text), {}, {}
+        for at, w in enumerate(words):
+            for p in self.by_word.get(w, ()):
+                places.setdefault(p, []).append(at)
+        for p, held in places.items():
+            item, passage = self.passages[p]
+            need, window = int(np.ceil(SAME * len(passage) - 1e-9)), len(passage) + len(passage) // 5
+            for i in range(len(held) - need + 1):
+                if held[i + need - 1] - held[i] < window:
+                    share, answer = judge(passage, words[held[i] : held[i] + window])
+                    if share >= SAME and share > best.get(item, (0, 0.0))[1]:
+                        best[item] = (share, share, answer >= SAME)
+                        if share == 1:
+                            break
+        return [(item, *found) for item, found in best.items()]
+
+
+def _search(model: dict | list) -> Search | ShortSearch:
+    return Search(model) if isinstance(model, dict) else ShortSearch(model)
+
+
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> list:
-    """A broadcast model for each block of passages."""
+    """A broadcast model for each block of passages, and the short ones in blocks of their own."""
     items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").collect()]
     passages = passages_of(items)
+    long, short = [p for p in passages if len(p[1]) >= FEW], [p for p in passages if len(p[1]) < FEW]
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(_model(docs, passages[start : start + BLOCK])) for start in range(0, len(passages), BLOCK)]
+    models = [context.broadcast(_model(docs, long[start : start + BLOCK])) for start in range(0, len(long), BLOCK)]
+    return models + [context.broadcast(short[start : start + BLOCK]) for start in range(0, len(short), BLOCK)]
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -228,7 +271,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs
 
     def make():
-        searches = [Search(s.value) for s in shared]
+        searches = [_search(s.value) for s in shared]
 
         def work(batch):
             clean = [i for i, t in enumerate(batch["text"]) if not any(s.leaks(t) for s in searches)]
@@ -254,7 +297,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for shared in _blocks(docs, benchmark):
 
         def make(shared=shared):
-            search = Search(shared.value)
+            search = _search(shared.value)
 
             def work(batch):
                 out = {"doc_id": [], "item_id": [], "nearness": [], "common": [], "answer_found": []}
