@@ -28,8 +28,8 @@ from threadloom.storage import materialize
 #: Most differing bits of a link.
 MAX_BITS = 3
 _WIDTHS = (11, 11, 11, 11, 10, 10)
-#: A bucket of more distinct fingerprints than this is linked through points.
-CROWDED = 512
+#: A bucket of more distinct fingerprints than this is linked through points, so a bucket makes 32 pairs a fingerprint at most.
+CROWDED = 64
 _STEP = 65_536
 
 
@@ -155,11 +155,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, seed: int = 42, crowd
 
 
 #: Seeds of the fingerprints that propose near copies; fixed odd numbers.
-SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words of the shingles that propose, words of those that decide, and the similarity that makes a near copy.
 PROPOSE_WORDS, WORDS, SIMILAR = 2, 5, 0.8
-#: Turns in which crowded buckets of a shingle are held against one text; they save pairs and drop none.
-STARS = 2
+#: Turns in which each bucket of a shingle is held against one of its texts; they save pairs and drop none.
+STARS = 1
 _BIN_BITS, _BIN_MASK, _PIECES = 20, np.uint64((1 << 20) - 1), 16
 _NO_ID = 2**63 - 1
 
@@ -289,12 +289,14 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
 
     A pair is a link if the sets of five-word shingles have a Jaccard
     similarity of at least ``similar``; links join exactly the components of
-    all such pairs. Six fingerprints a text propose pairs first, which joins
-    most copies cheaply. What they miss is found by prefixes: two sets of that
-    similarity share one of their rarest shingles, so every pair of texts of
-    different components that share one is tested, in buckets of any size. In
-    crowded buckets the texts are first held against one of them, ``STARS``
-    times, which joins families without pairs; this drops no pair.
+    all such pairs. Fingerprints propose pairs first, which joins most copies
+    cheaply. What they miss is found by prefixes: two sets of that similarity
+    share one of their rarest shingles, so only texts of different components
+    that share one can be similar. Such a bucket of texts is first held
+    against one text of its most frequent component, which costs a row for
+    each; a text has many shingles and so meets many members of a family. Then
+    all pairs that are left in different components are tested, in buckets of
+    any size. No turn drops a pair.
     """
     counts = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, words))
 
@@ -329,20 +331,17 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
     proposed = materialize(equal.unionByName(close).where("a <> b").select(*ordered).distinct(), "proposed")
     links = _verified(docs, classes, proposed, similar, words)
 
+    entries = _open_entries(classes, links)
     for turn in range(STARS):
-        entries = _open_entries(classes, links)
-        full = entries.where(F.col("n") > crowded)
-        if full.isEmpty():
-            break
-        # another centre each turn, and the same one for as many shingles of a family as possible
-        centre = full.groupBy("shingle").agg(F.min_by(F.struct("key", "root", "size", "pos"), F.xxhash64("key", F.lit(turn))).alias("c")).select("shingle", "c.*")
-        pairs = full.alias("a").join(centre.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & F.expr("a.root <> b.root") & _could_reach(similar))
+        # one member stands for each component of a bucket, another one in each bucket; that of the most frequent component is the centre
+        members = entries.where("n > 2").groupBy("shingle", "root").agg(F.count("*").alias("m"), F.min_by(F.struct("key", "size", "pos"), F.xxhash64("key", "shingle", F.lit(turn))).alias("c"))
+        centre = members.groupBy("shingle").agg(F.max_by(F.struct("c.*", "root"), F.struct("m", "root")).alias("c")).select("shingle", "c.*")
+        pairs = entries.alias("a").join(centre.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & F.expr("a.root <> b.root") & _could_reach(similar))
         pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).select(*ordered).distinct()
         found = _verified(docs, classes, materialize(pairs, "stars"), similar, words)
         if found.isEmpty():
             break
         links = links.unionByName(found)
-    else:
         entries = _open_entries(classes, links)
     pairs = entries.alias("a").join(entries.alias("b"), F.expr("a.shingle = b.shingle and a.key < b.key and a.root <> b.root") & _could_reach(similar))
     pairs = materialize(pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct(), "pairs")
