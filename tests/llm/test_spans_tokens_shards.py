@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -103,6 +104,29 @@ def test_byte_bpe_equals_tiktoken(make, strings):
     assert byte_bpe.encode_digest(make([]), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_other_patterns_and_files_get_texts_whole(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pattern = r"\p{L}+ ?|[^\p{L}]+"  # a match may end with the space
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["the cat sat on  the mat. yes", "a b", ""]
+    assert [np.frombuffer(c, "<u4").tolist() for c in byte_bpe.ByteBpe(ranks, pattern).encode_batch(texts)] == [other.encode_ordinary(t) for t in texts]
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    changed = tmp_path / "other.json"
+    changed.write_text(json.dumps(spec))
+    model, coder = Tokenizer.from_file(str(changed)), token_binary.LibraryCoder(str(changed))
+    assert coder.words is None
+    assert [np.frombuffer(c, "<u4").tolist() for c in coder.encode_batch(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_repeated_rows_are_dealt_over_partitions(make):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    written = token_binary.write_segments(make(["same words in all"] * 400, [7] * 400), path)
+    assert written.select("part").distinct().count() > 1
+    assert sorted(r["start"] for r in token_binary.read_segments(written).collect()) == list(range(0, 2000, 5))
+
+
 def test_long_and_short_pieces_agree():
     model = byte_bpe.ByteBpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rng = random.Random(7)
@@ -116,8 +140,7 @@ def test_segments_round_trip(spark, make, strings, monkeypatch):
     monkeypatch.setattr(token_binary, "SEGMENT_TOKENS", 3000)
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    texts = [*strings, *strings[:5]]
+    texts = [*strings, *strings[:5], "a  <|endoftext|> b<|endoftext|>", "stop### don't, it's..."]
     ids = [None, *range(1, len(texts))]
     got = token_binary.token_files(make(texts, ids), path).collect()
     assert len(got) == len(texts)

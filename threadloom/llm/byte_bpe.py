@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from threadloom.llm.memo import ChunkCoder
-from threadloom.llm.text import per_batch
+from threadloom.llm.text import SPACE_PATTERN, per_batch
 
 #: Pieces up to this many bytes are encoded in rows; longer ones alone.
 ROW_WIDTH = 32
@@ -35,6 +36,7 @@ class ByteBpe:
 
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self.spaced = pattern == SPACE_PATTERN
         self.vocabulary = {i: t for t, i in ranks.items()}
         pairs = {}
         for token, rank in ranks.items():
@@ -176,13 +178,17 @@ class ByteBpe:
 
     def _matches(self, text: str) -> list[bytes]:
         # a space and plain letters are one match and need no search
-        if text[:1] == " " and (word := text[1:]).isalpha() and max(word) < "\u0250":
+        if self.spaced and text[:1] == " " and (word := text[1:]).isalpha() and max(word) < "\u0250":
             return [text.encode()]
         return [m.encode("utf-8", "surrogatepass") for m in self.pattern.findall(text)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers."""
-        return ChunkCoder(self.encode_many).encode_batch(texts)
+        return self.coder()(texts)
+
+    def coder(self) -> Callable[[list[str]], list[bytes]]:
+        """An encoder of batches of texts with a bounded memo, which lives as long as the encoder; other patterns get texts whole."""
+        return ChunkCoder(self.encode_many).encode_batch if self.spaced else self.encode_many
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -198,11 +204,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         model = ByteBpe.load(path, pattern)
-        coder = ChunkCoder(model.encode_many)  # its memo lives as long as the task
+        encode_batch = model.coder()  # its memo lives as long as the task
 
         def work(batch):
             texts = [t or "" for t in batch["text"]]
-            coded = coder.encode_batch(texts)
+            coded = encode_batch(texts)
             same = [model.decode(c) == t.encode("utf-8", "surrogatepass") for c, t in zip(coded, texts, strict=True)]
             return {"doc_id": batch["doc_id"], "n_tokens": [len(c) // 4 for c in coded], "ids": coded, "round_trip": same}
 
@@ -216,10 +222,10 @@ def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         model = ByteBpe.load(path, pattern)
-        coder = ChunkCoder(model.encode_many)  # its memo lives as long as the task
+        encode_batch = model.coder()  # its memo lives as long as the task
 
         def work(batch):
-            coded = coder.encode_batch([t or "" for t in batch["text"]])
+            coded = encode_batch([t or "" for t in batch["text"]])
             return {
                 "doc_id": batch["doc_id"],
                 "n_tokens": [len(c) // 4 for c in coded],

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from threadloom.llm.text import chunks
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from threadloom.llm.text import chunks, plain_spaces
 
 #: Entries of a task's memo of chunks; about 80 MB.
 MOST = 400_000
+_STOPS = ".,;:!?#$*%&|<>"
 
 
 class ChunkCoder:
     """Encodes texts whose pattern never looks over a lone space (see ``text.chunks``).
 
     ``encode_many`` gives the ids of strings as little-endian 32-bit integers.
-    The memo has two generations: when the young one is full it becomes the
-    old one, and what is met again moves up. What moved up once is taken along
-    at the next change, so frequent words stay.
+    Arrow finds the distinct chunks of a batch; each is looked up once, and the
+    ids of the texts are gathered by position. The memo has two generations:
+    when the young one is full it becomes the old one, and what is met again
+    moves up. What moved up once is taken along at the next change, so
+    frequent words stay.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = MOST):
@@ -24,18 +31,18 @@ class ChunkCoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.lasting: list[str] = []
-        self.stops = dict(zip(".,", encode_many([".", ","]), strict=True))
+        self.stops: dict[str, bytes] = {}
 
-    def _learn(self, wanted: dict[str, None]) -> None:
+    def _learn(self, wanted: list[str]) -> None:
         young, old, stops = self.young, self.old, self.stops
         fresh, stopped = {}, []
         for c in wanted:
             if (v := old.get(c)) is not None:
                 young[c] = v
                 self.lasting.append(c)
-            elif c[-1:] in stops and (word := c[:-1]).isalpha():
-                # a stop behind letters is a match of its own
-                stopped.append((c, word))
+            elif (word := c.rstrip(_STOPS)) and word is not c and word.isalpha() and max(word) < "\u0250":
+                # signs behind letters are a match of their own
+                stopped.append((c, word, c[len(word) :]))
                 if word not in young:
                     if (v := old.get(word)) is not None:
                         young[word] = v
@@ -45,26 +52,53 @@ class ChunkCoder:
                 fresh[c] = None
         words = list(fresh)
         young.update(zip(words, self.encode_many([" " + w for w in words]), strict=True))
-        for c, word in stopped:
-            young[c] = young[word] + stops[c[-1]]
+        if len(stops) > 10_000:
+            stops.clear()
+        signs = list({s for _, _, s in stopped if s not in stops})
+        stops.update(zip(signs, self.encode_many(signs), strict=True))
+        for c, word, sign in stopped:
+            young[c] = young[word] + stops[sign]
+
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Chunks of all texts (all plain, or none) one after another, and where each text's begin; the end comes last."""
+        if not plain_spaces(texts[0]):
+            parts = [chunks(t) for t in texts]
+            return pa.array([c for some in parts for c in some], pa.large_string()), np.cumsum([0, *map(len, parts)])
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        return parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; the plain ones and the others are split apart."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = [plain_spaces(t) for t in texts]
+        for kind in (True, False):
+            own = [i for i, p in enumerate(plain) if p is kind]
+            if own:
+                for i, code in zip(own, self._encode([texts[i] for i in own]), strict=True):
+                    out[i] = code
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.half:
             taken = {c: self.young[c] for c in self.lasting[-self.half // 2 :]}
             self.old, self.young, self.lasting = self.young, taken, list(taken)
-        split, found, wanted, get = [], [], {}, self.young.get
-        for text in texts:
-            parts = chunks(text)
-            values = list(map(get, parts))
-            values[0] = b""
-            if None in values:
-                wanted.update(dict.fromkeys([c for c, v in zip(parts, values, strict=True) if v is None]))
-            split.append(parts)
-            found.append(values)
-        self._learn(wanted)
-        heads, get = self.encode_many([parts[0] for parts in split]), self.young.__getitem__
-        for parts, values, head in zip(split, found, heads, strict=True):
-            values[0] = head
-            if None in values:
-                values[:] = [get(c) if v is None else v for c, v in zip(parts, values, strict=True)]
-        return [b"".join(values) for values in found]
+        parts, starts = self._split(texts)
+        heads = self.encode_many(parts.take(pa.array(starts[:-1])).to_pylist())
+        coded = parts.dictionary_encode()
+        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        values = list(map(self.young.get, words))
+        if None in values:
+            self._learn([w for w, v in zip(words, values, strict=True) if v is None])
+            get = self.young.__getitem__
+            values = [get(w) if v is None else v for w, v in zip(words, values, strict=True)]
+        # the first chunk of a text has no space before it
+        which[starts[:-1]] = len(words) + np.arange(len(texts))
+        values += heads
+        flat = np.frombuffer(b"".join(values), dtype="<u4")
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        begins = np.cumsum(sizes) - sizes
+        size = sizes[which]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(begins[which] - ends + size, size) + np.arange(int(ends[-1]))].tobytes()
+        bounds = (np.append(0, ends)[starts] * 4).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]

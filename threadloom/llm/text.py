@@ -6,6 +6,7 @@ import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,17 @@ def crc_fold(key: object, parts: int) -> int | None:
     return None if key is None else zlib.crc32(str(key).encode()) % parts
 
 
+@contextmanager
+def collector_off():
+    """No garbage collection inside: memos of many small objects hold no cycles, and scanning them takes a third of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Map Arrow batches as dicts of lists; ``make`` runs once in a task and gives the function of a batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,34 +44,36 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # memos of many small objects hold no cycles; scanning them takes a third of the time
-        try:
+        with collector_off():
             work = make()
-            for batch in batches:
-                for start in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(start, ROWS)
-                    out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
-        finally:
-            work = out = None  # a worker serves many tasks: nothing of one stays for the next
-            gc.enable()
-            gc.collect()
+            try:
+                for batch in batches:
+                    for start in range(0, batch.num_rows, ROWS):
+                        part = batch.slice(start, ROWS)
+                        out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            finally:
+                work = out = None  # a worker serves many tasks: nothing of one stays for the next
 
     return df.mapInArrow(run, schema)
 
 
+#: The pattern that cuts text at every lone space; ``chunks`` is right for it alone.
+SPACE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def plain_spaces(text: str) -> bool:
+    """Whether all spaces of a text stand alone between two other characters that are no white space."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text))
+
+
 def chunks(text: str) -> list[str]:
     """Cut at every single space that stands between two characters that are no white space.
 
-    GPT-2 style patterns always start a match at such a space and never look
-    back over it, so the pieces can be tokenized apart: the first as it is,
-    each of the others with its space put back in front.
+    Patterns like ``SPACE_PATTERN`` always start a match at such a space and
+    never look back over it, so the pieces can be tokenized apart: the first as
+    it is, each of the others with its space put back in front.
     """
-    if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
-        return _LONE_SPACE.split(text)
-    return text.split(" ")
-
+    return text.split(" ") if plain_spaces(text) else _LONE_SPACE.split(text)

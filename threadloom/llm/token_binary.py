@@ -17,16 +17,19 @@ per rule two 32-bit symbols and a 64-bit expansion length, then the symbols as
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.memo import ChunkCoder
-from threadloom.llm.text import per_batch
+from threadloom.llm.text import collector_off, per_batch
 from threadloom.storage import materialize
 
 #: Ids of a segment; a longer document has a segment of its own.
@@ -35,62 +38,111 @@ SEGMENT_TOKENS = 1_000_000
 PAIRS, LEAST = 8192, 8
 END_ID = 0
 _MAGIC = b"RPTK"
-_CODERS: dict[str, ChunkCoder] = {}
+_BIN_BITS = 22
+#: Words that the library is given as one string.
+_JOINED = 4096
 
 
-def coder(path: str) -> ChunkCoder:
-    """A worker's encoder for a file of the tokenizers library; strings of special tokens are ordinary text.
+class LibraryCoder:
+    """The ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives, by way of distinct words.
 
-    The library is slow on words it sees for the first time, so the memo lasts
-    as long as the worker; it holds about 200 MB at most.
+    The library is slow on many small strings, so words that a memo doesn't
+    hold are encoded together as one string and its ids are cut where a token
+    begins with a space. This needs a byte-level model that cuts text at every
+    lone space; with any other file, and for texts that hold an added token,
+    the library gets the whole text. The memo lives as long as the object.
     """
-    if path not in _CODERS:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-
-        def encode_many(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _CODERS[path] = ChunkCoder(encode_many, 1_000_000)
-    return _CODERS[path]
-
-
-def compress(ids: np.ndarray, first: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        self.model = Tokenizer.from_file(path)
+        spec = json.loads(self.model.to_str())
+        shape = spec["pre_tokenizer"] or {}
+        lone = not spec["normalizer"] and shape.get("type") == "ByteLevel" and shape.get("use_regex") and not shape.get("add_prefix_space")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        table = np.zeros(self.model.get_vocab_size(), dtype=bool)
+        for token, i in self.model.get_vocab().items():
+            table[i] = token.startswith("\u0120")  # how such vocabularies write the space
+        self.spaced = table
+        self.words = ChunkCoder(self._many) if lone else None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        # printable text holds no white space but the plain space
+        word = [t[:1] == " " and (w := t[1:]).isprintable() and w != "" and " " not in w for t in texts]
+        words, rest = [], []
+        for t, w in zip(texts, word, strict=True):
+            (words if w else rest).append(t)
+        cut = []
+        for start in range(0, len(words), _JOINED):
+            part = words[start : start + _JOINED]
+            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 4
+            if len(stops) != len(part) + 1:
+                raise ValueError("the vocabulary doesn't begin a token at every space")
+            flat, bounds = ids.tobytes(), stops.tolist()
+            cut += [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        words, others = iter(cut), iter(self._whole(rest))
+        return [next(words) if w else next(others) for w in word]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        if self.words is None:
+            return self._whole(texts)
+        plain = [not any(a in t for a in self.added) for t in texts]
+        easy, hard = iter(self.words.encode_batch([t for t, p in zip(texts, plain, strict=True) if p])), iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(easy) if p else next(hard) for p in plain]
+
+
+def _bins(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
+
+
+def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """``(symbols, rules)`` of ids; rule i is a pair of symbols named ``first + i``. The end id joins no pair.
 
-    A round counts all pairs exactly and replaces the most frequent ones all
-    at once, until none occurs ``least`` times or ``rounds`` are over. A pair
-    that is too rare stays so, since new neighbours always have a new symbol;
-    later rounds count only the places that can still pay.
+    A round counts all pairs exactly and replaces the ``pairs`` most frequent
+    ones all at once, until none occurs ``least`` times. A pair that is too
+    rare stays so, since new neighbours always have a new symbol; later rounds
+    count only the places that can still pay. Pairs are first counted by bins
+    of a hash: a bin of fewer than ``least`` holds no pair that pays, so only
+    the others are sorted.
     """
     seq, rules = ids.astype(np.uint32), []
     live = np.ones(len(seq), dtype=bool)
-    while rounds is None or rounds > 0:
-        rounds = None if rounds is None else rounds - 1
+    while True:
         inner = seq != END_ID
         live[:-1] &= inner[:-1] & inner[1:]
         live[-1:] = False
         at = np.flatnonzero(live)
-        found, which, counts = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
-        live[at[counts[which] < least]] = False
-        good = np.flatnonzero(counts >= least)
-        if not good.size:
+        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        bins = _bins(pair)
+        some = np.bincount(bins, minlength=1 << _BIN_BITS)[bins] >= least
+        live[at[~some]] = False
+        at, pair, bins = at[some], pair[some], bins[some]
+        ordered = np.sort(pair)
+        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, dtype=np.int64)
+        found, counts = ordered[edge], np.diff(np.append(edge, len(ordered)))
+        good = counts >= least
+        found, counts = found[good], counts[good]
+        if not len(found):
             break
-        if len(good) > pairs:
-            good = good[np.argpartition(-counts[good], pairs)[:pairs]]
-        chosen = np.zeros(len(found), dtype=bool)
-        chosen[good] = True
+        if len(found) > pairs:
+            found = np.sort(found[np.argpartition(-counts, pairs)[:pairs]])
+        flag = np.zeros(1 << _BIN_BITS, dtype=bool)
+        flag[_bins(found)] = True
+        likely = np.flatnonzero(flag[bins])
+        which = np.minimum(np.searchsorted(found, pair[likely]), len(found) - 1)
+        same = found[which] == pair[likely]
+        place, which = at[likely[same]], which[same]
         # of neighbouring hits that overlap, every second one counts
-        hit = np.flatnonzero(chosen[which])
-        place = at[hit]
         breaks = np.flatnonzero(np.diff(place, prepend=-2) != 1)
         run = np.arange(len(place)) - np.repeat(breaks, np.diff(np.append(breaks, len(place))))
-        hit = hit[run % 2 == 0]
-        place = at[hit]
-        used, name = np.unique(which[hit], return_inverse=True)
+        place, which = place[run % 2 == 0], which[run % 2 == 0]
+        used, name = np.unique(which, return_inverse=True)
         seq[place] = (first + len(rules) + name).astype(np.uint32)
         rules.extend(zip((found[used] >> np.uint64(32)).tolist(), (found[used] & np.uint64(0xFFFFFFFF)).tolist(), strict=True))
         live[place] = True
@@ -193,16 +245,14 @@ def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", voca
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the row's place parts repeated rows, which are equal in all else
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.repartitionByRange(parts, "doc_id", "h", "n").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
-    def run(batches):
-        import gc
-
-        import pyarrow as pa
-        from pyspark import TaskContext
+    shape = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
-        gc.disable()  # the memo's many small objects hold no cycles
-        part, seq, model = TaskContext.get().partitionId(), 0, coder(path)
+    def segments(batches):
+        part, seq, model = TaskContext.get().partitionId(), 0, LibraryCoder(path)
         keys, ids, held = [], [], 0
 
         def flush():
@@ -212,7 +262,6 @@ def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", voca
             seq, keys, ids, held = seq + 1, [], [], 0
             return out
 
-        shape = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 piece = batch.slice(start, 1000)
@@ -227,6 +276,10 @@ def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", voca
         if keys:
             yield flush()
 
+    def run(batches):
+        with collector_off():
+            yield from segments(batches)
+
     return materialize(rows.mapInArrow(run, "part int, seq int, n_docs bigint, n_ids bigint, data binary"), tag)
 
 
