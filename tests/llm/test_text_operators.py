@@ -1,5 +1,6 @@
 """Quality rules, license scan, language id, toxicity: brute force, learning, and odd rows."""
 
+import itertools
 import random
 import re
 
@@ -93,6 +94,9 @@ def test_license_base_equals_brute_force(make, odd_texts):
         ("licensed under the GNU Lesser General Public License as published by the Free Software Foundation, either version 2 or any later version", "gpl", True),
         ("Licensed under CC BY-NC 4.0.", "cc-by-nc", True),
         ("Copyright (c) 2024 Some Body Ltd. All rights reserved", "reserved", True),
+        ("This is not licensed under the MIT license.", "mit", False),
+        ("It isn't released under the MIT license", "mit", False),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software, but you must pay", "mit", False),
     ],
 )
 def test_templates(text, label, found):
@@ -100,6 +104,39 @@ def test_templates(text, label, found):
     assert (label in labels) == found
 
 
+def _license(label):
+    """A text of a license: regions that may be left out stay, those to be replaced are filled."""
+    return re.sub(r"\{\d+\}", "some holder", license_scan.TEXTS[label][0]).replace("[", "").replace("]", "")
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.TEXTS))
+def test_whole_licenses_are_told_apart(label):
+    scan = license_scan.Scanner(notices={}).scan
+    text = _license(label)
+    words = text.split()
+    assert scan("Copyright 2020 x " + text.upper() + " end")[5:] == (",".join(sorted({label} | ({"gpl"} if "general public license" in text else set()))), 1.0)
+    for cut in (words[:-1], words[: len(words) // 2] + ["not"] + words[len(words) // 2 :], words[: len(words) // 3] + words[len(words) // 3 + 1 :]):
+        assert scan(" ".join(cut))[6] < 1.0 or label == "gpl" and cut[0] == "some"
+    if label == "bsd-3-clause":
+        assert "bsd-2-clause" not in scan(text)[5]
+
+
+def test_rare_languages_and_letters(spark, make):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["then", "thing", "other"]) for _ in range(20)), "en") for i in range(3000)]
+    rows += [(5000 + i, "zwołk grzmi " * 10, "pl") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert model["langs"] == ["en", "pl"]
+    got = language_id.predict(make(["½ ²", "١٢", "zwołk grzmi", "ª", "thing other"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got][:3] == ["und", "und", "pl"] and got[3]["lang_pred"] != "und" and got[4]["lang_pred"] == "en"
+    assert language_id.predict(make([]), language_id.fit(make([]))).count() == 0
+
+
+def test_rules_on_empty_tables(spark, make):
+    rules = quality_rules.fit(make([]), spark.createDataFrame([(1, 0)], "doc_id long, quality int"))
+    assert rules == [] and quality_rules.apply_rules(make([]), rules).count() == 0
+
+
 def test_languages(spark, make, odd_texts):
     rng = random.Random(8)
     parts = {"en": ["the", "ing", "tion", "wh", "ou"], "de": ["sch", "ung", "ein", "ü", "heit"], "fr": ["eau", "que", "é", "oi", "ment"]}
@@ -162,6 +199,53 @@ def test_toxicity_odd_rows(tox_model, make, odd_texts):
     assert kept.count() == len(odd_texts) and "_id" in kept.columns
 
 
+@pytest.mark.parametrize("spaced", ["i d i o t m o r o n", "1 d 1 0 t m 0 r 0 n", "m o r o n s t u p i d i d i o t", "a s t u p i d", "i d d i o t"])
+def test_spaced_words_are_parted(tox_model, spaced):
+    cost = tox_model[2]["cost"]
+    reader = toxicity.Reader(cost)
+    tokens, runs = toxicity.tokens_of("we say " + spaced + " today")
+    assert tokens == ["we", "say", "today"] and len(runs) == 1
+    found = {w for e in toxicity.EDGES for w in toxicity.restore(runs[0], cost, True, e).split(" ")}
+    plain = spaced.replace(" ", "").replace("1", "i").replace("0", "o").replace("dd", "d")
+    assert all(w in found for w in ("idiot", "moron", "stupid") if w in plain) and set(toxicity.word_features("river")) <= reader.text("river bank")
+
+
+def test_viterbi_equals_exhaustive_search():
+    cost = toxicity.language_model(np.zeros(toxicity._SIZE**3), {"idiot": 50, "moron": 20, "lost": 30, "a": 9, "to": 9})
+    cases = [("1d10t", False), ("iiid!0t", False), ("l0$t", False), ("m-0.r", False), ("idiot", True), ("l00st", True), ("at0a1", True), ("t!o", True)]
+    for token, spaced in cases:
+        for edge in toxicity.EDGES:
+            best = {}
+            for path in itertools.product(*toxicity.lattice(token, spaced, edge)):
+                text = "".join(o for o, _ in path)
+                total = sum(p for _, p in path) + toxicity.path_cost(text, cost)
+                best[text] = min(total, best.get(text, 1e9))
+            least = min(best.values())
+            assert best[toxicity.restore(token, cost, spaced, edge)] <= least + 1e-9
+
+
+def test_long_tokens_are_decoded(tox_model):
+    cost = toxicity.language_model(np.zeros(toxicity._SIZE**3), {"idiot": 50}, share=0.9999)
+    assert toxicity.restore("1d10t" * 40, cost) == "idiot" * 40
+    assert len(toxicity.restore("1d10t" * 20_000, cost)) == 100_000
+    assert "idiot" in toxicity.restore("idiot" * 2000, tox_model[2]["cost"], True).split(" ")
+
+
+def test_score_is_the_logistic_of_the_weights(tox_model):
+    model = tox_model[2]
+    scorer = toxicity.Scorer(model)
+    found = {i for w in ("idiot", "table") for f in toxicity.word_features(w) if (i := model["features"].get(f)) is not None}
+    logit = sum(model["weights"][i] for i in found) + model["weights"][-1]
+    assert abs(scorer.score("1d10t table") - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_contrary_labels_count_once(spark, make):
+    texts = ["you idiot there", "fine words here"] * 20
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)] + [(0, 0), (0, 1), (1, None)], "doc_id long, toxic int")
+    got = toxicity.score(make(texts), toxicity.fit(make(texts), labels, folds=None)).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 2 == 0) for r in got)
+
+
 def test_viterbi_follows_the_model():
     cost = toxicity.language_model(np.zeros(toxicity._SIZE**3), {"idiot": 50, "river": 50})
     assert toxicity.restore("1d10t", cost) == "idiot"

@@ -9,21 +9,20 @@ rejected.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import crc_fold, per_batch
+from threadloom.llm.text import crc_fold, per_batch, picked
 
 BINS = 4096
-#: Learning rows that centroids are clustered from, about; document frequencies cover all learning rows.
-TRAIN_ROWS = 4_000
+#: Learning rows that centroids are clustered from, about, dealt evenly to the languages, and the least share of one language.
+TRAIN_ROWS, LEAST_ROWS = 4_000, 20
 CENTROIDS = 4
 #: Share of a language's learning texts that its distance limit lets in.
 WITHIN = 0.995
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LETTERS_ONLY = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -82,7 +81,10 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS,
     """A model from text and non-null lang of rows outside the held-out fold of crc32(doc_id).
 
     Document frequencies come from all these rows, centroids from about
-    ``rows`` of them, picked by hash. Rows without doc_id aren't learned from.
+    ``rows`` of them, picked by hash and dealt evenly to the languages: a
+    language of few rows is learned from all of them. Rows without doc_id
+    aren't learned from; repeated rows count as often as they stand there.
+    Without learning rows, an empty table among them, no language is learned.
     """
     own = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (own != held)).select("doc_id", "text", "lang")
@@ -98,8 +100,10 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS,
 
         return work
 
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(min(1.0, rows / n) * 1_000_000))
-    table = per_batch(picked, make, "doc_id bigint, lang string, v binary").toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    held_by = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(LEAST_ROWS, rows // len(held_by))
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in held_by.items() for x in (lang, min(1.0, each / n)))), F.col("lang"))
+    table = per_batch(known.where(picked(F.col("doc_id"), "language", share)), make, "doc_id bigint, lang string, v binary").toPandas().sort_values(["doc_id", "lang"], kind="stable")
     rng, langs, centres, owner, limits = np.random.default_rng(seed), sorted(table["lang"].unique()), [], [], []
     for i, lang in enumerate(langs):
         own_rows = np.stack([np.frombuffer(v, dtype=np.float32) for v in table["v"][table["lang"] == lang]])
@@ -114,9 +118,10 @@ def predict(docs: DataFrame, model: dict, folds: int = 5, held: int = 0) -> Data
     """``(doc_id, held_out, lang_pred, score, distance, rejected)`` of every row.
 
     ``lang_pred`` is a learned language, or ``und`` for a null text, a text
-    without a letter, and when nothing was learned. ``score`` is the cosine to
+    without a letter (Unicode category L), and when nothing was learned. ``score`` is the cosine to
     the nearest centroid; ``rejected`` says that the text is farther from its
-    language than nearly all learning texts. A null doc_id is not held out.
+    language than nearly all learning texts. A null doc_id is not held out;
+    repeated rows get equal results, an empty table none.
     """
     names = ["held_out", "lang_pred", "score", "distance", "rejected"]
 

@@ -4,7 +4,9 @@ A template is a line of words with markup: ``[ ... ]`` is a region that may be
 left out, ``{n}`` a region that may be replaced by up to n words of any kind.
 It is compiled to an automaton over tokens; a text holds the license if the
 automaton accepts a run of its words, that is if all mandatory wording
-stands there exactly.
+stands there exactly, from the first word to the last. ``TEXTS`` has whole
+licenses, so kin such as two and three clauses are told apart; ``NOTICES``
+has lines that only name one.
 """
 
 from __future__ import annotations
@@ -18,25 +20,63 @@ from threadloom.llm.text import per_batch
 #: Phrases and labels of the base scan.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates of public licenses and notices, with their labels.
-TEMPLATES = {
-    "mit": [
-        "released under the [terms of the] mit license",
-        "licensed under the [terms of the] mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software] to deal in the software without restriction",
+_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software] to deal in the software "
+    "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+    "persons to whom the software is furnished to do so"
+)
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
+    "purpose and noninfringement in no event shall [the] {8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising "
+    "from out of or in connection with the software or the use or other dealings in the software"
+)
+_REDISTRIBUTION = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] [a] redistributions of "
+    "source code must retain the above copyright notice this list of conditions and the following disclaimer [2] [b] redistributions in binary form must reproduce the above "
+    "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_AS_IS = (
+    "this software is provided by {8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a "
+    "particular purpose are disclaimed in no event shall {8} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+    "to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+#: The whole mandatory wording of public licenses and of the notices they prescribe, with their labels.
+TEXTS = {
+    "mit": [f"{_GRANT} subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software {_AS_IS}"],
+    "mit-0": [f"{_GRANT} {_AS_IS}"],
+    "bsd-2-clause": [f"{_REDISTRIBUTION} {_BSD_AS_IS}"],
+    "bsd-3-clause": [f"{_REDISTRIBUTION} [3] [c] neither the name of {{10}} nor the names of {{4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_AS_IS}"],
+    "isc": [
+        "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and {4} disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall {4} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use "
+        "data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {8} "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any "
+        "kind either express or implied see the license for the specific language governing permissions and limitations under the license"
     ],
-    "apache-2.0": ["licensed under the apache license version 2 0 [the license]"],
     "gpl": [
-        "[this {2} is] licensed under the gnu [lesser] [affero] general public license [as published by the free software foundation] [either] version {1} [or any later version]",
-        "under the terms of the gnu [lesser] [affero] general public license as published by the free software foundation",
+        "{4} is free software you can redistribute it and or modify it under the terms of the gnu [lesser] [affero] general public license as published by the free software "
+        "foundation either version {2} of the license or at your option any later version {4} is distributed in the hope that it will be useful but without any warranty without "
+        "even the implied warranty of merchantability or fitness for a particular purpose see the gnu [lesser] [affero] general public license for more details"
     ],
-    "cc-by-nc": ["licensed under [a] [the] [creative commons] cc by nc [sa] [nd] {2}"],
-    "cc-by": ["licensed under [a] [the] creative commons attribution {2} [international] license", "licensed under [a] [the] cc by [sa] {2}"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
+}
+#: One-line notices that name a license; they don't count after a negation.
+NOTICES = {
+    "mit": ["[released] [licensed] under the [terms of the] mit license"],
+    "apache-2.0": ["licensed under the apache license version 2 0"],
+    "gpl": ["licensed under the gnu [lesser] [affero] general public license"],
+    "cc-by-nc": ["licensed under [a] [the] [creative commons] cc by nc"],
+    "cc-by": ["licensed under [a] [the] creative commons attribution {2} license", "licensed under [a] [the] cc by"],
     "reserved": ["copyright [c] {8} all rights reserved"],
 }
+NEGATIONS = frozenset(b"not never cannot nor t".split())
+#: Scores of a text's best finding.
+WHOLE, NOTICE, PHRASE = 1.0, 0.8, 0.5
 
 _NOT_WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -57,7 +97,8 @@ class Automaton:
         self.must: list[bytes] = []
         parts = re.findall(r"\[|\]|\{\d+\}|[^\s\[\]{}]+", template)
         self.end = self._build(parts, 0, 0, True)[0]
-        self.first = self.words_from(self.closed({0}))
+        begin = self.closed({0})
+        self.first, self.anywhere = self.words_from(begin), any(s in self.any for s in begin)
 
     def _state(self) -> int:
         self.states += 1
@@ -113,23 +154,24 @@ class Automaton:
             i += 1
         return True
 
-    def find(self, words: list[bytes], at: dict[bytes, list[int]]) -> int:
-        """First place where the template begins, or -1."""
-        return next((i for i in sorted({p for w in self.first for p in at.get(w, ())}) if self.accepts_at(words, i)), -1)
+    def find(self, words: list[bytes], at: dict[bytes, list[int]], denied: bool = False) -> int:
+        """First place where the template begins, or -1; with ``denied``, places up to three words after a negation don't count."""
+        places = range(len(words)) if self.anywhere else sorted({p for w in self.first for p in at.get(w, ())})
+        return next((i for i in places if not (denied and NEGATIONS.intersection(words[max(0, i - 3) : i])) and self.accepts_at(words, i)), -1)
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES):
-        self.automata = [(label, Automaton(t)) for label, some in templates.items() for t in some]
+    def __init__(self, texts: dict[str, list[str]] = TEXTS, notices: dict[str, list[str]] = NOTICES, phrases: dict[str, str] = PHRASES):
+        self.automata = [(label, Automaton(t), whole) for whole, some in ((True, texts), (False, notices)) for label, lines in some.items() for t in lines]
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
-        # a text without one of these words in a row of bytes needs no automaton
-        self.rare = [max(a.must, key=len) for _, a in self.automata]
+        # a text without all of a template's long words in its bytes needs no automaton
+        self.rare = [sorted(set(a.must), key=len)[-4:] for _, a, _ in self.automata]
 
     def scan(self, text: str | None) -> tuple:
         """``(n_words, n_base, first_word, last_word, base_labels, labels, score)`` of one text."""
         low = (text or "").encode("utf-8", "surrogatepass").lower().translate(_NOT_WORD)
         words = low.split()
-        places, base, added = [], set(), set()
+        places, base, added = [], set(), {}
         for phrase, label in self.phrases:
             if all(w in low for w in phrase):
                 n, i = len(phrase), -1
@@ -141,30 +183,32 @@ class Scanner:
                             base.add(label)
                 except ValueError:
                     pass
-        likely = [x for x, rare in zip(self.automata, self.rare, strict=True) if rare in low]
+        likely = [x for x, rare in zip(self.automata, self.rare, strict=True) if all(w in low for w in rare)]
         if likely:
-            starts = set().union(*(a.first for _, a in likely))
+            starts = set().union(*(a.first for _, a, _ in likely))
             at: dict[bytes, list[int]] = {}
             for i, w in enumerate(words):
                 if w in starts:
                     at.setdefault(w, []).append(i)
-            added = {label for label, a in likely if a.find(words, at) >= 0}
-        labels = base | added
-        score = 1.0 if added else 0.5 if base else 0.0
+            for label, a, whole in likely:
+                if a.find(words, at, denied=not whole) >= 0:
+                    added[label] = max(added.get(label, 0.0), WHOLE if whole else NOTICE)
+        labels = base | set(added)
+        score = max([PHRASE if base else 0.0, *added.values()])
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """License phrases and templates in every whole text.
+def scan_licenses(docs: DataFrame, texts: dict[str, list[str]] = TEXTS, notices: dict[str, list[str]] = NOTICES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """License phrases, notices and whole licenses in every whole text.
 
-    ``score`` is 1 if a template is accepted, 0.5 if only a base phrase
-    stands there, else 0. Null texts count as empty. Repeated rows give
+    ``score`` is 1 if a whole license is accepted, 0.8 for a notice, 0.5 if
+    only a base phrase stands there, else 0. Null texts count as empty. Repeated rows give
     repeated results; no shuffle, one text at a time in memory.
     """
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def make():
-        scanner = Scanner(templates, phrases)
+        scanner = Scanner(texts, notices, phrases)
 
         def work(batch):
             rows = [scanner.scan(t) for t in batch["text"]]

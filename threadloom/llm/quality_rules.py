@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import per_batch
+from threadloom.llm.text import per_batch, picked
 
 #: Labelled rows that rules are learned from, about; a larger table is sampled by hash of its key.
 TRAIN_ROWS = 20_000
@@ -92,7 +92,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the columns of ``STATS`` for every row."""
+    """``doc_id`` and the columns of ``STATS`` for every row; null texts count as empty, repeated rows give repeated counts, an empty table none."""
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def make():
@@ -214,7 +214,7 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     good = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = good.count()
     if n > rows:
-        good = good.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1e6 * rows / n))
+        good = good.where(picked(F.col("doc_id"), "sample", rows / n))
     return good
 
 

@@ -25,6 +25,14 @@ def crc_fold(key: object, parts: int) -> int | None:
     return None if key is None else zlib.crc32(str(key).encode()) % parts
 
 
+_FINE = 1 << 52
+
+
+def picked(key: Column, seed: str, share: Column | float) -> Column:
+    """True for about ``share`` of all keys, by hash; fine enough for any number of rows."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_FINE)) < F.lit(share) * float(_FINE)
+
+
 @contextmanager
 def collector_off():
     """No garbage collection inside: memos of many small objects hold no cycles, and scanning them takes a third of the time."""

@@ -2,10 +2,12 @@
 
 A character language model is counted over the words of all documents. A
 token that looks written to hide (digits or signs among letters, stretched
-letters, single letters set apart) becomes a lattice of what each character
-may stand for; the Viterbi path of the lowest cost under channel and language
-model is the restored word. Texts are scored on restored words by a logistic
-regression over words and word beginnings.
+letters) and a run of single characters set apart become a lattice of what
+each character may stand for; in a run, each space may be nothing or the edge
+of a word. The Viterbi path of the lowest cost under channel and language
+model gives the restored words, in time linear in the token or run, however
+long. Texts are scored on restored words by a logistic regression over words
+and word beginnings.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,8 +38,11 @@ _SIZE = _OTHER + 1
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e"}
 _DROPPED = "*.-_~'`^"
 _EDGE = "\"'()[]{}<>,.;:?!#*%&|$~`_-…"
+_SOFT = "".join(c for c in _EDGE if c not in SIGNS)  # ends of a token that stand for no letter
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
-_MOST = 40  # longer tokens aren't words in hiding
+_SHAPE = str.maketrans({c: "a" for c in _LETTERS} | {c: "1" for c in [*SIGNS, *_DROPPED]})
+#: Costs of a word's edge between characters set apart, one for each reading.
+EDGES = (0.0, -2.0)
 _MEMO = 200_000
 
 
@@ -87,69 +94,105 @@ def language_model(counts: np.ndarray, words: dict[str, int], share: float = 0.2
     return -np.log((cube + 4 * bigram[None]) / (cube.sum(axis=2, keepdims=True) + 4)).reshape(-1)
 
 
+def _mixed(token: str) -> bool:
+    """Letters and signs, nothing else, and not too few letters."""
+    shape = token.translate(_SHAPE)
+    letters, signs = shape.count("a"), shape.count("1")
+    return letters > 0 and letters + signs == len(token) and letters * 2 >= signs
+
+
 def looks_hidden(token: str) -> bool:
     """A token worth decoding: letters mixed with signs, or a letter three times in a row."""
-    if len(token) > _MOST or len(token) < 3 or token.isdigit():
+    if len(token) < 3 or token.isdigit():
         return False
-    letters = sum(c in _CODE for c in token)
-    signs = sum(c in SIGNS or c in _DROPPED for c in token)
-    if letters and signs and letters + signs == len(token) and letters * 2 >= signs:
-        return True
-    return bool(_STRETCHED.search(token))
-
-
-def restore(token: str, cost: np.ndarray) -> str:
-    """The likeliest word behind a token, by Viterbi over its character lattice."""
-    runs: list[tuple[str, int]] = []
-    for c in token:
-        if runs and runs[-1][0] == c:
-            runs[-1] = (c, runs[-1][1] + 1)
-        else:
-            runs.append((c, 1))
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c, n in runs:
-        options: list[tuple[str, float]] = []
-        if c in _CODE or c.isalpha():
-            options = [(c, 0.0)] if n == 1 else [(c, 0.7 if n > 1 else 0.0), (c + c, 0.0 if n == 2 else 0.7)]
-        for s in SIGNS.get(c, ""):
-            options += [(s, 0.5)] if n == 1 else [(s, 1.0), (s + s, 0.5 if n == 2 else 1.0)]
-        if c in _DROPPED:
-            options.append(("", 0.2))
-        if c in "!|":
-            options.append(("", 2.0))
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in states.items():
-            for out, channel in options or [("", 1.0)]:
-                x, y, total = a, b, so_far + channel
+    return not token.isalpha() and _mixed(token) or _STRETCHED.search(token) is not None
+
+
+@lru_cache(maxsize=4096)
+def _options(c: str, n: int) -> tuple[tuple[str, float], ...]:
+    """What ``n`` (three for more) equal characters may stand for, with the channel's costs."""
+    out: list[tuple[str, float]] = []
+    if c in _CODE or c.isalpha():
+        out = [(c, 0.0)] if n == 1 else [(c, 0.7), (c + c, 0.0 if n == 2 else 0.7)]
+    for s in SIGNS.get(c, ""):
+        out += [(s, 0.5)] if n == 1 else [(s, 1.0), (s + s, 0.5 if n == 2 else 1.0)]
+    if c in _DROPPED:
+        out.append(("", 0.2))
+    if c in "!|":
+        out.append(("", 2.0))
+    return tuple(out) or (("", 1.0),)
+
+
+def lattice(token: str, spaced: bool = False, edge: float = 0.0) -> list[tuple[tuple[str, float], ...]]:
+    """Options of each place of a token, or of a run of characters set apart (``spaced``), where a space in an option is the edge of a word, at the cost ``edge``."""
+    if not spaced:
+        return [_options(c, min(3, sum(1 for _ in same))) for c, same in groupby(token)]
+    out = []
+    for i, c in enumerate(token):
+        here = _options(c, 1)
+        if i and c == token[i - 1]:
+            here += (("", 0.7),)
+        if i + 1 < len(token):
+            here += tuple((o + " ", p + edge) for o, p in here if o)
+        out.append(here)
+    return out
+
+
+def path_cost(text: str, cost) -> float:
+    """Cost of restored words under the language model; a space is an edge, which counts twice."""
+    x = y = 0
+    total = 0.0
+    for o in text.replace(" ", "  ") + " ":
+        z = 0 if o == " " else _CODE.get(o, _OTHER)
+        total += cost[(x * _SIZE + y) * _SIZE + z]
+        x, y = y, z
+    return total
+
+
+def restore(token: str, cost, spaced: bool = False, edge: float = 0.0) -> str:
+    """The likeliest words behind a token or a spaced run, by Viterbi over its character lattice; words are parted by spaces."""
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+    for options in lattice(token, spaced, edge):
+        nxt: dict[tuple[int, int], tuple] = {}
+        for (a, b), here in states.items():
+            for out, channel in options:
+                x, y, total = a, b, here[0] + channel
                 for o in out:
-                    z = _CODE.get(o, _OTHER)
+                    z = _CODE.get(o, _OTHER) if o != " " else 0
                     total += cost[(x * _SIZE + y) * _SIZE + z]
                     x, y = y, z
-                if (x, y) not in nxt or total < nxt[x, y][0]:
-                    nxt[x, y] = (total, text + out)
+                    if o == " ":
+                        total += cost[(x * _SIZE + y) * _SIZE]
+                        x, y = y, 0
+                known = nxt.get((x, y))
+                if known is None or total < known[0]:
+                    nxt[x, y] = (total, (out, here[1]))
         states = nxt
-    return min((total + cost[(a * _SIZE + b) * _SIZE], text) for (a, b), (total, text) in states.items())[1]
+    ends = [(total + cost[(a * _SIZE + b) * _SIZE], (a, b)) for (a, b), (total, _) in states.items()]
+    link = states[min(ends)[1]][1]
+    out = []
+    while link:
+        out.append(link[0])
+        link = link[1]
+    return "".join(reversed(out))
 
 
-def tokens_of(text: str) -> list[str]:
-    """Lower-cased tokens; three or more single characters in a row are joined to one."""
+def tokens_of(text: str) -> tuple[list[str], list[str]]:
+    """Lower-cased tokens, and runs of three or more single characters, each run as one string."""
     tokens = text.lower().split()
-    single = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) == 1
-    if single.sum() < 3:
-        return tokens
-    out, i, flags = [], 0, single.tolist()
-    while i < len(tokens):
-        j = i
-        while j < len(tokens) and flags[j]:
-            j += 1
-        if j - i >= 3:
-            out.append("".join(tokens[i:j]))
-        elif j > i:
-            out += tokens[i:j]
-        if j < len(tokens):
-            out.append(tokens[j])
-        i = j + 1
-    return out
+    single = [i for i, t in enumerate(tokens) if len(t) == 1]
+    runs, taken, first = [], [], 0
+    for k in range(1, len(single) + 1):
+        if k == len(single) or single[k] != single[k - 1] + 1:
+            if k - first >= 3:
+                run = "".join([tokens[i] for i in single[first:k]])
+                if _mixed(run):
+                    runs.append(run)
+                    taken.append((single[first], single[k - 1] + 1))
+            first = k
+    for a, b in reversed(taken):
+        del tokens[a:b]
+    return tokens, runs
 
 
 def word_features(word: str) -> list[str]:
@@ -157,36 +200,42 @@ def word_features(word: str) -> list[str]:
 
 
 class Reader:
-    """Turns texts into features, restored words included; a bounded memo of tokens lives in the worker."""
+    """Turns texts into features, restored words included; a bounded memo of tokens lives in the reader."""
 
     def __init__(self, cost: np.ndarray | None, wanted: dict[str, int] | None = None):
-        self.cost, self.wanted, self.memo = cost, wanted, {}
+        self.cost, self.wanted, self.memo = None if cost is None else cost.tolist(), wanted, {}
+
+    def _features(self, words: set[str]) -> tuple:
+        found = (f for w in words if w for f in word_features(w))
+        return tuple(found) if self.wanted is None else tuple({self.wanted[f] for f in found if f in self.wanted})
 
-    def _forms(self, token: str) -> list[str]:
+    def token(self, token: str) -> tuple:
         plain = token.strip(_EDGE)
-        forms = {plain} if plain else set()
+        forms = {plain}
         if self.cost is not None:
-            for t in {token, plain}:
+            core = token.strip(_SOFT)
+            for t in (plain,) if core == plain else (core, plain):
                 if looks_hidden(t):
                     forms.add(restore(t, self.cost))
-        return [f for f in forms if f]
+        return self._features(forms)
 
-    def token(self, token: str) -> tuple:
-        found = tuple(f for w in self._forms(token) for f in word_features(w))
-        if self.wanted is not None:
-            found = tuple({self.wanted[f] for f in found if f in self.wanted})
-        return found
+    def run(self, run: str) -> tuple:
+        """A run is read twice, with edges free and with edges favoured, for words of one letter; the words of both readings count."""
+        return self._features({run} if self.cost is None else {w for edge in EDGES for w in restore(run, self.cost, True, edge).split(" ")})
 
     def text(self, text: str | None) -> set:
         memo, out = self.memo, set()
         if len(memo) > _MEMO:
             memo.clear()
-        for t in set(tokens_of(text or "")):
+        tokens, runs = tokens_of(text or "")
+        for t in set(tokens):
             found = memo.get(t)
             if found is None:
                 found = memo[t] = self.token(t)
             if found:
                 out.update(found)
+        for r in runs:
+            out.update(self.run(r))
         return out
 
 
@@ -302,7 +351,9 @@ def score(docs: DataFrame, model: dict, folds: int = 4, held: int = 2) -> DataFr
     """``(doc_id, held_out, score, predicted)`` of every row.
 
     Null and empty texts get the score of a text without features. Repeated
-    rows get equal scores; a null doc_id is not held out.
+    rows get equal scores, whatever repeated or contrary labels they have (in
+    ``fit`` a doc_id counts once for each distinct label); a null doc_id is
+    not held out. An empty table gives no rows.
     """
 
     def make():
