@@ -9,13 +9,16 @@ candidate. Candidates are verified on the words: by the longest common
 subsequence with the passage, and for looser ones also by its answer, the
 last words of the passage.
 
-The benchmark is the query set. It is worked off in blocks of at most
-``BLOCK`` passages, so what a block broadcasts has a fixed bound, and every
-document is compared with every block in one map over the documents.
+The benchmark is the query set. It is read in groups of at most ``GROUP``
+passages, whole items each; a group is what the driver holds and what is
+broadcast, so both have a fixed bound, and it costs two scans of the
+documents: one for the frequencies of its words, one for the search. Inside a
+group every block of ``BLOCK`` passages has a factorisation of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,8 +27,11 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.license_scan import words_of
 from threadloom.llm.text import per_batch
+from threadloom.storage import materialize
 
-BLOCK, RANK, OVERSAMPLE = 512, 512, 10
+BLOCK, GROUP, OVERSAMPLE = 512, 4096, 10
+#: Share of the squared singular values that the latent space keeps; a fixed low rank loses passages of unlike words.
+ENERGY = 0.99
 PASSAGE = 96
 #: Window lengths by passage length: (longest passage, window); windows begin every quarter of a window.
 SCALES = ((24, 32), (48, 64), (96, 128))
@@ -104,8 +110,8 @@ def _weights(block: list[tuple[int, list[bytes]]], terms: dict[bytes, int], n: i
     return np.where(keep, idf, 0.0)
 
 
-def randomised_svd(rows: DataFrame, terms: int, rank: int, seed: int = 3, rounds: int = 2) -> np.ndarray:
-    """Right singular vectors (terms x rank) of a sparse matrix, rows given as ``(at array<int>, value array<double>)``.
+def randomised_svd(rows: DataFrame, terms: int, rank: int, energy: float = 1.0, seed: int = 3, rounds: int = 2) -> np.ndarray:
+    """Right singular vectors of a sparse matrix, rows given as ``(at array<int>, value array<double>)``: the fewest, up to ``rank``, that hold the share ``energy`` of its squares.
 
     A task multiplies its rows and sends one partial product of terms x rank
     numbers; the rows stay where they are (Halko, Martinsson and Tropp, 2011).
@@ -139,30 +145,39 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, seed: int = 3, rounds
     values, turn = np.linalg.eigh(product(basis, True))
     order = np.argsort(values)[::-1][:rank]
     order = order[values[order] > 1e-9 * max(1e-30, values.max())]
+    held = np.cumsum(values[order])
+    order = order[: int(np.searchsorted(held, energy * held[-1] - 1e-9)) + 1] if len(order) else order
     return basis @ turn[:, order]
 
 
-def _model(docs: DataFrame, block: list[tuple[int, list[bytes]]], partitions: int = 4) -> dict:
-    terms: dict[bytes, int] = {}
-    for _, words in block:
-        for w in words:
-            terms.setdefault(w, len(terms))
-    n, df = _document_frequencies(docs, terms)
-    weight = _weights(block, terms, n, df)
-    matrix = []
-    for _, words in block:
-        at, tf = np.unique([terms[w] for w in words], return_counts=True)
-        matrix.append(([int(t) for t in at], [float(x) for x in tf * weight[at]]))
-    spark = docs.sparkSession
-    rows = spark.createDataFrame(matrix, "at array<int>, value array<double>").repartition(partitions)
-    vectors = randomised_svd(rows, len(terms), min(RANK, len(block)))
-    latent = np.stack([np.asarray(v) @ vectors[a] for a, v in matrix])
+def _model(spark, block: list[tuple[int, list[bytes]]], terms: dict[bytes, int], n: int, df: np.ndarray, partitions: int = 8) -> dict:
+    """Latent space, passages and terms of one block; the rows of its matrix are made, and multiplied, in tasks."""
+    own = sorted({w for _, words in block for w in words})
+    weight = _weights(block, {w: i for i, w in enumerate(own)}, n, df[[terms[w] for w in own]])
+    place = {w: i for i, w in enumerate(own)}
+    shared = spark.sparkContext.broadcast((block, place, weight))
+
+    def vector(words, place, weight):
+        at, tf = np.unique([place[w] for w in words], return_counts=True)
+        return at, tf * weight[at]
+
+    def rows_of(batches):
+        import pyarrow as pa
+
+        block, place, weight = shared.value
+        for batch in batches:
+            made = [vector(block[i][1], place, weight) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"at": pa.array([a.tolist() for a, _ in made], pa.list_(pa.int32())), "value": pa.array([v.tolist() for _, v in made], pa.list_(pa.float64()))})
+
+    rows = spark.range(0, len(block), 1, partitions).mapInArrow(rows_of, "at array<int>, value array<double>")
+    vectors = randomised_svd(rows, len(own), len(block), ENERGY)
+    latent = np.stack([v @ vectors[a] for a, v in (vector(words, place, weight) for _, words in block)])
     return {
         "passages": block,
-        "terms": {w: t for w, t in terms.items() if weight[t] > 0},
-        "table": vectors * weight[:, None],
+        "terms": {w: t for w, t in place.items() if weight[t] > 0},
+        "table": (vectors * weight[:, None]).astype(np.float32),
         # latent passages over their squared length: times a window's latent vector, the cosine over that of an exact inclusion
-        "queries": latent / np.maximum((latent**2).sum(axis=1, keepdims=True), 1e-12),
+        "queries": (latent / np.maximum((latent**2).sum(axis=1, keepdims=True), 1e-12)).astype(np.float32),
         "scale": np.array([next(i for i, (most, _) in enumerate(SCALES) if len(words) <= most) for _, words in block]),
     }
 
@@ -187,16 +202,17 @@ class Search:
             if len(at) < 2:
                 continue
             sums = np.zeros((len(at) + 1, m["table"].shape[1]))
-            np.cumsum(m["table"][ids[at]], axis=0, out=sums[1:])
+            np.cumsum(m["table"][ids[at]], axis=0, dtype=np.float64, out=sums[1:])
             for window, passages in self.by_scale:
                 if not len(passages):
                     continue
+                queries = m["queries"][passages]
                 starts = np.arange(first, min(first + _STEP, len(words)), window // 4)
                 a, b = np.searchsorted(at, starts), np.searchsorted(at, starts + window)
                 some = b - a >= 2
                 starts, a, b = starts[some], a[some], b[some]
                 for k in range(0, len(starts), 1024):
-                    near = (sums[b[k : k + 1024]] - sums[a[k : k + 1024]]) @ m["queries"][passages].T
+                    near = (sums[b[k : k + 1024]] - sums[a[k : k + 1024]]).astype(np.float32) @ queries.T
                     for i, j in np.argwhere(near >= NEAR).tolist():
                         yield int(passages[j]), int(starts[k + i]), window, float(near[i, j])
 
@@ -249,37 +265,67 @@ class ShortSearch:
         return [(item, *found) for item, found in best.items()]
 
 
-def _search(model: dict | list) -> Search | ShortSearch:
-    return Search(model) if isinstance(model, dict) else ShortSearch(model)
+class GroupSearch:
+    """Finds the leaks of a group: blocks of long passages, and the short ones."""
+
+    def __init__(self, models: list[dict], short: list[tuple[int, list[bytes]]]):
+        self.parts = [*map(Search, models), *([ShortSearch(short)] if short else [])]
+
+    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+        """As ``Search.leaks``; of an item's passages in several parts the best counts."""
+        best: dict = {}
+        for part in self.parts:
+            for item, *found in part.leaks(text):
+                if item not in best or found[1] > best[item][1]:
+                    best[item] = found
+        return [(item, *found) for item, found in best.items()]
+
+
+def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Passages in groups of whole items, ``GROUP`` at most unless one item has more; the driver holds one group at a time."""
+    held: list = []
+    last = None
+    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        made = passages_of([(row["item_id"], row["text"])])
+        if held and row["item_id"] != last and len(held) + len(made) > GROUP:
+            yield held
+            held = []
+        held, last = held + made, row["item_id"]
+    if held:
+        yield held
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> list:
-    """A broadcast model for each block of passages, and the short ones in blocks of their own."""
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").collect()]
-    passages = passages_of(items)
+def _search_of(docs: DataFrame, passages: list[tuple[int, list[bytes]]]):
+    """The broadcast models of a group; the inverse document frequencies come from one scan of all documents."""
+    spark = docs.sparkSession
     long, short = [p for p in passages if len(p[1]) >= FEW], [p for p in passages if len(p[1]) < FEW]
-    context = docs.sparkSession.sparkContext
-    models = [context.broadcast(_model(docs, long[start : start + BLOCK])) for start in range(0, len(long), BLOCK)]
-    return models + [context.broadcast(short[start : start + BLOCK]) for start in range(0, len(short), BLOCK)]
+    models = []
+    if long:
+        terms = {w: i for i, w in enumerate(sorted({w for _, words in long for w in words}))}
+        n, df = _document_frequencies(docs, terms)
+        models = [_model(spark, long[start : start + BLOCK], terms, n, df) for start in range(0, len(long), BLOCK)]
+    return spark.sparkContext.broadcast((models, short))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text leaks an item; one map, no shuffle, all columns kept."""
+    """``docs`` without the rows whose text leaks an item; a map for each group, no shuffle, all columns kept."""
     names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    shared = _blocks(docs, benchmark)
-    if not shared:
-        return docs
+    out, first = docs, True
+    for passages in _groups(benchmark):
+        out = out if first else materialize(out, "without-leaks")  # so that a task holds one group
+        first = False
 
-    def make():
-        searches = [_search(s.value) for s in shared]
+        def make(shared=_search_of(docs, passages)):
+            search = GroupSearch(*shared.value)
 
-        def work(batch):
-            clean = [i for i, t in enumerate(batch["text"]) if not any(s.leaks(t) for s in searches)]
-            return {n: [batch[n][i] for i in clean] for n in names}
+            def work(batch):
+                clean = [i for i, t in enumerate(batch["text"]) if not search.leaks(t)]
+                return {n: [batch[n][i] for i in clean] for n in names}
 
-        return work
+            return work
 
-    return per_batch(docs, make, schema)
+        out = per_batch(out, make, schema)
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -288,16 +334,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts leak nothing, and items without words can't be
     leaked. Repeated documents give repeated rows; repeated items of one id
     count once. Copies of a passage in a very long text are found wherever
-    they stand. The benchmark's ids and texts come to the driver: it is the
-    stated query set, and only ``BLOCK`` passages are shipped at a time.
+    they stand. An empty benchmark or an empty table gives no rows. The
+    benchmark is the stated query set; the driver holds, and a task gets, one
+    group of ``GROUP`` passages at a time.
     """
     schema = "doc_id bigint, item_id bigint, nearness double, common double, answer_found boolean"
-    spark = docs.sparkSession
     found = []
-    for shared in _blocks(docs, benchmark):
+    for passages in _groups(benchmark):
 
-        def make(shared=shared):
-            search = _search(shared.value)
+        def make(shared=_search_of(docs, passages)):
+            search = GroupSearch(*shared.value)
 
             def work(batch):
                 out = {"doc_id": [], "item_id": [], "nearness": [], "common": [], "answer_found": []}
@@ -310,9 +356,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             return work
 
         found.append(per_batch(docs.select("doc_id", "text"), make, schema))
-    if not found:
-        return spark.createDataFrame([], schema)
-    if len(found) == 1:
-        return found[0]
-    # an item may have passages in several blocks; repeated document rows are then told apart no more
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("nearness").alias("nearness"), F.max("common").alias("common"), F.max("answer_found").alias("answer_found"))
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
