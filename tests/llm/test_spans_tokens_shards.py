@@ -49,13 +49,41 @@ def test_contexts_are_learned_and_masked(make):
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20))
     texts = [f"words and password={key()} more" for _ in range(8)] + [f"the session_ref: {key()} is here" for _ in range(8)] + ["chapter 12345678 of the book"] * 3 + [None, "mail ann@example.com now", "card 4111111111111111 and +1 555 123 4567"]
     docs = make(texts)
-    contexts = pii.bootstrap(docs)
+    contexts = learned(docs)
     assert "password=" in contexts and "session_ref: " in contexts and "chapter " not in contexts
-    masked = {r["doc_id"]: r for r in pii.mask(docs, contexts).collect()}
+    masked = {r["doc_id"]: r for r in pii.mask(docs).collect()}
     assert masked[0]["text"] == "words and password=[IDENTIFIER] more" and masked[0]["n_chars"] == len(masked[0]["text"])
     assert masked[16]["text"] == "chapter 12345678 of the book" and masked[19]["text"] is None
     assert masked[20]["text"] == "mail [EMAIL] now" and "[CARD]" in masked[21]["text"] and masked[21]["text"].endswith("[PHONE]")
-    assert masked[0]["base"] == 2 and pii.mask(make([]), contexts).count() == 0 and pii.span_digest(make([])).count() == 0
+    assert masked[0]["base"] == 2 and pii.mask(make([])).count() == 0 and pii.span_digest(make([])).count() == 0
+
+
+def learned(docs):
+    return {r["context"] for r in pii.bootstrap(pii.scan(docs)).collect()}
+
+
+def test_entities_and_plain_words_lend_patterns(make):
+    rng = random.Random(6)
+    key = lambda: "sk-" + "".join(rng.choice("0123456789abcdefXYZ") for _ in range(16)) + "_q7"
+    keys = [key() for _ in range(12)]
+    texts = [f"note token: {k} end" for k in keys] + [f"well, my key is {k} yes" for k in keys[:6]]
+    texts += [f"contact: p{i}@example.com" for i in range(9)] + ["contact: jdoe19999 there"] + [f"the year was {i}0240101 then" for i in range(1, 9)]
+    contexts = learned(make(texts))
+    assert {"token: ", "key is ", "contact: "} <= contexts and "year was " not in contexts
+    masked = [r["text"] for r in pii.mask(make(texts)).orderBy("doc_id").collect()]
+    assert masked[0] == "note token: [IDENTIFIER] end" and masked[12] == "well, my key is [IDENTIFIER] yes"
+    assert masked[27] == "contact: [IDENTIFIER] there" and masked[28] == texts[28]
+
+
+def test_contexts_have_no_limit(make):
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    texts = [f"{name(i)}_password_{name(i)}: x secret: k{i}{j}abc99 {name(i)}ref: k{i}{j}abc99 end" for i in range(1100) for j in range(3)]
+    assert len([c for c in learned(make(texts)) if c.endswith("ref: ")]) == 1100
+
+
+def test_repeated_texts_keep_their_rows(make):
+    got = pii.span_digest(make(["a@b.com x", "a@b.com x", None, None], [1, 1, 2, None])).collect()
+    assert sorted((r["n_email"], r["spans"]) for r in got) == [(0, ""), (0, ""), (1, "email:0:7"), (1, "email:0:7")]
 
 
 def test_no_python_in_the_plan(make):
@@ -63,6 +91,14 @@ def test_no_python_in_the_plan(make):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_small_sources_are_spread(spark):
+    rows = [(i, "t", f"s{i}") for i in range(2000)] + [(5000 + i, "t", s) for i, s in enumerate([None] * 40 + [""] * 40)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert got.groupby("shard").size().max() <= 52
+    for own in (got[got["stratum"].isna()], got[got["stratum"] == ""]):
+        assert own.groupby("shard").size().max() <= 2 and len(own) == 40
+
+
 def test_shards(spark, make, odd_texts):
     rng = random.Random(2)
     rows = [(i, "t" * rng.randrange(50), ["hot"] * 5 + ["b", "c", None]) for i in range(1000)]
@@ -73,6 +109,7 @@ def test_shards(spark, make, odd_texts):
     assert len(sizes) == 40 and sizes.max() - sizes.min() <= 1
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
+    assert set(got["stratum"].dropna()) == {"hot", "b", "c"}
     share = (got["stratum"] == "hot").mean()
     per = got.groupby("shard")["stratum"].apply(lambda s: (s == "hot").sum())
     assert (per - share * sizes).abs().max() <= 1.5

@@ -2,13 +2,16 @@
 
 Four kinds have patterns of their own. Other identifiers are found by
 bootstrapping: candidates are tokens that look like identifiers; each has a
-context (the word and signs before it) and a form (its kind of characters).
-Seeds are candidates after a few words that announce a secret, and the
-entities of the four kinds lend theirs: a candidate in a context that mostly
-holds such entities is one too. Contexts and forms score candidates,
+context (the word or two and the signs before it) and a form (its kind of
+characters). Seeds are entities: the spans of the four kinds, and candidates
+after a few words that announce a secret. Contexts and forms score candidates,
 candidates score contexts and forms, a few rounds; contexts that end with a
 high score are patterns, and every candidate in one is a found identifier.
 
+A text is scanned once: its spans, candidates and contexts are written, one
+row for each distinct text that has any, and all later steps work on these.
+Contexts stay a table, however many there are; forms are a few hundred at most.
+
 Java's regular expressions are written with possessive repeats and a guard in
 front, so each runs in time linear in the text and without deep recursion.
 """
@@ -30,11 +33,12 @@ KINDS = {
 #: A text without this sign holds none of the kind.
 SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 OTHER = "identifier"
-#: 8 to 64 letters and digits, a digit among them.
-CANDIDATE = r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,63}[0-9])[0-9A-Za-z]{8,64}+(?![0-9A-Za-z])"
+#: 8 to 64 letters, digits and inner hyphens or underscores, a digit among them.
+CANDIDATE = r"(?<![0-9A-Za-z_-])(?=[A-Za-z][A-Za-z_-]{0,62}[0-9]|[0-9])[0-9A-Za-z_-]{8,64}+(?<=[0-9A-Za-z])(?![0-9A-Za-z_-])"
 #: Words before an assignment whose values are seeds.
 SEED_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key")
-ROUNDS, ACCEPT, SUPPORT, PATTERNS = 3, 0.5, 3, 1_000
+#: Rounds, and what a context must reach: its score, that without a sign of assignment, and distinct candidates.
+ROUNDS, ACCEPT, ACCEPT_PLAIN, SUPPORT = 3, 0.5, 0.8, 3
 _CHUNK = 256
 
 
@@ -97,29 +101,34 @@ def _valid(kind: str, m: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def base_spans(kind: str, text: Column) -> Column:
-    """Spans of one kind, in order; a match that fails its check is dropped and not tried again."""
+def _kept(kind: str, text: Column) -> Column:
+    """Array of (kind, start, end, m, context) of one kind, in order; a match that fails its check is dropped and not tried again."""
+    shape = "array<struct<kind:string,start:int,end:int,m:string,context:string>>"
     spans = F.transform(
         F.filter(_matches(text, KINDS[kind]), lambda x: _valid(kind, x["m"])),
-        lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.char_length(x["m"])).alias("end")),
+        lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.char_length(x["m"])).alias("end"), x["m"].alias("m"), _context(x["gap"]).alias("context")),
     )
     likely = text.contains(SIGN[kind]) if SIGN[kind] else F.lit(True)
-    return F.when(likely & text.rlike(KINDS[kind]), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    return F.when(likely & text.rlike(KINDS[kind]), spans.cast(shape)).otherwise(F.array().cast(shape))
 
 
 def _context(gap: Column) -> Column:
-    """The word and signs right before a candidate, lower-cased; empty if there is no word within reach."""
-    raw = F.lower(F.regexp_extract(gap, r"([A-Za-z_]{2,24}[\s:=\"'#]{1,4})$", 1))
-    return F.regexp_replace(raw, r"\s+", " ")
+    """The word and signs right before a candidate, or two words if only spaces follow them, lower-cased; empty if there is none within reach."""
+    signed = F.regexp_extract(gap, r"([A-Za-z_]{2,24}\s{0,2}[:=][\s:=\"'#]{0,3})$", 1)
+    plain = F.regexp_extract(gap, r"(?<![A-Za-z_])([A-Za-z_]{1,24}\s{1,2}[A-Za-z_]{2,24}[\s\"'#]{1,3})$", 1)
+    return F.regexp_replace(F.lower(F.when(signed != "", signed).otherwise(plain)), r"\s+", " ")
 
 
 def _form(m: Column) -> Column:
-    return (
-        F.when(m.rlike("^[0-9]+$"), "digits")
-        .when(m.rlike("^[0-9a-f]+$"), "hex")
-        .when(m.rlike("^[A-Z0-9]+$"), F.concat(F.lit("upper:"), F.regexp_extract(m, "^([A-Z]{0,4})", 1)))
+    """Kind of characters; at most about 1,500 values."""
+    core = F.regexp_replace(m, "[_-]", "")
+    kind = (
+        F.when(core.rlike("^[0-9]+$"), "digits")
+        .when(core.rlike("^[0-9a-f]+$"), "hex")
+        .when(core.rlike("^[A-Z0-9]+$"), F.concat(F.lit("upper:"), F.regexp_extract(core, "^([A-Z]{0,2})", 1)))
         .otherwise("mixed")
     )
+    return F.concat(kind, F.when(core == m, "").otherwise("-"))
 
 
 def candidates(text: Column) -> Column:
@@ -132,54 +141,82 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def bootstrap(docs: DataFrame, rounds: int = ROUNDS) -> list[str]:
-    """Contexts that announce identifiers, best first; at most ``PATTERNS`` strings come to the driver.
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def _key(text: Column) -> Column:
+    return F.md5(text)
+
 
-    The graph links distinct candidates to their contexts and forms. It holds
-    sums, not texts, and is written to the shared folder once. A context is
-    accepted with at least ``SUPPORT`` distinct candidates, a score of
-    ``ACCEPT`` and a sign of assignment at its end.
+def scan(docs: DataFrame) -> DataFrame:
+    """``(key, n_<kind>, base, contexts, found)`` of each distinct text with a span or a candidate, written to the shared folder.
+
+    ``base`` has the spans of the four kinds in their order, ``contexts`` the
+    context of each, ``found`` the candidates that no base span overlaps.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(text.alias("text")).where(F.col("text").rlike(CANDIDATE)).select(F.explode(candidates(F.col("text"))).alias("c")).select("c.*")
-    rows = rows.where("context <> ''").select(F.xxhash64("m").alias("instance"), "context", "form")
-    edges = rows.groupBy("instance", "context", "form").agg(F.count("*").alias("n"))
-    seed = F.regexp_extract("context", "^([a-z_]+)", 1).isin(*SEED_WORDS) & F.col("context").rlike("[:=]")
-    graph = materialize(edges.select("instance", "context", "form", seed.cast("double").alias("seed")), "pii-graph")
-    links = graph.select("instance", F.concat(F.lit("c:"), "context").alias("pattern")).unionByName(graph.select("instance", F.concat(F.lit("f:"), "form").alias("pattern"))).distinct()
-    seeds = graph.groupBy("instance").agg(F.max("seed").alias("score"))
-    scores, patterns = seeds, None
-    for _ in range(rounds):
-        # a pattern is worth the mean score of its candidates; few candidates count for less
-        patterns = links.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.count("*").alias("support"))
-        patterns = materialize(patterns, "pii-patterns")
-        # a candidate is worth its best context and form together, a seed stays a seed
-        reached = links.join(patterns, "pattern").groupBy("instance").agg(
-            F.max(F.when(F.col("pattern").startswith("c:"), F.col("worth"))).alias("c"), F.max(F.when(F.col("pattern").startswith("f:"), F.col("worth"))).alias("f")
-        )
-        scores = materialize(reached.join(seeds, "instance").select("instance", F.greatest("score", 1 - (1 - F.col("c")) * (1 - F.col("f"))).alias("score")), "pii-scores")
-    good = patterns.where(F.col("pattern").startswith("c:") & (F.col("worth") >= ACCEPT) & (F.col("support") >= SUPPORT) & F.col("pattern").rlike("[:=][\\s\"']*$"))
-    return [r["pattern"][2:] for r in good.orderBy(F.desc("worth"), F.desc("support"), "pattern").limit(PATTERNS).collect()]
+    rows = docs.select(_text().alias("_text")).where(F.col("_text").rlike("[0-9@]"))  # every kind and candidate holds one
+    matched = rows.select("_text", *(_kept(k, F.col("_text")).alias(f"_{k}") for k in KINDS), candidates(F.col("_text")).alias("_found"))
+    span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    both = matched.select(
+        _key(F.col("_text")).alias("key"), *(F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS), F.concat(*(f"_{k}" for k in KINDS)).alias("_base"), "_found"
+    )
+    grouped = both.groupBy("key").agg(*(F.first(c).alias(c) for c in both.columns[1:])).where("size(_base) > 0 or size(_found) > 0")
+    clear = F.filter("_found", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return materialize(grouped.select("key", *(f"n_{k}" for k in KINDS), F.transform("_base", span).cast(_SPAN).alias("base"), "_base", clear.alias("found")), "pii-scan")
 
 
-def find_spans(docs: DataFrame, contexts: list[str], keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` (doc_id), ``base`` and ``found``: arrays of (kind, start, end) in code points, end exclusive.
+def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``(context, worth, support)`` of contexts that announce identifiers, from the rows of ``scan``.
 
-    ``base`` has the four kinds in their order, ``found`` the identifiers
+    The graph links distinct instances to their contexts and forms. It holds
+    sums, not texts, and is written to the shared folder once. Spans of the
+    four kinds are seeds, with contexts but without forms. A context is
+    accepted with at least ``SUPPORT`` distinct instances, a candidate among
+    them, and a score of ``ACCEPT``, or of ``ACCEPT_PLAIN`` if it doesn't end
+    with a sign of assignment.
+    """
+    tokens = scanned.select(F.explode("found").alias("c")).select(F.xxhash64("c.m").alias("instance"), "c.context", "c.form")
+    entities = scanned.select(F.explode("_base").alias("c")).select(F.xxhash64("c.kind", "c.m").alias("instance"), "c.context", F.lit(None).cast("string").alias("form"))
+    word = F.regexp_extract("context", "^([a-z_]+)", 1)
+    seed = (word.isin(*SEED_WORDS) & F.col("context").rlike("[:=]")) | F.col("form").isNull()
+    edges = tokens.unionByName(entities).where("context <> ''").groupBy("instance", "context", "form").agg(F.count("*").alias("n"))
+    graph = materialize(edges.select("instance", "context", "form", seed.cast("double").alias("seed")), "pii-graph")
+    links = graph.select("instance", "context")
+    nodes = materialize(graph.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("form").alias("form")), "pii-nodes")
+    scores, contexts = nodes.select("instance", F.col("seed").alias("score")), None
+    for _ in range(rounds):
+        # a context or form is worth the mean score of its instances; few instances count for less
+        worth = (F.sum("score") / (F.count("*") + 1)).alias("worth")
+        real = F.max(F.when(F.col("form").isNotNull(), 1).otherwise(0)).alias("real")
+        scored = nodes.join(scores, "instance")
+        contexts = materialize(links.join(scored, "instance").groupBy("context").agg(worth, F.count("*").alias("support"), real), "pii-contexts")
+        forms = scored.where("form is not null").groupBy("form").agg(worth.alias("f"))  # bounded, see _form
+        # an instance is worth its best context and its form together, a seed stays a seed
+        best = links.join(contexts, "context").groupBy("instance").agg(F.max("worth").alias("c"))
+        reached = nodes.join(best, "instance").join(F.broadcast(forms), "form", "left")
+        score = F.greatest("seed", 1 - (1 - F.col("c")) * (1 - F.coalesce("f", F.lit(0.0))))
+        scores = materialize(reached.select("instance", score.alias("score")), "pii-scores")
+    least = F.when(F.col("context").rlike(r"[:=][\s\"'#]*$"), ACCEPT).otherwise(ACCEPT_PLAIN)
+    return contexts.where((F.col("worth") >= least) & (F.col("support") >= SUPPORT) & (F.col("real") == 1)).select("context", "worth", "support")
+
+
+def find_spans(docs: DataFrame, scanned: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with ``_base`` and ``_found``, arrays of (kind, start, end) in code points, end exclusive, and ``_n_<kind>``.
+
+    ``_base`` has the four kinds in their order, ``_found`` the identifiers
     after an accepted context that no base span overlaps. A null text counts
-    as empty. Repeated rows are scanned alike; there is no shuffle.
+    as empty. Spark broadcasts what was found if it is small enough, and
+    else joins it by the text's key.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*(keep or ["doc_id"]), text.alias("_text"))
-    rows = rows.withColumns({f"_{k}": base_spans(k, F.col("_text")) for k in KINDS})
-    rows = rows.withColumn("base", F.concat(*(f"_{k}" for k in KINDS)))
-    wanted = F.array(*map(F.lit, contexts)).cast("array<string>")
-    if contexts:
-        likely = F.filter(candidates(F.col("_text")), lambda c: F.array_contains(wanted, c["context"]) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        found = F.transform(likely, lambda c: F.struct(F.lit(OTHER).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).cast(_SPAN)
-    else:
-        found = F.array().cast(_SPAN)
-    return rows.withColumn("found", found)
+    named = scanned.select("key", F.explode("found").alias("c")).select("key", "c.context", F.struct(F.lit(OTHER).alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end")).alias("s"))
+    named = named.join(contexts.select("context"), "context").groupBy("key").agg(F.array_sort(F.collect_list("s")).cast(_SPAN).alias("_found"))
+    none = F.array().cast(_SPAN)
+    known = scanned.select("key", F.col("base").alias("_base"), *(F.col(f"n_{k}").alias(f"_n_{k}") for k in KINDS)).join(named, "key", "left").where("size(_base) > 0 or _found is not null")
+    # left rows keep their own columns under one name, so clashing names meet nothing
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _key(_text()).alias("_text_key"))
+    joined = rows.join(known, F.col("_text_key") == F.col("key"), "left")
+    return joined.select("_row", F.coalesce("_base", none).alias("_base"), F.coalesce("_found", none).alias("_found"), *(F.coalesce(f"_n_{k}", F.lit(0).cast("bigint")).alias(f"_n_{k}") for k in KINDS))
 
 
 def _joined(spans: Column) -> Column:
@@ -187,26 +224,31 @@ def _joined(spans: Column) -> Column:
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of every row."""
-    rows = find_spans(docs, bootstrap(docs))
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of every row.
+
+    Null texts count as empty and have no spans; repeated rows are kept, each
+    with its spans; an empty table gives no rows.
+    """
+    scanned = scan(docs)
+    rows = find_spans(docs.select("doc_id", "text"), scanned, bootstrap(scanned))
     return rows.select(
-        "doc_id",
-        *(F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.concat("base", "found")).alias("spans"),
+        F.col("_row.doc_id").alias("doc_id"),
+        *(F.col(f"_n_{k}").alias(f"n_{k}") for k in KINDS),
+        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
+        _joined(F.concat("_base", "_found")).alias("spans"),
     )
 
 
-def mask(docs: DataFrame, contexts: list[str]) -> DataFrame:
+def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets, and n_chars counted anew.
 
     Overlapping spans are masked as one. Texts without spans, nulls among
     them, stay as they are.
     """
     names = docs.columns
-    # the row travels as one column, so its names meet none of those made here
-    rows = find_spans(docs.select(F.struct(*names).alias("_row"), "text"), contexts, keep=["_row"])
-    order = F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    scanned = scan(docs)
+    rows = find_spans(docs, scanned, bootstrap(scanned)).withColumn("_text", F.coalesce("_row.text", F.lit("")))
+    order = F.array_sort(F.transform(F.concat("_base", "_found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     kind = "array<struct<start:int,end:int,kind:string>>"
 
     def join(done: Column, s: Column) -> Column:

@@ -101,11 +101,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Sharding in DuckDB, the checksum of the text's bytes included. The other operators learn, join by likeness or run libraries, which SQL can't express.
 _SHARDING = """WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
-raw AS (SELECT doc_id, coalesce(source, '') AS stratum, coalesce(text, '') AS text FROM documents),
+raw AS (SELECT doc_id, coalesce('1' || source, '0') AS stratum, coalesce(text, '') AS text FROM documents),
 coded AS (SELECT doc_id, stratum, octet_length(encode(text)) + 16 AS size, hex(encode(text)) AS h FROM raw),
 summed AS (SELECT doc_id, stratum, size, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8), 4294967295), 4294967295) AS crc FROM coded, tbl),
 mixed AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7:' || crc) AS mix FROM summed),
-ranked AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id, crc) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY stratum)) AS place FROM mixed),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id, crc)::DOUBLE - CAST('0x' || substr(md5(stratum), 1, 8) AS BIGINT)::DOUBLE / 4294967296::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS place FROM mixed),
 placed AS (SELECT *, row_number() OVER (ORDER BY place, stratum, doc_id, crc) - 1 AS position, count(*) OVER () AS total FROM ranked),
 dealt AS (SELECT *, position * 40 // total AS shard FROM placed)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard, position - (shard * total + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt"""

@@ -1,9 +1,11 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled inside each source by a seeded hash and ranked; the
-fractional rank (rank - 1/2) / n of a row says how far into its source it
-stands. Sorting by fractional rank deals the sources evenly over the whole
-order, so every contiguous cut of it holds each source in proportion.
+fractional rank (rank - u) / n of a row says how far into its source it
+stands, where u in [0, 1) is a hash of the source, so that many sources of a
+row or two are spread as well. Sorting by fractional rank deals the sources
+evenly over the whole order, so every contiguous cut of it holds each source
+in proportion.
 
 No source is ranked in one task: a rank is the number of rows in the earlier
 slices of the hash range plus the rank inside the slice, and the same holds
@@ -36,7 +38,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 7, stratum: st
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id",
-        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
+        F.coalesce(F.concat(F.lit("1"), F.col(stratum).cast("string")), F.lit("0")).alias("stratum"),  # null is none of the strings
         (F.octet_length(text).cast("bigint") + OVERHEAD_BYTES).alias("size"),
         F.crc32(text).alias("text_crc32"),
     ).withColumn("mix", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.col("text_crc32").cast("string"))))
@@ -52,9 +54,9 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 7, stratum: st
     )
     inside = F.row_number().over(Window.partitionBy("stratum", "slice").orderBy("mix", "doc_id", "text_crc32"))
     ranked = rows.withColumn("inside", inside).join(offsets, ["stratum", "slice"])
-    # twice the rank less one over twice the count, as whole numbers until the last moment
-    odd = 2 * (F.col("earlier") + F.col("inside")) - 1
-    ranked = ranked.withColumn("at", odd.cast("double") / (2 * F.col("n"))).withColumn("cut", F.floor(F.expr("at * " + str(slices))).cast("int"))
+    shift = F.conv(F.left(F.md5("stratum"), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    at = ((F.col("earlier") + F.col("inside")).cast("double") - shift) / F.col("n")
+    ranked = ranked.withColumn("at", at).withColumn("cut", F.floor(F.col("at") * slices).cast("int"))
     ranked = materialize(ranked.drop("mix", "slice", "inside", "earlier", "n"), "shard-ranks")
 
     counts = ranked.groupBy("cut").agg(F.count("*").alias("in_cut"))
@@ -64,5 +66,5 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 7, stratum: st
     shard = F.expr(f"(position * {shards}) div total")
     first = F.expr(f"(shard * total + {shards} - 1) div {shards}")
     return placed.withColumn("shard", shard.cast("int")).select(
-        "doc_id", "size", "text_crc32", "stratum", "shard", (F.col("position") - first).alias("slot")
+        "doc_id", "size", "text_crc32", F.when(F.left("stratum", F.lit(1)) == "1", F.expr("substring(stratum, 2)")).alias("stratum"), "shard", (F.col("position") - first).alias("slot")
     )
