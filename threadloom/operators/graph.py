@@ -41,12 +41,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
     state = materialize(_oriented(links), "cc")
     before = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
         row = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         now = (row["n"], row["h"])
         if now == before or not row["n"]:
             break
         before = now
+        if turn == max_rounds:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
         # small graphs are kept in few files, so a round has few tasks
         state = materialize(_small_star(_large_star(state)).coalesce(1 + row["n"] // ROWS_A_FILE), "cc")
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

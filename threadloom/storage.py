@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.threadloom.scratch", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.threadloom.scratch", path)
     return path.rstrip("/")
