@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.license_scan import words_of
-from threadloom.llm.text import per_batch
+from threadloom.llm.text import per_batch, small_batches
 from threadloom.storage import materialize
 
 BLOCK, GROUP, OVERSAMPLE = 512, 4096, 10
@@ -93,6 +93,7 @@ def _document_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[int
         yield pa.RecordBatch.from_pydict({"w": pa.array([None, *keys], pa.binary()), "n": pa.array([n, *(sums[k] for k in keys)], pa.int64())})
 
     df, total = np.zeros(len(terms)), 0
+    small_batches(docs.sparkSession)
     for w, n in docs.select("text").mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect():
         if w is None:
             total = n

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import crc_fold, per_batch, picked
+from threadloom.llm.text import crc_fold, per_batch, picked, small_batches
 
 BINS = 4096
 #: Learning rows that centroids are clustered from, about, dealt evenly to the languages, and the least share of one language.
@@ -54,6 +54,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_pydict({"bin": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([n, *held[at].tolist()], pa.int64())})
 
+    small_batches(docs.sparkSession)
     sums = docs.select("text").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     held, rows = np.zeros(BINS), 0
     for b, n in sums:

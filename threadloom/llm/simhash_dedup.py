@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import per_batch
+from threadloom.llm.text import per_batch, small_batches
 from threadloom.operators.graph import connected_components
 from threadloom.storage import materialize
 
@@ -173,7 +173,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of word shingles by way of word hashes, which a bounded memo holds."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.memo = most, {}
 
     def hashes(self, text: str | None, words: int) -> np.ndarray:
@@ -235,6 +235,7 @@ def _shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "n": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     shape, out = "piece int, n binary", np.zeros((_PIECES, (1 << _BIN_BITS) // _PIECES), dtype=np.int64)
+    small_batches(docs.sparkSession)
     for piece, n in docs.select("text").mapInArrow(count, shape).repartition(_PIECES, "piece").mapInArrow(add, shape).collect():
         out[piece] = np.frombuffer(bytes(n), dtype=np.int64)
     return out.reshape(-1)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows whose texts a task holds as Python objects at a time.
@@ -35,13 +36,28 @@ def picked(key: Column, seed: str, share: Column | float) -> Column:
 
 @contextmanager
 def collector_off():
-    """No garbage collection inside: memos of many small objects hold no cycles, and scanning them takes a third of the time."""
+    """No garbage collection inside: memos of many small objects hold no cycles, and scanning them takes a third of the time.
+
+    Afterwards a worker, which serves many tasks, gives its memory back.
+    """
     gc.disable()
     try:
         yield
     finally:
         gc.enable()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``ROWS`` rows, where the session names no size: ten thousand texts at a time fill an executor."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, ROWS)
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
@@ -63,6 +79,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
             finally:
                 work = out = None  # a worker serves many tasks: nothing of one stays for the next
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.quality_rules import labelled_sample
-from threadloom.llm.text import crc_fold, per_batch
+from threadloom.llm.text import crc_fold, per_batch, small_batches
 
 #: Labelled rows that weights are fitted on, about; the language model covers all documents.
 TRAIN_ROWS = 20_000
@@ -43,7 +43,7 @@ _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _SHAPE = str.maketrans({c: "a" for c in _LETTERS} | {c: "1" for c in [*SIGNS, *_DROPPED]})
 #: Costs of a word's edge between characters set apart, one for each reading.
 EDGES = (0.0, -2.0)
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -73,6 +73,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"gram": pa.array(at, pa.int32()), "n": pa.array(sums[at], pa.int64())})
 
     out = np.zeros(_SIZE**3)
+    small_batches(docs.sparkSession)
     for gram, n in docs.select("text").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[gram] = n
     return out
@@ -253,6 +254,7 @@ def _feature_counts(rows: DataFrame, cost: np.ndarray | None, wanted: set[str] |
         keys = list(sums)
         yield pa.RecordBatch.from_pydict({"feature": pa.array([k[0] for k in keys], pa.string()), "y": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([sums[k] for k in keys], pa.int64())})
 
+    small_batches(rows.sparkSession)
     return rows.select("text", "y").mapInArrow(run, "feature string, y int, n bigint").groupBy("feature", "y").agg(F.sum("n").alias("n"))
 
 
