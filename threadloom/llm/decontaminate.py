@@ -43,7 +43,7 @@ SAME, LOOSE = 0.8, 0.6
 COMMON, AT_LEAST = 0.02, 8
 #: Passages of fewer words have no terms to tell them by; they are sought word by word.
 FEW = 8
-_STEP = 16_384
+_STEP, _PIECES = 16_384, 8
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -115,7 +115,7 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, energy: float = 1.0,
     """Right singular vectors of a sparse matrix, rows given as ``(at array<int>, value array<double>)``: the fewest, up to ``rank``, that hold the share ``energy`` of its squares.
 
     A task multiplies its rows and sends one partial product of terms x rank
-    numbers; the rows stay where they are (Halko, Martinsson and Tropp, 2011).
+    numbers in pieces; the rows stay where they are (Halko, Martinsson and Tropp, 2011).
     """
     width = min(rank + OVERSAMPLE, terms)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
@@ -135,11 +135,22 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, energy: float = 1.0,
                         out += np.outer(y, y)
                     else:
                         np.add.at(out, at, np.outer(value, y))
-            yield pa.RecordBatch.from_pydict({"m": pa.array([out.tobytes()], pa.binary())})
+            pieces = np.array_split(out, _PIECES)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(_PIECES), pa.int32()), "m": pa.array([p.tobytes() for p in pieces], pa.binary())})
 
-        parts = rows.mapInArrow(run, "m binary").collect()
-        shape = (basis.shape[1] if last else terms, basis.shape[1])
-        return sum((np.frombuffer(bytes(p[0])).reshape(shape) for p in parts), np.zeros(shape))
+        def add(batches):
+            import pyarrow as pa
+
+            sums: dict = {}
+            for batch in batches:
+                for piece, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    sums[piece] = sums.get(piece, 0) + np.frombuffer(m)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "m": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+        # pieces of the partial products are added in tasks: the driver gets the product once
+        parts = rows.mapInArrow(run, "piece int, m binary").repartition(_PIECES, "piece").mapInArrow(add, "piece int, m binary").collect()
+        size = basis.shape[1] if last else terms
+        return np.concatenate([np.frombuffer(bytes(p["m"])).reshape(-1, basis.shape[1]) for p in sorted(parts, key=lambda p: p["piece"])])[:size] if parts else np.zeros((size, basis.shape[1]))
 
     for _ in range(rounds):
         basis = np.linalg.qr(product(basis, False))[0]

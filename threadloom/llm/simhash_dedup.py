@@ -249,18 +249,18 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, similar: float) -> np.nd
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar: float, words: int) -> DataFrame:
     """Those pairs ``(src, dst)`` of class keys whose sets of shingles are similar enough; only texts in pairs are shuffled."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct().join(classes.select("key", "first_id"), "key")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct().join(classes.select("key", "text_key", "first_id"), "key")
 
     def shingled():
         shingler = Shingler()
 
         def work(batch):
-            return {"key": batch["_key"], "shingles": [np.unique(shingler.hashes(t, words)).view(np.int64).tolist() for t in batch["text"]]}
+            return {"key": batch["key"], "shingles": [np.unique(shingler.hashes(t, words)).view(np.int64).tolist() for t in batch["text"]]}
 
         return work
 
-    texts = _keyed(docs).select("_key", "_id", "text").join(ends.withColumnRenamed("first_id", "_id"), "_id").where("_key = key").select("_key", "text")
-    sets = per_batch(texts, shingled, "key string, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    texts = _keyed(docs).select("_key", "_id", "text").join(ends.withColumnRenamed("first_id", "_id"), "_id").where("_key = text_key").select("key", "text")
+    sets = per_batch(texts, shingled, "key bigint, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "shingles")
     both = pairs.join(sets.select(F.col("key").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("key").alias("dst"), F.col("shingles").alias("y")), "dst")
     common = F.size(F.array_intersect("x", "y"))
@@ -268,14 +268,24 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar: fl
     return materialize(tested.select("src", "dst"), "links")
 
 
-def _open_entries(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``(shingle, key, root, size, pos, n)`` of prefix shingles that texts of different components share."""
+def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of the component of their ``key``."""
     roots = connected_components(links).select(F.col("node").alias("key"), "root")
-    placed = classes.join(roots, "key", "left").select("key", F.xxhash64(F.coalesce("root", "key")).alias("root"), "size", "prefix")
-    placed = materialize(placed, "placed")
-    shared = placed.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    shared = materialize(shared.where("low <> high").select("shingle", "n"), "shared")
-    return materialize(placed.select("key", "root", "size", F.posexplode("prefix").alias("pos", "shingle")).join(shared, "shingle"), "entries")
+    return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _entries(classes: DataFrame) -> DataFrame:
+    """``(shingle, key, size, pos)`` of prefix shingles that several texts share."""
+    shared = classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared.select("shingle"), "shared")
+    return materialize(classes.select("key", "size", F.posexplode("prefix").alias("pos", "shingle")).join(shared, "shingle"), "entries")
+
+
+def _open(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries, with their roots, of shingles that texts of different components share."""
+    rooted = materialize(_with_roots(entries, links), "rooted")
+    several = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return materialize(rooted.join(several.select("shingle", "n"), "shingle"), "open")
 
 
 def _could_reach(similar: float) -> Column:
@@ -286,7 +296,7 @@ def _could_reach(similar: float) -> Column:
 
 
 def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
-    """Classes of exact copies ``(key, first_id, n)``, and verified links ``(src, dst)`` between class keys.
+    """Classes of exact copies ``(key, text_key, first_id, n)``, and verified links ``(src, dst)`` between class keys.
 
     A pair is a link if the sets of five-word shingles have a Jaccard
     similarity of at least ``similar``; links join exactly the components of
@@ -311,7 +321,7 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
         def work(batch):
             sets = [np.unique(shingler.hashes(t, words)) for t in batch["text"]]
             return {
-                "key": batch["_key"],
+                "text_key": batch["_key"],
                 "id": batch["_id"],
                 "fps": [marks(t) for t in batch["text"]],
                 "size": [len(x) for x in sets],
@@ -320,9 +330,10 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
 
         return work
 
-    rows = per_batch(_keyed(docs).select("_key", "_id", "text"), make, "key string, id bigint, fps array<bigint>, size int, prefix array<bigint>")
-    grouped = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = materialize(grouped, "classes")
+    rows = per_batch(_keyed(docs).select("_key", "_id", "text"), make, "text_key string, id bigint, fps array<bigint>, size int, prefix array<bigint>")
+    grouped = rows.groupBy("text_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    # a short key, which stays what it is once written
+    classes = materialize(grouped.withColumn("key", F.monotonically_increasing_id()), "classes")
     marked = classes.select("key", F.explode(F.array_distinct("fps")).alias("fp"))
     heads = materialize(marked.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
     equal = marked.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
@@ -332,7 +343,8 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
     proposed = materialize(equal.unionByName(close).where("a <> b").select(*ordered).distinct(), "proposed")
     links = _verified(docs, classes, proposed, similar, words)
 
-    entries = _open_entries(classes, links)
+    shared = _entries(classes)
+    entries = _open(shared, links)
     for turn in range(STARS):
         # one member stands for each component of a bucket, another one in each bucket; that of the most frequent component is the centre
         members = entries.where("n > 2").groupBy("shingle", "root").agg(F.count("*").alias("m"), F.min_by(F.struct("key", "size", "pos"), F.xxhash64("key", "shingle", F.lit(turn))).alias("c"))
@@ -343,10 +355,10 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
         if found.isEmpty():
             break
         links = links.unionByName(found)
-        entries = _open_entries(classes, links)
+        entries = _open(entries.select("shingle", "key", "size", "pos"), links)
     pairs = entries.alias("a").join(entries.alias("b"), F.expr("a.shingle = b.shingle and a.key < b.key and a.root <> b.root") & _could_reach(similar))
     pairs = materialize(pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct(), "pairs")
-    return classes.select("key", "first_id", "n"), links.unionByName(_verified(docs, classes, pairs, similar, words))
+    return classes.select("key", "text_key", "first_id", "n"), links.unionByName(_verified(docs, classes, pairs, similar, words))
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
@@ -356,9 +368,8 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -
     each other. An empty table gives no rows.
     """
     classes, links = near_copy_links(docs, similar, words)
-    roots = connected_components(materialize(links, "links"))
-    placed = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    keep = placed.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("k")).select(F.col("k.first_id").alias("_id"), F.col("k.key").alias("_kept"))
+    placed = _with_roots(classes, materialize(links, "links"))
+    keep = placed.groupBy("root").agg(F.min(F.struct("first_id", "text_key")).alias("k")).select(F.col("k.first_id").alias("_id"), F.col("k.text_key").alias("_kept"))
     # the row travels as one column, so its names meet none of those made here
     rows = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "_key", "_id")
     kept = rows.join(keep, "_id").where("_key = _kept").dropDuplicates(["_id", "_kept"])
