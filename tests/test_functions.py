@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import handles as H
 from threadloom.functions import text as T
-from threadloom.functions.scrub import scrub
 
 
 def values(spark, f, *texts):
@@ -43,11 +42,38 @@ def test_html(spark):
     assert values(spark, T.html_to_text, "<html><script>x</script><p>a &amp; b</p><p>c</p></html>") == ["a & b\nc"]
 
 
-def test_scrub():
-    assert scrub("card 4111 1111 1111 1111 ok") == ("card [card] ok", ["card"])
-    assert scrub("IBAN DE89 3704 0044 0532 0130 00 end")[1] == ["iban"]
-    assert scrub("my SSN 123-45-6789") == ("my SSN [ssn]", ["ssn"])
-    assert scrub("your code is 123456")[1] == ["code"]
-    assert scrub("password: hunter2") == ("password: [password]", ["password"])
-    assert scrub("zip code 90210 and order code 1234")[1] == []
-    assert scrub(None) == (None, [])
+SCRUBBED = [
+    ("card 4111 1111 1111 1111 ok", "card [card] ok", ["card"]),
+    ("amex 3782 822463 10005.", "amex [card].", ["card"]),
+    ("4111 1111 1111 1112", "4111 1111 1111 1112", []),
+    ("41 111111 1111 1111", "41 111111 1111 1111", []),
+    ("IBAN DE89 3704 0044 0532 0130 00 end", "IBAN [iban] end", ["iban"]),
+    ("DE89370400440532013000 ABCD", "[iban] ABCD", ["iban"]),
+    ("my SSN 123-45-6789", "my SSN [ssn]", ["ssn"]),
+    ("número de seguro social: 123456789 y", "número de seguro social: [ssn] y", ["ssn"]),
+    ("ssn 000-12-3456 and ssn 666-12-3456", "ssn 000-12-3456 and ssn 666-12-3456", []),
+    ("your code is 123456", "your code is [code]", ["code"]),
+    ("G-48213 is your Google verification code", "[code] is your Google verification code", ["code"]),
+    ("482134 is your login code", "[code] is your login code", ["code"]),
+    ("123456 es el nuevo código", "[code] es el nuevo código", ["code"]),
+    ("zip code 90210 and order code 1234", "zip code 90210 and order code 1234", []),
+    ("código postal 28013, código 2024", "código postal 28013, código 2024", []),
+    ("code 1999 but pin 1999", "code 1999 but pin [code]", ["code"]),
+    ("password: hunter2", "password: [password]", ["password"]),
+    ("the password is fine, the password is Hunter2.", "the password is fine, the password is [password].", ["password"]),
+    ("palabra clave: sol; clave: sol", "palabra clave: sol; clave: [password]", ["password"]),
+    ("passcode: 1234", "passcode: [code]", ["code"]),
+    ("nothing here", "nothing here", []),
+    ("", "", []),
+    (None, None, []),
+]
+
+
+def test_scrub(spark):
+    from threadloom.operators.privacy import scrub_text
+
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(SCRUBBED)], "id int, text string")
+    got = {r["id"]: (r["scrubbed"], r["redactions"]) for r in scrub_text(df).collect()}
+    for i, (t, want, kinds) in enumerate(SCRUBBED):
+        assert got[i] == (want, kinds), t
+    assert "Python" not in scrub_text(df)._jdf.queryExecution().toString()

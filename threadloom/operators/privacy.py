@@ -123,19 +123,12 @@ def validate_record(records: DataFrame, kinds: list[str]) -> DataFrame:
 def scrub_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``scrubbed`` and ``redactions``: IBANs, cards, social security numbers, codes and passwords masked.
 
-    The checks behind the patterns need code, so they run in Arrow batches;
-    texts that hold neither a digit nor a password word never leave the JVM's
-    plain path: they are masked as they are.
+    A text is read once, in expressions only; one that holds neither a digit
+    nor a password's name is passed on as it is.
     """
     from threadloom.functions.scrub import scrub
 
-    @F.pandas_udf("struct<scrubbed:string,redactions:array<string>>")
-    def run(texts):
-        import pandas as pd
-
-        return pd.DataFrame([scrub(t) for t in texts], columns=["scrubbed", "redactions"])
-
-    likely = F.col(text).rlike(r"(?i)[0-9]{4}|[0-9][ -][0-9]|passw|pwd|contrase|clave|passcode")
-    risky = docs.where(likely).withColumn("_s", run(F.col(text))).withColumns({"scrubbed": F.col("_s.scrubbed"), "redactions": F.col("_s.redactions")}).drop("_s")
-    safe = docs.where(~F.coalesce(likely, F.lit(False))).withColumns({"scrubbed": F.col(text), "redactions": F.array().cast("array<string>")})
-    return safe.unionByName(risky)
+    likely = F.coalesce(F.col(text).rlike(r"(?i)[0-9]{4}|[0-9][ -][0-9]|passw|pwd|contrase|clave|passcode"), F.lit(False))
+    plain = F.struct(F.col(text).alias("scrubbed"), F.array().cast("array<string>").alias("redactions"))
+    marked = docs.withColumn("_s", F.when(likely, scrub(F.col(text))).otherwise(plain))
+    return marked.withColumns({"scrubbed": F.col("_s.scrubbed"), "redactions": F.col("_s.redactions")}).drop("_s")
