@@ -302,13 +302,28 @@ def probable_duplicate_projects(spark, sf):
     return a.join(b, "company").where((F.col("a") < F.col("b")) & (T.jaccard(F.col("x"), F.col("y")) >= 0.6)).select("a", "b")
 
 
-@query("probable_duplicate_companies", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_suppkey // 10 = b.s_suppkey // 10")
+@query(
+    "probable_duplicate_companies",
+    "WITH x AS (SELECT s_suppkey AS id, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM supplier UNION ALL SELECT 1000000 + n_nationkey, trim(lower(n_name)) FROM nation UNION ALL SELECT 2000000 + n_nationkey, trim(lower(n_name)) || ' group' FROM nation) "
+    "SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.id < b.id AND a.k <> b.k AND least(length(a.k), length(b.k)) >= 4 AND (levenshtein(a.k, b.k) <= 1 OR starts_with(a.k, b.k || ' ') OR starts_with(b.k, a.k || ' '))",
+)
 def probable_duplicate_companies(spark, sf):
-    """Keys at an edit distance of one share all but one letter; blocks by the key without its first or last part keep the pairs few."""
-    s = t.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), T.company_key(F.col("s_name")).alias("key"))
-    block = s.withColumn("head", F.left("key", F.length("key") - 1))
-    a, b = block.select("head", F.col("id").alias("a"), F.col("key").alias("x")), block.select("head", F.col("id").alias("b"), F.col("key").alias("y"))
-    return a.join(b, "head").where((F.col("a") < F.col("b")) & (F.levenshtein("x", "y") <= 1)).select("a", "b")
+    """Keys at an edit distance of one share a string of one letter less, or are one; a bucket of such a string holds some hundreds of keys at most. Names that begin another's words meet on those."""
+    nation = t.read(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
+    names = t.read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
+    names = names.unionByName(nation.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("id"), "name")).unionByName(nation.select((F.col("n_nationkey") + 2_000_000).cast("long").alias("id"), F.concat("name", F.lit(" group")).alias("name")))
+    keyed = names.select("id", T.company_key(F.col("name")).alias("key")).where(F.length("key") >= 4)
+    keys = keyed.select("key").distinct()
+    without = F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(F.left("key", i - 1), F.substr("key", i + 1)))
+    near = keys.select("key", F.explode(F.array_distinct(F.concat(F.array("key"), without))).alias("meet"))
+    a, b = near.select("meet", F.col("key").alias("x")), near.select("meet", F.col("key").alias("y"))
+    pairs = a.join(b, "meet").where((F.col("x") < F.col("y")) & (F.levenshtein("x", "y") <= 1)).select("x", "y")
+    words = F.split("key", " ")
+    heads = keys.where(F.size(words) > 1).select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("head"))
+    begun = heads.join(keys.select(F.col("key").alias("head")), "head").select(F.least("head", "key").alias("x"), F.greatest("head", "key").alias("y"))
+    pairs = pairs.unionByName(begun).distinct()
+    full = pairs.join(keyed.select(F.col("key").alias("x"), F.col("id").alias("i")), "x").join(keyed.select(F.col("key").alias("y"), F.col("id").alias("j")), "y")
+    return full.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 @query("co_participation_pairs", sql("items", "SELECT DISTINCT a.supplier AS a, b.supplier AS b FROM items a JOIN items b ON a.target = b.target AND a.supplier < b.supplier"))

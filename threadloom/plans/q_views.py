@@ -228,9 +228,9 @@ def home_summary(spark, sf):
     return part(c, "commitments").unionByName(part(t.projects(spark, sf), "projects")).unionByName(part(t.contacts(spark, sf), "people")).unionByName(part(c.where("status = 'open'"), "open"))
 
 
-@query("known_context", sql("items commitments", "SELECT target, id FROM (SELECT i.target, m.id, row_number() OVER (PARTITION BY i.target ORDER BY m.due, m.id) AS k FROM (SELECT DISTINCT target, supplier FROM items) i JOIN commitments m ON m.counterpart = i.supplier AND m.status = 'open' WHERE i.target % 50 = 0) WHERE k <= 5"))
+@query("known_context", sql("items commitments", "SELECT target, id FROM (SELECT i.target, m.id, row_number() OVER (PARTITION BY i.target ORDER BY m.due, m.id) AS k FROM (SELECT DISTINCT target, supplier FROM items) i JOIN commitments m ON m.counterpart = i.supplier AND m.status = 'open') WHERE k <= 5"))
 def known_context(spark, sf):
-    who = t.items(spark, sf).where("target % 50 = 0").select("target", F.col("supplier").alias("counterpart")).distinct()
+    who = t.items(spark, sf).select("target", F.col("supplier").alias("counterpart")).distinct()
     loops = t.commitments(spark, sf).where("status = 'open'").join(who, "counterpart")
     return loops.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("due", "id"))).where("k <= 5").select("target", "id")
 
