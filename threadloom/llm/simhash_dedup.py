@@ -337,7 +337,8 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
     marked = classes.select("key", F.explode(F.array_distinct("fps")).alias("fp"))
     heads = materialize(marked.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
     equal = marked.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    close = hamming_links(heads.select("fp"), crowded)
+    # a pair meets in up to twenty tables
+    close = hamming_links(heads.select("fp"), crowded).distinct()
     close = close.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
     ordered = (F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
     proposed = materialize(equal.unionByName(close).where("a <> b").select(*ordered).distinct(), "proposed")
