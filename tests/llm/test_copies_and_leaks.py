@@ -159,6 +159,16 @@ def test_one_of_each_in_crowded_families_equals_brute_force(make):
         assert set(lowest.values()) == want
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64, 900, dtype=np.uint64)
+    for _ in range(300):
+        x, y = (set(rng.choice(pool, rng.integers(0, 300), replace=False).tolist()) for _ in range(2))
+        y |= set(list(x)[: int(len(x) * rng.random())])
+        bits = sum((int(p) ^ int(q)).bit_count() for p, q in zip(*(np.array(S.sketch_of(np.array(sorted(z), dtype=np.uint64)), dtype=np.int64).view(np.uint64) for z in (x, y)), strict=True))
+        assert bits <= len(x ^ y)
+
+
 def test_one_of_each_keeps_unlike_texts(make):
     rng = random.Random(1)
     texts = [" ".join(str(rng.randrange(10_000)) for _ in range(80)) for _ in range(60)]

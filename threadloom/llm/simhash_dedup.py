@@ -247,6 +247,15 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, similar: float) -> np.nd
     return shingles[order[: len(shingles) - int(np.ceil(similar * len(shingles) - 1e-9)) + 1]] if len(shingles) else shingles
 
 
+def sketch_of(shingles: np.ndarray) -> list[int]:
+    """Parities of distinct shingles over 256 bins, as four longs.
+
+    A shingle of only one of two sets turns one bit, so two sketches differ in at most as many bits as the sets in shingles.
+    """
+    bins = (_mix(shingles) >> np.uint64(56)).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=256) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar: float, words: int) -> DataFrame:
     """Those pairs ``(src, dst)`` of class keys whose sets of shingles are similar enough; only texts in pairs are shuffled."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct().join(classes.select("key", "text_key", "first_id"), "key")
@@ -281,18 +290,20 @@ def _entries(classes: DataFrame) -> DataFrame:
     return materialize(classes.select("key", "size", F.posexplode("prefix").alias("pos", "shingle")).join(shared, "shingle"), "entries")
 
 
-def _open(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries, with their roots, of shingles that texts of different components share."""
+def _open(entries: DataFrame, links: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Entries, with their roots and sketches, of shingles that texts of different components share."""
     rooted = materialize(_with_roots(entries, links), "rooted")
     several = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return materialize(rooted.join(several.select("shingle", "n"), "shingle"), "open")
+    return materialize(rooted.join(several.select("shingle", "n"), "shingle").join(sketches, "key"), "open")
 
 
 def _could_reach(similar: float) -> Column:
-    """True unless sizes, or the shingles that follow the first common one, rule the similarity out."""
+    """True unless sizes, the shingles that follow the first common one, or the sketches rule the similarity out."""
     most = F.least(F.expr("a.size - a.pos"), F.expr("b.size - b.pos"))
-    least = (F.col("a.size") + F.col("b.size")) * (similar / (1 + similar))
-    return (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similar - 1e-6) & (most >= least - 1e-6)
+    both = F.col("a.size") + F.col("b.size")
+    differ = F.expr(" + ".join(f"bit_count(a.sketch[{i}] ^ b.sketch[{i}])" for i in range(4)))
+    sizes = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similar - 1e-6
+    return sizes & (most >= both * (similar / (1 + similar)) - 1e-6) & (differ <= both * ((1 - similar) / (1 + similar)) + 1e-6)
 
 
 def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
@@ -307,7 +318,8 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
     against one text of its most frequent component, which costs a row for
     each; a text has many shingles and so meets many members of a family. Then
     all pairs that are left in different components are tested, in buckets of
-    any size. No turn drops a pair.
+    any size, unless their sketches prove that the sets differ too much. No
+    turn drops a pair that is similar.
     """
     counts = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, words))
 
@@ -326,12 +338,13 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
                 "fps": [marks(t) for t in batch["text"]],
                 "size": [len(x) for x in sets],
                 "prefix": [prefix_of(x, counts.value, similar).view(np.int64).tolist() for x in sets],
+                "sketch": [sketch_of(x) for x in sets],
             }
 
         return work
 
-    rows = per_batch(_keyed(docs).select("_key", "_id", "text"), make, "text_key string, id bigint, fps array<bigint>, size int, prefix array<bigint>")
-    grouped = rows.groupBy("text_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    rows = per_batch(_keyed(docs).select("_key", "_id", "text"), make, "text_key string, id bigint, fps array<bigint>, size int, prefix array<bigint>, sketch array<bigint>")
+    grouped = rows.groupBy("text_key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     # a short key, which stays what it is once written
     classes = materialize(grouped.withColumn("key", F.monotonically_increasing_id()), "classes")
     marked = classes.select("key", F.explode(F.array_distinct("fps")).alias("fp"))
@@ -344,11 +357,11 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
     proposed = materialize(equal.unionByName(close).where("a <> b").select(*ordered).distinct(), "proposed")
     links = _verified(docs, classes, proposed, similar, words)
 
-    shared = _entries(classes)
-    entries = _open(shared, links)
+    shared, sketches = _entries(classes), classes.select("key", "sketch")
+    entries = _open(shared, links, sketches)
     for turn in range(STARS):
         # one member stands for each component of a bucket, another one in each bucket; that of the most frequent component is the centre
-        members = entries.where("n > 2").groupBy("shingle", "root").agg(F.count("*").alias("m"), F.min_by(F.struct("key", "size", "pos"), F.xxhash64("key", "shingle", F.lit(turn))).alias("c"))
+        members = entries.where("n > 2").groupBy("shingle", "root").agg(F.count("*").alias("m"), F.min_by(F.struct("key", "size", "pos", "sketch"), F.xxhash64("key", "shingle", F.lit(turn))).alias("c"))
         centre = members.groupBy("shingle").agg(F.max_by(F.struct("c.*", "root"), F.struct("m", "root")).alias("c")).select("shingle", "c.*")
         pairs = entries.alias("a").join(centre.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & F.expr("a.root <> b.root") & _could_reach(similar))
         pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).select(*ordered).distinct()
@@ -356,7 +369,7 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
         if found.isEmpty():
             break
         links = links.unionByName(found)
-        entries = _open(entries.select("shingle", "key", "size", "pos"), links)
+        entries = _open(entries.select("shingle", "key", "size", "pos"), links, sketches)
     pairs = entries.alias("a").join(entries.alias("b"), F.expr("a.shingle = b.shingle and a.key < b.key and a.root <> b.root") & _could_reach(similar))
     pairs = materialize(pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct(), "pairs")
     return classes.select("key", "text_key", "first_id", "n"), links.unionByName(_verified(docs, classes, pairs, similar, words))
