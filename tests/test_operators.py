@@ -47,6 +47,24 @@ def test_pack_respects_budget_and_loses_nothing(spark):
     assert all((sum(v) <= 60 or len(v) == 1) and len(v) <= 4 for v in sums.values())
 
 
+def test_pack_equals_greedy_packing(spark):
+    rng = random.Random(8)
+    rows = [(g, i, rng.choice([None, 0, 5, 30, 90])) for g in ("a", "b", None) for i in range(40)] + [("c", 1, 500)]
+    df = spark.createDataFrame(rows, "g string, i int, tok long")
+    want = {}
+    for group in ("a", "b", "c", None):
+        batch, spent, n = 1, 0, 0
+        for _, i, tok in sorted((r for r in rows if r[0] == group), key=lambda r: r[1]):
+            if n and (spent + (tok or 0) > 60 or n >= 4):
+                batch, spent, n = batch + 1, 0, 0
+            spent, n = spent + (tok or 0), n + 1
+            want[group, i] = (tok, batch)
+    got = R.pack_batches(df.orderBy(F.rand(1)), "g", ["i"], "tok", 60, 4)
+    assert got.columns == ["g", "i", "tok", "batch"]
+    assert {(r["g"], r["i"]): (r["tok"], r["batch"]) for r in got.collect()} == want
+    assert R.pack_batches(df.limit(0), "g", ["i"], "tok", 60, 4).count() == 0
+
+
 def test_upsert_twice_changes_nothing(spark):
     at = F.lit("2024-01-01").cast("timestamp")
     old = spark.createDataFrame([], "id string, v string").withColumn("ingested_at", at).withColumn("changed_at", at)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from threadloom.functions import text as T
 
@@ -89,25 +90,31 @@ def ack_after_request(lines: DataFrame, key: str) -> DataFrame:
 def pack_batches(items: DataFrame, group: str, order: Sequence[str], tokens: str, budget: int, most: int) -> DataFrame:
     """Greedy packing in order: a new batch when the budget or the item count would be passed.
 
-    Packing is sequential inside a group by nature; the group's rows are
-    reduced to (order, tokens) before they meet, and folded in one array.
+    Packing is sequential inside a group by nature, so a group's rows pass one
+    task in order; only order and tokens travel, the sort can spill, and the
+    task holds a few numbers besides one Arrow batch, however large the group.
+    Tokens of null count as none; rows without a group are a group.
     """
-    state = "struct<out:array<int>,batch:int,spent:bigint,n:int>"
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["spent"] + x["t"] > budget) | (acc["n"] >= most))
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(
-            F.concat(acc["out"], F.array(batch)).alias("out"),
-            batch.alias("batch"),
-            F.when(full, x["t"]).otherwise(acc["spent"] + x["t"]).cast("bigint").alias("spent"),
-            F.when(full, 1).otherwise(acc["n"] + 1).cast("int").alias("n"),
-        )
-
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).cast("bigint").alias("t")))).alias("xs"))
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(1).alias("batch"), F.lit(0).cast("bigint").alias("spent"), F.lit(0).alias("n")).cast(state)
-    packed = rows.withColumn("_b", F.aggregate("xs", start, step)["out"])
-    return packed.select(group, F.explode(F.arrays_zip("xs", "_b")).alias("z")).select(group, *(F.col(f"z.xs.{c}").alias(c) for c in order), F.col("z.xs.t").alias(tokens), F.col("z._b").alias("batch"))
+    rows = items.select(group, *order, F.col(tokens).cast("bigint").alias(tokens))
+
+    def fold(batches):
+        import pyarrow as pa
+
+        current, batch, spent, n, first = None, 0, 0, 0, True
+        for rows_ in batches:
+            out = []
+            for key, size in zip(rows_.column(0).to_pylist(), rows_.column(rows_.num_columns - 1).to_pylist(), strict=True):
+                size = size or 0
+                if first or key != current:
+                    first, current, batch, spent, n = False, key, 1, 0, 0
+                elif spent + size > budget or n >= most:
+                    batch, spent, n = batch + 1, 0, 0
+                spent, n = spent + size, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*rows_.columns, pa.array(out, pa.int32())], names=[*rows_.schema.names, "batch"])
+
+    ordered = rows.repartition(group).sortWithinPartitions(group, *order, tokens)
+    return ordered.mapInArrow(fold, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
 
 
 def chunk_lines(lines: DataFrame, key: str, order: str, size: int = 8000, total: int = 90_000) -> DataFrame:
