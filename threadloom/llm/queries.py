@@ -94,6 +94,13 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_docs(spark, sf_dir))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.html_extract import extract, fit
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract(pages, fit(_docs(spark, sf_dir), pages))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadloom.llm.ranked_search import build_index, search
 
@@ -113,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_binary": op9_token_binary,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_divergence_audit": op11_divergence_audit,
+    "op12_html_extract": op12_html_extract,
     "op13_ranked_search": op13_ranked_search,
 }
 
