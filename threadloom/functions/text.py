@@ -222,7 +222,8 @@ def address_list(c: Column) -> Column:
     """``Name <mail>`` entries of a comma list as (handle, name); entries without an address are dropped."""
     from threadloom.functions.handles import email_handle
 
-    one = lambda p: F.struct(email_handle(p).alias("handle"), F.nullif(F.trim(F.regexp_replace(p, r"<[^>]*>|\"", "")), F.lit("")).alias("name"))
+    name = lambda p: F.regexp_extract(F.trim(p), r"^\"?(.*?)\"?\s*<[^>]+>$", 1)
+    one = lambda p: F.struct(email_handle(p).alias("handle"), F.nullif(F.trim(name(p)), F.lit("")).alias("name"))
     return F.filter(F.transform(F.split(c, ","), one), lambda p: p["handle"].isNotNull())
 
 

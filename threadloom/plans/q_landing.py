@@ -27,13 +27,6 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-@query("full_record_passthrough", sql("records", "SELECT id LIKE 'events:%0' AS full, count(*) AS n FROM records GROUP BY ALL"))
-def full_record_passthrough(spark, sf):
-    r = t.records(spark, sf).withColumn("kind", F.when(F.col("id").endswith("0"), F.col("kind")))
-    full = F.forall(F.array("source", "kind", "id", F.col("ts").cast("string")), lambda x: x.isNotNull())
-    return r.groupBy(full.alias("full")).agg(F.count("*").alias("n"))
-
-
 @query("map_recorder_items", sql("thread_records", "SELECT 'plaud:' || conv_id AS id, count(DISTINCT role) AS people FROM thread_records GROUP BY conv_id"))
 def map_recorder_items(spark, sf):
     r = t.thread_records(spark, sf).groupBy("conv_id").agg(F.collect_set("role").alias("people"), F.min("ts").alias("at"))

@@ -38,16 +38,6 @@ def landed_json_scan(spark, sf):
     return M.landed_json(raw, "struct<id:string,thread:string>").groupBy("item.thread").agg(F.count("*").alias("n"))
 
 
-@query("map_gmail_messages", sql("thread_records", "SELECT 'gmail:' || id AS id, 'email:' || thread AS thread, sender AS sender, epoch_us(ts) AS ts_us FROM thread_records WHERE sender LIKE 'mailto:%'"))
-def map_gmail_messages(spark, sf):
-    r = t.thread_records(spark, sf).where(F.col("sender").startswith("mailto:"))
-    header = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    headers = F.array(header("From", F.concat(F.lit("Owner <"), H.value(F.col("sender")), F.lit(">"))), header("Subject", F.col("thread")))
-    body = F.struct(F.translate(F.base64(F.encode("text", "UTF-8")), "+/", "-_").alias("data"))
-    raw = _payload(r, "id", F.col("thread").alias("threadId"), F.unix_millis("ts").cast("string").alias("internalDate"), F.struct(headers.alias("headers"), body.alias("body")).alias("payload"))
-    return M.map_gmail_messages(M.landed_json(raw, M.GMAIL), [t.OWNER]).select("id", "thread", F.col("sender.handle").alias("sender"), F.unix_micros("ts").alias("ts_us"))
-
-
 @query("map_calendar_events", sql("records", "SELECT 'gcal:' || id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS s, 1 AS people FROM records WHERE kind = 'meeting'"))
 def map_calendar_events(spark, sf):
     r = t.records(spark, sf).where("kind = 'meeting'")
@@ -61,12 +51,6 @@ def map_drive_docs(spark, sf):
     return M.map_drive_docs(M.landed_json(raw, M.DRIVE)).select("id", "title", F.unix_seconds("ts").alias("s"))
 
 
-@query("map_slack_messages", sql("thread_records", "SELECT thread, count(*) AS n, min(text) AS first FROM (SELECT 'slack:C' || conv_id AS thread, text FROM thread_records) GROUP BY thread"))
-def map_slack_messages(spark, sf):
-    raw = _payload(t.thread_records(spark, sf), F.concat(F.lit("C"), F.col("conv_id").cast("string")).alias("channel"), F.concat(F.unix_seconds("ts").cast("string"), F.lit(".000100")).alias("ts"), F.col("role").alias("user"), "text", F.lit("T1").alias("team"))
-    return M.map_slack_messages(M.landed_json(raw, M.SLACK)).groupBy("thread").agg(F.count("*").alias("n"), F.min("text").alias("first"))
-
-
 def _meetings(spark, sf):
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("speaker"), x["text"].alias("text")))
     m = t.thread_records(spark, sf).groupBy("conv_id").agg(turns.alias("turns"), F.min("ts").alias("at"))

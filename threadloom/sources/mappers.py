@@ -41,29 +41,6 @@ def landed_json(raw: DataFrame, item: str, column: str = "value") -> DataFrame:
     return parsed.select(F.when(inner.isNotNull() & ~F.col("v").startswith("["), F.col("v")).alias("context"), F.explode(every).alias("item"))
 
 
-GMAIL = "struct<id:string,threadId:string,internalDate:string,payload:struct<headers:array<struct<name:string,value:string>>,body:struct<data:string>>>"
-
-
-def map_gmail_messages(items: DataFrame, owners: list[str]) -> DataFrame:
-    head = lambda n: F.element_at(F.filter("item.payload.headers", lambda h: F.lower(h["name"]) == n), 1)["value"]
-    sender = F.element_at(T.address_list(F.coalesce(head("from"), F.lit(""))), 1)
-    body = F.decode(F.unbase64(F.translate("item.payload.body.data", "-_", "+/")), "UTF-8")
-    df = items.where(F.size("item.payload.headers") > 0)
-    return records_of(
-        df,
-        id=F.concat(F.lit("gmail:"), "item.id"),
-        source=F.lit("gmail"),
-        kind=F.lit("email"),
-        thread=F.concat(F.lit("email:"), "item.threadId"),
-        ts=F.timestamp_millis(F.col("item.internalDate").cast("bigint")),
-        sender=sender.cast(PARTY),
-        recipients=T.address_list(F.concat_ws(",", head("to"), head("cc"))).cast(f"array<{PARTY}>"),
-        title=head("subject"),
-        text=T.clean_email_text(F.coalesce(body, F.lit(""))),
-        meta=F.to_json(F.struct(sender["handle"].isin(owners).alias("is_from_me"))),
-    )
-
-
 GCAL = "struct<id:string,summary:string,description:string,location:string,status:string,start:struct<dateTime:string,date:string>,end:struct<dateTime:string,date:string>,organizer:struct<email:string>,attendees:array<struct<email:string,displayName:string,responseStatus:string>>>"
 
 
@@ -92,24 +69,6 @@ def map_drive_docs(items: DataFrame) -> DataFrame:
     return records_of(items.where("item.text is not null"), id=F.concat(F.lit("drive:"), "item.id"), source=F.lit("drive"), kind=F.lit("doc"), ts=F.try_to_timestamp("item.modifiedTime"), sender=party(H.email_handle(who["emailAddress"]), who["displayName"]), title=F.col("item.name"), text=T.clean_text(F.col("item.text")))
 
 
-SLACK = "struct<channel:string,ts:string,user:string,text:string,team:string>"
-
-
-def map_slack_messages(items: DataFrame) -> DataFrame:
-    at = F.timestamp_micros((F.col("item.ts").cast("decimal(20,6)") * 1_000_000).cast("bigint"))
-    return records_of(
-        items,
-        id=F.concat_ws(":", F.lit("slack"), "item.channel", "item.ts"),
-        source=F.lit("slack"),
-        kind=F.lit("message"),
-        thread=F.concat(F.lit("slack:"), "item.channel"),
-        ts=at,
-        sender=party(H.slack_handle(F.col("item.team"), F.col("item.user"))),
-        text=F.col("item.text"),
-        meta=F.to_json(F.struct((~F.col("item.channel").startswith("D")).alias("is_group"))),
-    )
-
-
 MEETING = "struct<id:string,title:string,start:string,duration:double,turns:array<struct<speaker:string,text:string>>,invitees:array<string>,summary:string,actions:array<string>>"
 
 
