@@ -33,22 +33,6 @@ def _case(*texts: str):
     return F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % len(texts) + 1).cast("int"))
 
 
-def _rule(name: str, category: str, handles: tuple, titles: tuple, texts: tuple, hits: dict[int, str]):
-    n = len(titles)
-    cases = " ".join(f"WHEN {i} THEN '{scope}'" for i, scope in hits.items())
-
-    @query(name, sql("projects", f"SELECT id, CASE id % {n} {cases} END AS scope FROM projects"))
-    def run(spark, sf):
-        verdict = P.category_reason(_case(*handles), _case(*titles), _case(*texts), [category])
-        return t.projects(spark, sf).select("id", verdict["scope"].alias("scope"))
-
-
-_rule("rule_banking", "banking", ("mailto:no-reply@mybank.com", "mailto:alerts@shop.com", "mailto:ann@shop.com", "tel:+15551234567"), ("x",) * 4, ("hello", "your available balance is low", "your available balance is low", "lunch?"), {0: "thread", 1: "record"})
-_rule("rule_health", "health", ("mailto:x@cityclinic.com", "mailto:ann@shop.com", "mailto:ann@shop.com"), ("x",) * 3, ("hello", "your prescription is ready", "a new recipe"), {0: "thread", 1: "record"})
-_rule("rule_passwords", "passwords", ("mailto:ann@shop.com",) * 3, ("x",) * 3, ("your code is 1234", "password reset", "pass the salt"), {0: "record", 1: "record"})
-_rule("rule_family", "family", ("tel:+15551234567",) * 4, ("Smith family", "Family office call", "Los primos", "Board"), ("x",) * 4, {0: "thread", 2: "thread"})
-
-
 def _filtered(spark, sf, exclusions, **columns):
     base = {"account": F.lit(None).cast("string"), "chat": F.lit(None).cast("string"), "sender": F.lit("tel:+15551234567"), "sender_name": F.lit(None).cast("string"), "title": F.lit(""), "text": F.lit(""), "kind": F.lit("message"), "members": F.lit(2), "thread": F.col("company")}
     return P.filter_record(t.projects(spark, sf).withColumns(base | columns), exclusions)
