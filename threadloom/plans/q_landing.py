@@ -77,14 +77,6 @@ def map_chat_export(spark, sf):
     return rows.select(F.substring(F.sha1(F.concat_ws("|", "thread", "role", "text", F.col("n").cast("string"))), 1, 20).alias("id"), F.col("n").cast("bigint").alias("n"))
 
 
-@query("map_calendar_items", sql("records", "SELECT m.id, k AS occurrence, CAST(floor(epoch(ts)) AS BIGINT) + k * 604800 AS s FROM records m, (SELECT unnest(range(0, 3)) AS k) WHERE kind = 'meeting' AND CAST(floor(epoch(ts)) AS BIGINT) + k * 604800 <= epoch(TIMESTAMP '2024-02-10')"))
-def map_calendar_items(spark, sf):
-    """One row for each occurrence up to the horizon."""
-    m = t.records(spark, sf).where("kind = 'meeting'").select("id", F.unix_seconds("ts").alias("s0"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("occurrence"))
-    horizon = F.unix_seconds(F.lit("2024-02-10").cast("timestamp"))
-    return m.withColumn("s", F.col("s0") + F.col("occurrence") * 604_800).where(F.col("s") <= horizon).select("id", F.col("occurrence").cast("bigint").alias("occurrence"), "s")
-
-
 @query("source_registry", sql("records", "SELECT label, count(r.id) AS n FROM (SELECT unnest(['message', 'email', 'call']) AS kind, unnest(['Chat', 'Mail', 'Calls']) AS label) k JOIN records r USING (kind) GROUP BY label"))
 def source_registry(spark, sf):
     known = spark.createDataFrame([("message", "Chat"), ("email", "Mail"), ("call", "Calls")], "kind string, label string")

@@ -68,8 +68,9 @@ def _any(values: list[str], test: str) -> str:
 
 
 def _has(phrases: list[str], column: str) -> str:
-    """Whether a phrase stands in a column as words of its own."""
-    return _any(_said(phrases), f"contains(' ' || {column} || ' ', CASE WHEN v LIKE '%$' THEN ' ' || v ELSE ' ' || v || ' ' END)")
+    """Whether a phrase stands in a column as words of its own; an apostrophe ends a word."""
+    wanted = "CASE WHEN v LIKE '%$' THEN ' ' || v ELSE ' ' || v || ' ' END"
+    return _any(_said(phrases), f"contains(' ' || {column} || ' ', {wanted}) OR contains(' ' || replace({column}, chr(39), ' ') || ' ', {wanted})")
 
 
 def _named(phrases: list[str], column: str) -> str:
