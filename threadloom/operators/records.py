@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from threadloom.functions import text as T
+from threadloom.operators.packing import pack_batches
 
 
 def records_scan(records: DataFrame, source: str | None = None, sources: Sequence[str] = (), kind: str | None = None, thread: str | None = None, since: Column | None = None, until: Column | None = None, changed_since: Column | None = None, sender: str | None = None, limit: int | None = None) -> DataFrame:
@@ -87,41 +87,11 @@ def ack_after_request(lines: DataFrame, key: str) -> DataFrame:
     return marked.where((F.col("_class") == "content") | ((F.col("_class") == "ack") & F.coalesce("_asked", F.lit(False)))).drop("_class", "_asked")
 
 
-def pack_batches(items: DataFrame, group: str, order: Sequence[str], tokens: str, budget: int, most: int) -> DataFrame:
-    """Greedy packing in order: a new batch when the budget or the item count would be passed.
-
-    Packing is sequential inside a group by nature, so a group's rows pass one
-    task in order; only order and tokens travel, the sort can spill, and the
-    task holds a few numbers besides one Arrow batch, however large the group.
-    Tokens of null count as none; rows without a group are a group.
-    """
-    rows = items.select(group, *order, F.col(tokens).cast("bigint").alias(tokens))
-
-    def fold(batches):
-        import pyarrow as pa
-
-        current, batch, spent, n, first = None, 0, 0, 0, True
-        for rows_ in batches:
-            out = []
-            for key, size in zip(rows_.column(0).to_pylist(), rows_.column(rows_.num_columns - 1).to_pylist(), strict=True):
-                size = size or 0
-                if first or key != current:
-                    first, current, batch, spent, n = False, key, 1, 0, 0
-                elif spent + size > budget or n >= most:
-                    batch, spent, n = batch + 1, 0, 0
-                spent, n = spent + size, n + 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*rows_.columns, pa.array(out, pa.int32())], names=[*rows_.schema.names, "batch"])
-
-    ordered = rows.repartition(group).sortWithinPartitions(group, *order, tokens)
-    return ordered.mapInArrow(fold, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
-
-
 def chunk_lines(lines: DataFrame, key: str, order: str, size: int = 8000, total: int = 90_000) -> DataFrame:
     """Lines of a transcript dealt to chunks of at most ``size`` characters, cut at ``total``."""
     by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cut = lines.withColumn("_len", F.length("text") + 1).withColumn("_sum", F.sum("_len").over(by)).where(F.col("_sum") <= total)
-    return pack_batches(cut, key, [order], "_len", size, 1_000_000).withColumnRenamed("batch", "chunk").withColumnRenamed("_len", "length")
+    return pack_batches(cut, key, [order], "_len", size, size).withColumnRenamed("batch", "chunk").withColumnRenamed("_len", "length")  # a line counts one at least
 
 
 def latest_fact_wins(facts: DataFrame, key: str, fields: Sequence[str], date: str = "date", seq: str = "seq") -> DataFrame:
