@@ -130,14 +130,6 @@ def assign_sequence(rows: DataFrame, batch: str, order: str, start: int = 0) ->
     return rows.withColumn("_r", inside).join(starts.select(batch, "_start"), batch).withColumn("seq", F.col("_start") + F.col("_r") + start).drop("_r", "_start")
 
 
-def near_duplicate_bullets(bullets: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Pairs (a, b) of bullets of one target and date that share a ref and most content words."""
-    x = bullets.select("target", "date", F.col("id").alias("a"), F.col("refs").alias("ra"), F.col("words").alias("wa"))
-    y = bullets.select("target", "date", F.col("id").alias("b"), F.col("refs").alias("rb"), F.col("words").alias("wb"))
-    both = x.join(y, ["target", "date"]).where("a < b").where(F.arrays_overlap("ra", "rb"))
-    return both.withColumn("score", T.jaccard(F.col("wa"), F.col("wb"))).where(F.col("score") >= threshold).select("a", "b", "score")
-
-
 def exact_duplicates(notes: DataFrame, key: Sequence[str], keep: Sequence[Column]) -> DataFrame:
     """Rows of keys that occur more than once, with the row that is kept."""
     order = Window.partitionBy(*key).orderBy(*keep)

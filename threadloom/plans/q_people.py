@@ -9,6 +9,7 @@ from threadloom.functions import handles as H
 from threadloom.functions import text as T
 from threadloom.operators import identity as I
 from threadloom.operators import records as R
+from threadloom.operators.pairs import near_duplicate_bullets, partners
 from threadloom.plans import tables as t
 from threadloom.plans.q_scalar import jaccard_sql, words
 from threadloom.plans.tables import sql
@@ -243,11 +244,16 @@ def counterpart_join(spark, sf):
     return last.groupBy("thread").agg(F.max_by("sender", F.struct("ts", "id")).alias("counterpart"))
 
 
-@query("near_duplicate_bullet_join", sql("items projects", f"SELECT a.k AS a, b.k AS b, round({jaccard_sql('a.w', 'b.w')}, 6) AS score FROM x a JOIN x b ON a.target = b.target AND a.date = b.date AND a.part = b.part AND a.k < b.k WHERE {jaccard_sql('a.w', 'b.w')} >= 0.6", f"x AS (SELECT i.target * 10 + i.seq AS k, i.target, i.date, i.part, {words('p.title')} AS w FROM items i JOIN projects p ON i.part = p.id)"))
+_BULLETS = f"""x AS (SELECT i.target * 10 + i.seq AS k, i.target, i.date, i.part, list_sort({words('p.title')}) AS w FROM items i JOIN projects p ON i.part = p.id),
+heads AS (SELECT *, min(k) OVER (PARTITION BY target, date, part, w) AS head FROM x)"""
+_SIMILAR = jaccard_sql("a.w", "b.w")
+
+
+@query("near_duplicate_bullet_join", sql("items projects", f"SELECT head AS a, k AS b, 1.0 AS score FROM heads WHERE head <> k UNION ALL SELECT a.k, b.k, round({_SIMILAR}, 6) FROM heads a JOIN heads b ON a.target = b.target AND a.date = b.date AND a.part = b.part AND a.k < b.k WHERE a.k = a.head AND b.k = b.head AND {_SIMILAR} >= 0.6", _BULLETS))
 def near_duplicate_bullet_join(spark, sf):
     titles = t.projects(spark, sf).select(F.col("id").alias("part"), T.content_words(F.col("title")).alias("words"))
     bullets = t.items(spark, sf).join(titles, "part").select((F.col("target") * 10 + F.col("seq")).alias("id"), "target", "date", F.array("ref").alias("refs"), "words")
-    return R.near_duplicate_bullets(bullets).withColumn("score", F.round("score", 6))
+    return near_duplicate_bullets(bullets).withColumn("score", F.round("score", 6))
 
 
 @query("similar_fact_join", sql("projects", f"SELECT a.id AS id, arg_max(b.id, ({jaccard_sql('a.w', 'b.w')}, -b.id)) AS best FROM x a JOIN x b ON a.company = b.company AND a.type = b.type AND a.id <> b.id WHERE {jaccard_sql('a.w', 'b.w')} >= 0.5 GROUP BY a.id", f"x AS (SELECT id, company, type, {words('title')} AS w FROM projects)"))
@@ -326,10 +332,14 @@ def probable_duplicate_companies(spark, sf):
     return full.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
-@query("co_participation_pairs", sql("items", "SELECT DISTINCT a.supplier AS a, b.supplier AS b FROM items a JOIN items b ON a.target = b.target AND a.supplier < b.supplier"))
+_MET = """m AS (SELECT DISTINCT target, supplier FROM items), met AS (SELECT a.supplier AS a, b.supplier AS b, count(*) AS shared FROM m a JOIN m b ON a.target = b.target AND a.supplier <> b.supplier GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM met)"""
+
+
+@query("co_participation_pairs", sql("items", "SELECT a, b, shared, rank FROM ranked WHERE rank <= 20", _MET))
 def co_participation_pairs(spark, sf):
-    i = t.items(spark, sf).select("target", "supplier").distinct()
-    return i.withColumnRenamed("supplier", "a").join(i.withColumnRenamed("supplier", "b"), "target").where("a < b").select("a", "b").distinct()
+    """The twenty whom each supplier meets most in orders."""
+    return partners(t.items(spark, sf).select(F.col("target").alias("container"), F.col("supplier").alias("person")), 20)
 
 
 @query("maybe_done_join", sql("commitments items", "SELECT m.id, count(*) AS evidence FROM (SELECT m.id, row_number() OVER (PARTITION BY m.id ORDER BY i.date, i.seq) AS k FROM commitments m JOIN items i ON i.target = m.id AND i.date > m.date WHERE m.status = 'open') m WHERE k <= 3 GROUP BY m.id"))

@@ -83,13 +83,26 @@ def ack_after_request(spark, sf):
     return R.ack_after_request(t.thread_records(spark, sf), "thread").select("id", "thread")
 
 
-@query("pack_batches")
+_PACKED = """numbered AS (SELECT source, doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM notes),
+walk AS (SELECT source, doc_id, tokens, r, 1 AS batch, coalesce(tokens, 0) AS spent, 1 AS n FROM numbered WHERE r = 1 UNION ALL
+  SELECT x.source, x.doc_id, x.tokens, x.r, w.batch + CASE WHEN w.spent + coalesce(x.tokens, 0) > 34000 OR w.n >= 25 THEN 1 ELSE 0 END,
+    CASE WHEN w.spent + coalesce(x.tokens, 0) > 34000 OR w.n >= 25 THEN 0 ELSE w.spent END + coalesce(x.tokens, 0), CASE WHEN w.spent + coalesce(x.tokens, 0) > 34000 OR w.n >= 25 THEN 1 ELSE w.n + 1 END
+  FROM walk w JOIN numbered x ON x.source IS NOT DISTINCT FROM w.source AND x.r = w.r + 1)"""
+
+
+@query("pack_batches", sql("notes", "SELECT source, doc_id, tokens, batch FROM walk", _PACKED).replace("WITH", "WITH RECURSIVE", 1))
 def pack_batches(spark, sf):
     items = t.notes(spark, sf).select("source", "doc_id", T.estimate_tokens(F.col("text")).cast("bigint").alias("tokens"))
     return R.pack_batches(items, "source", ["doc_id"], "tokens", 34_000, 25)
 
 
-@query("chunk_transcript")
+_CHUNKED = """lines AS (SELECT conv_id, turn, length(text) + 1 AS length, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM thread_records),
+numbered AS (SELECT conv_id, turn, length, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM lines WHERE total <= 90000),
+walk AS (SELECT *, 1 AS chunk, length AS spent FROM numbered WHERE r = 1 UNION ALL
+  SELECT x.*, w.chunk + CASE WHEN w.spent + x.length > 2000 THEN 1 ELSE 0 END, CASE WHEN w.spent + x.length > 2000 THEN 0 ELSE w.spent END + x.length FROM walk w JOIN numbered x ON x.conv_id = w.conv_id AND x.r = w.r + 1)"""
+
+
+@query("chunk_transcript", sql("thread_records", "SELECT conv_id, turn, length, chunk FROM walk", _CHUNKED).replace("WITH", "WITH RECURSIVE", 1))
 def chunk_transcript(spark, sf):
     return R.chunk_lines(t.thread_records(spark, sf).select("conv_id", "turn", "text"), "conv_id", "turn", 2_000, 90_000)
 
