@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.terms import LETTERS_DIGITS, raw, term_runs
-from threadloom.llm.text import ROWS, collector_off
+from threadloom.llm.text import ROWS, collector_off, release
 from threadloom.storage import materialize
 
 TOP = 50
 BLOCK = 128
-SHARD_POSTINGS = 3_000_000
+SHARD_POSTINGS = 1_000_000
 #: (item, term) pairs that go to the tasks at a time; more items are searched in further passes.
 QUERY_PAIRS = 200_000
 #: Words that a building task holds as objects at a time.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 400_000
 BILLION = 1_000_000_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 INDEX = "shard bigint, term string, held bigint, words bigint, heads binary, data binary, ids array<bigint>"
@@ -116,8 +116,9 @@ class _Shard:
         names = sorted(self.numbers)
         rank = np.empty(len(names), dtype=np.int64)
         rank[[self.numbers[n] for n in names]] = np.arange(len(names))
-        term, doc, times = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
-        key = (rank[term] << 32) | place[doc]
+        key = np.concatenate([(rank[t] << 32) | place[d] for t, d, _ in self.parts])
+        times = np.concatenate([n for _, _, n in self.parts])
+        self.parts, self.numbers = [], {}
         by = np.argsort(key, kind="stable")
         key, times = key[by], times[by]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # a long text is counted in pieces
@@ -177,6 +178,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
                     if shard.postings > most:
                         yield from shard.rows(made)
                         shard, made = _Shard(), made + 1
+                        release()
             if shard.ids:
                 yield from shard.rows(made)
 
