@@ -51,19 +51,6 @@ def map_call_recordings(spark, sf):
     return near.join(calls.select(F.col("id").alias("rid"), "other"), "rid").select("id", "other")
 
 
-@query("map_dictation_app", sql("thread_records", "SELECT id, CASE turn % 3 WHEN 0 THEN 'edited' WHEN 1 THEN 'formatted' ELSE text END AS text FROM thread_records"))
-def map_dictation_app(spark, sf):
-    r = t.thread_records(spark, sf).withColumns({"edited": F.when(F.col("turn") % 3 == 0, "edited"), "formatted": F.when(F.col("turn") % 3 < 2, "formatted")})
-    return r.select("id", F.coalesce("edited", "formatted", "text").alias("text"))
-
-
-@query("map_zoom_meetings", sql("thread_records", "SELECT conv_id, min(CASE role WHEN 'system' THEN 1 ELSE 2 END) AS source, count(DISTINCT role) - 1 + CAST(bool_and(role <> 'assistant') AS INTEGER) AS people FROM thread_records GROUP BY conv_id"))
-def map_zoom_meetings(spark, sf):
-    """The best source of each folder, and its speakers without the owner."""
-    r = t.thread_records(spark, sf).withColumn("rank", F.when(F.col("role") == "system", 1).otherwise(2))
-    return r.groupBy("conv_id").agg(F.min("rank").alias("source"), F.size(F.array_except(F.collect_set("role"), F.array(F.lit("assistant")))).alias("people"))
-
-
 @query("map_im_messages", sql("thread_records contacts", "SELECT m.id, coalesce(c.name, m.sender) AS name FROM thread_records m LEFT JOIN contacts c ON c.card = m.conv_id % 200 WHERE m.role <> 'system'"))
 def map_im_messages(spark, sf):
     names = t.contacts(spark, sf).select((F.col("card")).alias("k"), "name")
