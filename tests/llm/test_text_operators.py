@@ -185,7 +185,7 @@ def test_toxicity_held_out(tox_model):
     assert got.where("predicted = toxic").count() >= 0.99 * got.count()
 
 
-@pytest.mark.parametrize("hidden", ["1d10t", "id!ot", "i d i o t", "i.d.i.o.t", "iiidiiot", "m0r0n", "st*p1d".replace("*", "u"), "$tupid"])
+@pytest.mark.parametrize("hidden", ["1d10t", "id!ot", "i d i o t", "i.d.i.o.t", "iiidiiot", "m0r0n", "st*p1d".replace("*", "u"), "$tupid", "& i d i o t", "? i d i o t !", "x & 1 d i 0 t ? y", "id iot", "idi ot", "1d10t/x", "x:i*diot", "\u0456d\u0456\u043et", "i\u200bdi\u200bot", "i\u0301d\u0301iot", "\uff49\uff44\uff49\uff4f\uff54", "and/idiot"])
 def test_hidden_words_are_restored(tox_model, make, hidden):
     plain = "the table and the garden by the river " * 3
     got = toxicity.score(make([plain + hidden + " here", plain]), tox_model[2]).orderBy("doc_id").collect()

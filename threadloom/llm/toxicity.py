@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 from itertools import groupby
@@ -44,6 +45,8 @@ _SHAPE = str.maketrans({c: "a" for c in _LETTERS} | {c: "1" for c in [*SIGNS, *_
 #: Costs of a word's edge between characters set apart, one for each reading.
 EDGES = (0.0, -2.0)
 _MEMO = 100_000
+#: Length of tokens that may be parts of a word with a space inside.
+_SHORT = 5
 
 
 def _codes(text: str) -> np.ndarray:
@@ -95,6 +98,15 @@ def language_model(counts: np.ndarray, words: dict[str, int], share: float = 0.2
     return -np.log((cube + 4 * bigram[None]) / (cube.sum(axis=2, keepdims=True) + 4)).reshape(-1)
 
 
+#: What stands neither for a letter nor for nothing; it parts a token and ends a run.
+_FOREIGN = re.compile("[^" + re.escape("".join(SIGNS) + _DROPPED) + r"\w]+|_{2,}")
+# Letters of other scripts by the Latin ones they look like; characters without width; marks set on letters.
+_LOOK = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
+_NO_WIDTH = ["\u00ad", "\u180e", *map(chr, range(0x200B, 0x2010)), *map(chr, range(0x2060, 0x2065)), "\ufeff", *map(chr, range(0x300, 0x370))]
+_ALIKE = str.maketrans(_LOOK | dict.fromkeys(_NO_WIDTH))
+_ODD = re.compile("[" + "".join(_LOOK) + "\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff\u0300-\u036f\uff01-\uff5e]")
+
+
 def _mixed(token: str) -> bool:
     """Letters and signs, nothing else, and not too few letters."""
     shape = token.translate(_SHAPE)
@@ -178,17 +190,26 @@ def restore(token: str, cost, spaced: bool = False, edge: float = 0.0) -> str:
     return "".join(reversed(out))
 
 
+def fold_alikes(text: str) -> str:
+    """Letters of other scripts that look like Latin ones, wide forms, marks set on letters and characters of no width, put right; most texts have none."""
+    return unicodedata.normalize("NFKC", text.translate(_ALIKE)) if _ODD.search(text) else text
+
+
 def tokens_of(text: str) -> tuple[list[str], list[str]]:
-    """Lower-cased tokens, and runs of three or more single characters, each run as one string."""
-    tokens = text.lower().split()
+    """Lower-cased tokens, and runs of three or more single characters, each run as one string.
+
+    A character that stands for no letter cuts a run; signs that may be dropped
+    are taken off its ends.
+    """
+    tokens = fold_alikes(text.lower()).split()
     single = [i for i, t in enumerate(tokens) if len(t) == 1]
     runs, taken, first = [], [], 0
     for k in range(1, len(single) + 1):
         if k == len(single) or single[k] != single[k - 1] + 1:
             if k - first >= 3:
-                run = "".join([tokens[i] for i in single[first:k]])
-                if _mixed(run):
-                    runs.append(run)
+                found = [r for part in _FOREIGN.split("".join([tokens[i] for i in single[first:k]])) if len(r := part.strip(_DROPPED + "!|")) >= 3 and _mixed(r)]
+                if found:
+                    runs += found
                     taken.append((single[first], single[k - 1] + 1))
             first = k
     for a, b in reversed(taken):
@@ -211,15 +232,26 @@ class Reader:
         return tuple(found) if self.wanted is None else tuple({self.wanted[f] for f in found if f in self.wanted})
 
     def token(self, token: str) -> tuple:
-        plain = token.strip(_EDGE)
-        forms = {plain}
-        if self.cost is not None:
-            core = token.strip(_SOFT)
-            for t in (plain,) if core == plain else (core, plain):
-                if looks_hidden(t):
-                    forms.add(restore(t, self.cost))
+        """Features of a token, of what it may hide, and of its parts between signs that stand for no letter."""
+        parts = [token, *_FOREIGN.split(token)] if _FOREIGN.search(token) else [token]
+        forms = set()
+        for part in parts:
+            plain = part.strip(_EDGE)
+            forms.add(plain)
+            if self.cost is not None:
+                core = part.strip(_SOFT)
+                for t in (plain,) if core == plain else (core, plain):
+                    if looks_hidden(t):
+                        forms.add(restore(t, self.cost))
         return self._features(forms)
 
+    def pair(self, a: str, b: str) -> tuple:
+        """Features of two short tokens as one word, where that is a known one and likelier than two: the space between them is nothing or an edge."""
+        word = a.strip(_EDGE) + b.strip(_EDGE)
+        if word not in self.wanted or not word.isalpha() or path_cost(word, self.cost) > path_cost(f"{a} {b}", self.cost):
+            return ()
+        return self._features({word})
+
     def run(self, run: str) -> tuple:
         """A run is read twice, with edges free and with edges favoured, for words of one letter; the words of both readings count."""
         return self._features({run} if self.cost is None else {w for edge in EDGES for w in restore(run, self.cost, True, edge).split(" ")})
@@ -229,6 +261,10 @@ class Reader:
         if len(memo) > _MEMO:
             memo.clear()
         tokens, runs = tokens_of(text or "")
+        if self.cost is not None and self.wanted is not None:
+            short = [len(t) <= _SHORT for t in tokens]
+            for a, b in {(tokens[i], tokens[i + 1]) for i in range(len(tokens) - 1) if short[i] and short[i + 1]}:
+                out.update(self.pair(a, b))
         for t in set(tokens):
             found = memo.get(t)
             if found is None:
