@@ -1,8 +1,10 @@
 """SimHash groups, near copies, decontamination: brute force on small tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -303,3 +305,28 @@ def test_tails_and_short_items(spark, make):
     assert got == {(0, 2), (1, 1), (1, 2), (2, 2), (3, 2), (3, 3), (4, 4), (5, 5), (6, 2)}
     assert {r["doc_id"] for r in D.without_leaks(make(texts), items).collect()} == {7}
     assert [len(w) for _, w in D.passages_of(rows[:1])] == [96, 96]
+
+
+@pytest.mark.parametrize(("share", "inserted"), [(0.15, 0.0), (0.18, 0.0), (0.19, 0.1)])
+def test_passages_without_their_rarest_words_are_found(spark, share, inserted):
+    """Every item of the benchmark, its rarest words replaced (what is left still reaches ``SAME``), words set in between, inside a real document."""
+    sf = "/root/testdata/sf0.01"
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) between 300 and 3000").orderBy("doc_id").limit(200).collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items = [(i, t) for i, t in items if D.FEW <= len(D.words_of(t)) <= D.PASSAGE]
+    df = Counter(w for t in texts for w in set(D.words_of(t)))
+    rng = random.Random(6)
+    planted = []
+    for d, (_, t) in enumerate(items):
+        words = D.words_of(t)
+        places = sorted(range(len(words)), key=lambda k: (df[words[k]], words[k], k))[: int(share * len(words))]
+        told = [f"zz{k}".encode() if k in places else w for k, w in enumerate(words)]
+        told = [x for w in told for x in ([w, b"zzin"] if rng.random() < inserted else [w])]
+        assert D.judge(words, told)[0] >= D.SAME
+        host = D.words_of(texts[d % len(texts)])
+        at = rng.randrange(len(host) + 1)
+        planted.append((d, b" ".join([*host[:at], *told, *host[at:]]).decode()))
+    schema = "id long, text string"
+    docs, bench = spark.createDataFrame(planted, "doc_" + schema), spark.createDataFrame(items, "item_" + schema)
+    found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect()}
+    assert {(d, i) for d, (i, _) in enumerate(items)} <= found

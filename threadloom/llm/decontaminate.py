@@ -5,9 +5,12 @@ factored by a randomised SVD whose products are computed where the rows are;
 the inverse document frequencies come from all documents. Windows of every
 document are projected to the latent space, and a window whose cosine to a
 passage comes near the cosine it would have if it contained the passage is a
-candidate. Candidates are verified on the words: by the longest common
-subsequence with the passage, and for looser ones also by its answer, the
-last words of the passage.
+candidate. Beside it stands an exact gate: a passage that shares the longest
+common subsequence that is enough alone must share a counted number of its
+rarest words, so windows with that many are candidates whatever their cosine.
+Candidates are verified on the words: by the longest common subsequence with
+the passage, and for looser ones also by its answer, the last words of the
+passage.
 
 The benchmark is the query set. It is read in groups of at most ``GROUP``
 passages, whole items each; a group is what the driver holds and what is
@@ -43,6 +46,8 @@ SAME, LOOSE = 0.8, 0.6
 COMMON, AT_LEAST = 0.02, 8
 #: Passages of fewer words have no terms to tell them by; they are sought word by word.
 FEW = 8
+#: Share of a passage's words, the rarest, that the exact gate looks for.
+RAREST = 0.4
 _STEP, _PIECES = 16_384, 8
 
 
@@ -244,6 +249,67 @@ class Search:
         return [(item, *found) for item, found in best.items()]
 
 
+def rarest_places(words: list[bytes], df: dict[bytes, int]) -> tuple[list[int], int]:
+    """Places of a passage's rarest words, and how many of them any text holds that shares ``SAME`` of it.
+
+    At most ``n - SAME * n`` words of the passage are missing then, so of any
+    ``m`` places all but as many are met.
+    """
+    n = len(words)
+    missing = n - int(np.ceil(SAME * n - 1e-9))
+    most = min(n, max(int(np.ceil(RAREST * n)), missing + 3))
+    places = sorted(sorted(range(n), key=lambda k: (df[words[k]], words[k], k))[:most])
+    return places, most - missing
+
+
+class OverlapSearch:
+    """Finds the passages of which a text shares ``SAME``, by counts of their rarest words; no likeness decides."""
+
+    def __init__(self, passages: list[tuple[int, list[bytes]]], chosen: list[tuple[list[int], int]]):
+        self.passages, postings = passages, {}
+        for p, ((_, words), (places, _)) in enumerate(zip(passages, chosen, strict=True)):
+            for k in places:
+                postings.setdefault(words[k], []).append((p, k))
+        self.number = {w: i for i, w in enumerate(postings)}
+        self.starts = np.cumsum([0, *map(len, postings.values())])
+        flat = np.array([x for held in postings.values() for x in held], dtype=np.int64).reshape(-1, 2)
+        self.owner, self.place = flat[:, 0], flat[:, 1]
+        self.need = np.array([need for _, need in chosen], dtype=np.int64)
+        self.reach = np.array([len(w) // 2 * 2 + next(window for most, window in SCALES if len(w) <= most) for _, w in passages], dtype=np.int64)
+
+    def _candidates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Passages, and where in the text each would begin."""
+        get = self.number.get
+        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        at = np.flatnonzero(ids >= 0)
+        first, size = self.starts[ids[at]], self.starts[ids[at] + 1] - self.starts[ids[at]]
+        ends = np.cumsum(size)
+        flat = np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        owner, held = self.owner[flat], np.repeat(at, size)
+        order = np.argsort(owner, kind="stable")
+        owner, held, place = owner[order], held[order], self.place[flat[order]]
+        last = np.arange(len(owner)) + self.need[owner] - 1
+        inside = last < len(owner)
+        last = np.minimum(last, max(0, len(owner) - 1))
+        found = np.flatnonzero(inside & (owner[last] == owner) & (held[last] - held < self.reach[owner])) if len(owner) else np.zeros(0, dtype=np.int64)
+        return owner[found], held[found] - place[found]
+
+    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+        """As ``Search.leaks``; nearness is the common share."""
+        words, best, tried = words_of(text), {}, set()
+        for p, begin in zip(*(x.tolist() for x in self._candidates(words)), strict=True):
+            item, passage = self.passages[p]
+            slack = max(1, len(passage) // 4)
+            if (p, begin // slack) in tried or best.get(item, (0, 0.0))[1] == 1:
+                continue
+            tried.add((p, begin // slack))
+            start = max(0, begin // slack * slack - slack)
+            share, answer = judge(passage, words[start : start + int(self.reach[p]) + slack])
+            if share >= SAME and share > best.get(item, (0, 0.0))[1]:
+                best[item] = (share, share, answer >= SAME)
+        return [(item, *found) for item, found in best.items()]
+
+
 class ShortSearch:
     """Finds the leaks of passages of fewer than ``FEW`` words in a text.
 
@@ -278,10 +344,11 @@ class ShortSearch:
 
 
 class GroupSearch:
-    """Finds the leaks of a group: blocks of long passages, and the short ones."""
+    """Finds the leaks of a group: blocks of long passages by likeness and by counts, and the short ones."""
 
-    def __init__(self, models: list[dict], short: list[tuple[int, list[bytes]]]):
-        self.parts = [*map(Search, models), *([ShortSearch(short)] if short else [])]
+    def __init__(self, models: list[dict], chosen: list[tuple[list[int], int]], short: list[tuple[int, list[bytes]]]):
+        long = [p for m in models for p in m["passages"]]
+        self.parts = [*map(Search, models), *([OverlapSearch(long, chosen)] if long else []), *([ShortSearch(short)] if short else [])]
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         """As ``Search.leaks``; of an item's passages in several parts the best counts."""
@@ -311,12 +378,14 @@ def _search_of(docs: DataFrame, passages: list[tuple[int, list[bytes]]]):
     """The broadcast models of a group; the inverse document frequencies come from one scan of all documents."""
     spark = docs.sparkSession
     long, short = [p for p in passages if len(p[1]) >= FEW], [p for p in passages if len(p[1]) < FEW]
-    models = []
+    models, chosen = [], []
     if long:
         terms = {w: i for i, w in enumerate(sorted({w for _, words in long for w in words}))}
         n, df = _document_frequencies(docs, terms)
         models = [_model(spark, long[start : start + BLOCK], terms, n, df) for start in range(0, len(long), BLOCK)]
-    return spark.sparkContext.broadcast((models, short))
+        held = {w: int(df[i]) for w, i in terms.items()}
+        chosen = [rarest_places(words, held) for _, words in long]
+    return spark.sparkContext.broadcast((models, chosen, short))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
