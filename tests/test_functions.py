@@ -77,3 +77,17 @@ def test_scrub(spark):
     for i, (t, want, kinds) in enumerate(SCRUBBED):
         assert got[i] == (want, kinds), t
     assert "Python" not in scrub_text(df)._jdf.queryExecution().toString()
+
+
+def test_accents_code_point_by_code_point(spark):
+    import unicodedata
+
+    from threadloom.functions import text as T
+
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not 0x300 <= ord(c) <= 0x36F)
+    points = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]) if plain(c) != c]
+    texts = [f"a{c}b" for c in points] + ["řőşŁ ﬁné Ａｂ１ 한국 ½ ㎏", "", "plain", "\n한\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    got = {r["i"]: r["f"] for r in rows.select("i", T.fold_accents(rows["v"]).alias("f")).collect()}
+    assert len(points) > 16_000 and [texts[i] for i in got if got[i] != plain(texts[i])] == []
+    assert got[len(points)] == plain("řőşŁ ﬁné Ａｂ１ 한국 ½ ㎏") and rows.select(T.fold_accents(rows["v"].substr(9, 1)).alias("x")).where("x is null").count() == 0

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import cache
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,13 +41,60 @@ CALENDAR_NOISE = (
     r"home|school pickup|pickup|ocupado|bloqueado|almuerzo|comida|cena|privado|gimnasio|traslado)$"
 )
 CALENDAR_PREFIX = r"(?i)^(canceled|cancelled|cancelado|declined|rechazado|updated invitation|invitation|accepted|tentatively accepted|invitación|invitacion|aceptado|aceptada)(?![A-Za-z0-9_])\s*:?"
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Hangul syllables are spelled by arithmetic: first and last of them, first letters of their three parts, number of second and third ones.
+_SYLLABLES, _JAMO, _VOWELS, _FINALS = (0xAC00, 0xD7A3), (0x1100, 0x1161, 0x11A7), 21, 28
+
+
+@cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """Unicode's compatible decomposition without combining accents, Hangul apart.
+
+    Characters that become one other, and what; then those that vanish stand
+    at the end of the first text alone; and those that become several.
+    """
+    one, gone, several = {}, "", {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)):
+        c = chr(code)
+        if _SYLLABLES[0] <= code <= _SYLLABLES[1]:
+            continue
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if d == "":
+            gone += c
+        elif len(d) > 1:
+            several[c] = d
+        elif d != c:
+            one[c] = d
+    return "".join(one) + gone, "".join(one.values()), several
+
+
+def _ranges(characters: list[str]) -> str:
+    """Characters as a class of a regular expression."""
+    out, codes = "", sorted(map(ord, characters))
+    for _, run in groupby(enumerate(codes), lambda x: x[1] - x[0]):
+        span = [c for _, c in run]
+        out += f"\\x{{{span[0]:x}}}-\\x{{{span[-1]:x}}}"
+    return f"[{out}]"
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters without their accents; letters beyond the table stay."""
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """Letters without their accents, and other forms as the plain ones: all of Unicode's compatible decomposition (NFKD) without combining accents.
+
+    Plain ASCII passes as it is, most other texts by one table of characters;
+    only texts with a character that becomes several are cut apart.
+    """
+    narrow, wide, several = folds()
+    syllable = f"[\\x{{{_SYLLABLES[0]:x}}}-\\x{{{_SYLLABLES[1]:x}}}]"
+    spelled = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
+    letter = lambda code: F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+    code = lambda x: F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("int") - _SYLLABLES[0]
+    final = lambda x: F.when(code(x) % _FINALS > 0, letter(F.lit(_JAMO[2]) + code(x) % _FINALS)).otherwise("")
+    jamo = lambda x: F.concat(letter(F.lit(_JAMO[0]) + F.floor(code(x) / (_VOWELS * _FINALS)).cast("int")), letter(F.lit(_JAMO[1]) + F.floor(code(x) % (_VOWELS * _FINALS) / _FINALS).cast("int")), final(x))
+    apart = lambda x: F.when(x.rlike(syllable), jamo(x)).otherwise(F.coalesce(F.try_element_at(spelled, x), x))
+    odd = f"{_ranges([*several])}|{syllable}"
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{odd})|(?:(?!{odd}).)+"), F.lit(0))
+    rare = _ranges([x for x in several if x < "\u0250"])[:-1] + r"\x{250}-\x{10ffff}]"  # spares texts in Latin letters the long list
+    whole = F.when(c.rlike(rare) & c.rlike(odd), F.array_join(F.transform(pieces, lambda x: F.when(F.length(x) == 1, apart(x)).otherwise(x)), "")).otherwise(c)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(whole, narrow, wide)).otherwise(c)
 
 
 def name_norm(c: Column) -> Column:
