@@ -144,12 +144,27 @@ def map_strings(spark, sf):
     return p.select(*(F.upper(c).alias(c) if kind == "string" else F.col(c) for c, kind in p.dtypes))
 
 
-@query("file_signature_skip", sql("records", "SELECT kind, count(*) AS n FROM records WHERE user_id % 2 = 1 GROUP BY kind"))
+@query("file_signature_skip", sql("records", "SELECT thread, count(*) AS n, sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS changed FROM records WHERE user_id % 3 < 2 GROUP BY thread"))
 def file_signature_skip(spark, sf):
-    """Files whose size and time are known are not read again."""
-    r = t.records(spark, sf).withColumns({"path": F.col("thread"), "size": F.col("user_id") % 7, "mtime": F.lit(1)})
-    seen = r.where("user_id % 2 = 0").select("path", "size", "mtime").distinct()
-    return r.join(seen, ["path", "size", "mtime"], "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
+    """Three runs over a folder with a file a thread: a third is there from the start, a third comes later and a third of the first changes. Runs two and three take what is new; this is what they took."""
+    from threadloom.sources import files
+    from threadloom.streaming.ingest import new_folder
+
+    r = t.records(spark, sf).select("id", "thread", "user_id")
+    folder, state, out = new_folder(spark, "landed"), new_folder(spark, "signatures"), new_folder(spark, "taken")
+    put = lambda df, kind: df.repartition("thread").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("thread").parquet(f"{folder}/{kind}")
+
+    def take(paths):
+        spark.read.option("basePath", folder).parquet(*paths).write.mode("append").parquet(out)
+
+    put(r.where("user_id % 3 <> 1"), "old")
+    files.ingest_changed(spark, folder, state, lambda paths: None, "*.parquet")
+    put(r.where("user_id % 3 = 1"), "new")
+    files.ingest_changed(spark, folder, state, take, "*.parquet")
+    put(r.where("user_id % 3 = 0").withColumn("user_id", F.col("user_id") + 0), "old")  # written anew
+    files.ingest_changed(spark, folder, state, take, "*.parquet")
+    assert files.ingest_changed(spark, folder, state, take, "*.parquet") == 0
+    return spark.read.parquet(out).groupBy("thread").agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 3 == 0).alias("changed"))
 
 
 @query("role_vocabulary", sql("projects", "SELECT type, CASE type WHEN 'ECONOMY' THEN 'low' ELSE 'other' END AS label, count(*) AS n FROM projects GROUP BY ALL"))

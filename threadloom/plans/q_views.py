@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.operators import records as R
+from threadloom.operators.context import known_context as known_context_of
 from threadloom.plans import tables as t
 from threadloom.plans.q_scalar import norm
 from threadloom.plans.tables import sql
@@ -241,11 +242,41 @@ def home_summary(spark, sf):
     return part(c, "commitments").unionByName(part(t.projects(spark, sf), "projects")).unionByName(part(t.contacts(spark, sf), "people")).unionByName(part(c.where("status = 'open'"), "open"))
 
 
-@query("known_context", sql("items commitments", "SELECT target, id FROM (SELECT i.target, m.id, row_number() OVER (PARTITION BY i.target ORDER BY m.due, m.id) AS k FROM (SELECT DISTINCT target, supplier FROM items) i JOIN commitments m ON m.counterpart = i.supplier AND m.status = 'open') WHERE k <= 5"))
+_KNOWN = """batches AS (SELECT DISTINCT id // 100 AS batch FROM commitments), who AS (SELECT DISTINCT id // 100 AS batch, counterpart AS p FROM commitments WHERE id % 400 >= 100),
+people AS (SELECT c.card AS id, c.name AS title, c.company, coalesce(n, 0) AS strength FROM contacts c LEFT JOIN (SELECT counterpart, count(*) AS n FROM commitments GROUP BY counterpart) k ON k.counterpart = c.card),
+strong AS (SELECT id, row_number() OVER (ORDER BY strength DESC, title, id) AS r FROM people),
+mine AS (SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY strength DESC, title, id) AS r FROM who JOIN people ON p = id),
+both_ AS (SELECT batch, id, 0 AS part, r FROM mine WHERE r <= 300 UNION ALL SELECT b.batch, s.id, 1, s.r FROM batches b, strong s WHERE s.r <= 300 AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.batch = b.batch AND m.id = s.id)),
+told AS (SELECT batch, string_agg(id, ',' ORDER BY k) AS people, count(*) FILTER (k <= 120) AS detailed FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY part, r) AS k FROM both_) WHERE k <= 300 GROUP BY batch),
+met AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY ts DESC, id) AS k FROM (SELECT DISTINCT w.batch, m.id, m.ts FROM who w JOIN records m ON m.kind = 'meeting' AND m.user_id = w.p)),
+latest AS (SELECT string_agg(id, ',' ORDER BY ts DESC, id) AS meetings FROM (SELECT id, ts FROM records WHERE kind = 'meeting' ORDER BY ts DESC, id LIMIT 20)),
+held AS (SELECT batch, string_agg(id, ',' ORDER BY k) AS meetings FROM met WHERE k <= 20 GROUP BY batch),
+owed AS (SELECT batch, string_agg(id, ',' ORDER BY k) AS commitments FROM (SELECT w.batch, m.id, row_number() OVER (PARTITION BY w.batch ORDER BY m.date DESC, m.id) AS k FROM who w JOIN commitments m ON m.counterpart = w.p AND m.status = 'open') WHERE k <= 80 GROUP BY batch),
+chances AS (SELECT id, CASE WHEN id % 3 > 0 THEN id END AS counterpart, size FROM projects WHERE size > 10),
+open_ AS (SELECT batch, string_agg(id, ',' ORDER BY k) AS opportunities FROM (SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY size DESC, id) AS k FROM (SELECT w.batch, c.id, c.size FROM who w JOIN chances c ON c.counterpart = w.p UNION ALL SELECT b.batch, c.id, c.size FROM batches b, chances c WHERE c.counterpart IS NULL)) WHERE k <= 40 GROUP BY batch),
+shared AS (SELECT (SELECT string_agg(company, ',' ORDER BY company) FROM (SELECT DISTINCT company FROM projects ORDER BY company LIMIT 300)) AS companies,
+  (SELECT string_agg(title || ' ' || coalesce(CAST(seen AS VARCHAR), ''), ',' ORDER BY title, type, seen NULLS FIRST) FROM (SELECT p.title, p.type, max(i.date) AS seen FROM projects p LEFT JOIN items i ON i.part = p.id GROUP BY p.id, p.title, p.type ORDER BY p.title, p.type, seen NULLS FIRST LIMIT 200)) AS projects,
+  (SELECT string_agg(id, ',' ORDER BY ts DESC, id) FROM (SELECT id, ts FROM notes ORDER BY ts DESC, id LIMIT 40)) AS answers)"""
+
+
+@query("known_context", sql("commitments contacts records projects items notes", "SELECT b.batch, t.people, t.detailed, s.companies, s.projects, CASE WHEN EXISTS (SELECT 1 FROM mine m WHERE m.batch = b.batch) THEN coalesce(h.meetings, '') ELSE l.meetings END AS meetings, coalesce(o.commitments, '') AS commitments, coalesce(x.opportunities, '') AS opportunities, s.answers FROM batches b CROSS JOIN shared s CROSS JOIN latest l LEFT JOIN told t USING (batch) LEFT JOIN held h USING (batch) LEFT JOIN owed o USING (batch) LEFT JOIN open_ x USING (batch)", _KNOWN))
 def known_context(spark, sf):
-    who = t.items(spark, sf).select("target", F.col("supplier").alias("counterpart")).distinct()
-    loops = t.commitments(spark, sf).where("status = 'open'").join(who, "counterpart")
-    return loops.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("due", "id"))).where("k <= 5").select("target", "id")
+    """A batch is a hundred commitments; every fourth names no one."""
+    m = t.commitments(spark, sf).withColumn("batch", F.expr("id div 100"))
+    who = m.where("id % 400 >= 100").select("batch", F.col("counterpart").alias("person_id"))
+    strength = m.groupBy(F.col("counterpart").alias("card")).agg(F.count("*").alias("strength"))
+    people = t.contacts(spark, sf).join(strength, "card", "left").select(F.col("card").alias("id"), F.col("name").alias("title"), F.coalesce("strength", F.lit(0)).alias("strength"), F.array("name", "mail").alias("aliases"), "company")
+    p = t.projects(spark, sf)
+    seen = t.items(spark, sf).groupBy(F.col("part").alias("id")).agg(F.max("date").alias("last_activity"))
+    meetings = t.records(spark, sf).where("kind = 'meeting'").select("id", F.col("thread").alias("title"), F.col("ts").alias("date"), F.array("user_id").alias("people"))
+    chances = p.where("size > 10").select("id", "title", F.when(F.col("id") % 3 > 0, F.col("id")).alias("counterpart"), F.col("size").alias("date"), F.lit("open").alias("status"))
+    owed = m.select("id", "direction", "counterpart", "date", "due", "status", F.col("direction").alias("text"))
+    context = known_context_of(m, who, people, p.select(F.col("company").alias("title")), p.join(seen, "id", "left").select("title", F.col("type").alias("status"), "last_activity"), meetings, owed, chances, t.notes(spark, sf).select("id", "text", F.col("ts").alias("at")))
+    said = lambda c, f: F.array_join(F.transform(c, f), ",")
+    ids = lambda c: said(c, lambda x: x["id"].cast("string")).alias(c)
+    project = lambda x: F.concat(x["title"], F.lit(" "), F.coalesce(x["last_activity"].cast("string"), F.lit("")))
+    detailed = F.size(F.filter("people", lambda x: x["company"].isNotNull())).cast("bigint")
+    return context.select("batch", ids("people"), detailed.alias("detailed"), said("companies", lambda x: x["title"]).alias("companies"), said("projects", project).alias("projects"), ids("meetings"), ids("commitments"), ids("opportunities"), ids("answers"))
 
 
 @query("identity_samples", sql("thread_records", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY ts DESC, id) AS k2 FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY ts DESC, id) AS k FROM thread_records) WHERE k <= 12 AND length(text) >= 12) WHERE k2 <= 3"))
