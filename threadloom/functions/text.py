@@ -76,23 +76,29 @@ def _ranges(characters: list[str]) -> str:
     return f"[{out}]"
 
 
+@cache
+def _spelling() -> tuple[str, str, str, str, str, str]:
+    """What ``fold_accents`` names: the table from and to, several-letter forms as JSON, classes of what is cut apart, of syllables, of what may need cutting."""
+    narrow, wide, several = folds()
+    syllable = f"[\\x{{{_SYLLABLES[0]:x}}}-\\x{{{_SYLLABLES[1]:x}}}]"
+    rare = _ranges([x for x in several if x < "\u0250"])[:-1] + r"\x{250}-\x{10ffff}]"  # spares texts in Latin letters the long list
+    return narrow, wide, json.dumps(several, ensure_ascii=False), f"{_ranges([*several])}|{syllable}", syllable, rare
+
+
 def fold_accents(c: Column) -> Column:
     """Letters without their accents, and other forms as the plain ones: all of Unicode's compatible decomposition (NFKD) without combining accents.
 
     Plain ASCII passes as it is, most other texts by one table of characters;
     only texts with a character that becomes several are cut apart.
     """
-    narrow, wide, several = folds()
-    syllable = f"[\\x{{{_SYLLABLES[0]:x}}}-\\x{{{_SYLLABLES[1]:x}}}]"
-    spelled = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
+    narrow, wide, several, odd, syllable, rare = _spelling()
+    spelled = F.from_json(F.lit(several), "map<string,string>")
     letter = lambda code: F.decode(F.unhex(F.hex(code)), "UTF-16BE")
     code = lambda x: F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("int") - _SYLLABLES[0]
     final = lambda x: F.when(code(x) % _FINALS > 0, letter(F.lit(_JAMO[2]) + code(x) % _FINALS)).otherwise("")
     jamo = lambda x: F.concat(letter(F.lit(_JAMO[0]) + F.floor(code(x) / (_VOWELS * _FINALS)).cast("int")), letter(F.lit(_JAMO[1]) + F.floor(code(x) % (_VOWELS * _FINALS) / _FINALS).cast("int")), final(x))
     apart = lambda x: F.when(x.rlike(syllable), jamo(x)).otherwise(F.coalesce(F.try_element_at(spelled, x), x))
-    odd = f"{_ranges([*several])}|{syllable}"
     pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{odd})|(?:(?!{odd}).)+"), F.lit(0))
-    rare = _ranges([x for x in several if x < "\u0250"])[:-1] + r"\x{250}-\x{10ffff}]"  # spares texts in Latin letters the long list
     whole = F.when(c.rlike(rare) & c.rlike(odd), F.array_join(F.transform(pieces, lambda x: F.when(F.length(x) == 1, apart(x)).otherwise(x)), "")).otherwise(c)
     return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(whole, narrow, wide)).otherwise(c)
 

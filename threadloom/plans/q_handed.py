@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.plans import tables as t
 from threadloom.plans.tables import sql
+from threadloom.sources import chats as C
 from threadloom.sources import handed as M
 
 QUERIES, SQL = {}, {}
@@ -128,3 +129,26 @@ def full_record_passthrough(spark, sf):
     one = F.to_json(F.struct("id", "source", "kind", "thread", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.struct(F.col("other").alias("handle")).alias("from"), owner.alias("to"), "is_from_me", text.alias("text"), meta.alias("meta")))
     raw = r.select("user_id", one.alias("m")).groupBy("user_id").agg(F.concat_ws("\n", F.collect_list("m")).alias("value"))
     return shown(M.passed_through(M.handed_items(raw), F.lit(ACCOUNT)))
+
+
+_EXPORT = """said AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM thread_records),
+lines AS (SELECT conv_id, turn, role, ts, CASE WHEN s = '' THEN 'and more' ELSE s || chr(10) || 'and more' END AS body, 'room ' || conv_id AS key FROM said),
+chats AS (SELECT conv_id, count(DISTINCT role) <> 1 AS grp, string_agg('"name:' || role || '"', ',' ORDER BY first) FILTER (role <> 'assistant') AS people FROM (SELECT conv_id, role, min(turn) AS first FROM lines GROUP BY conv_id, role) GROUP BY conv_id),
+keyed AS (SELECT *, key || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') || '|' || role || '|' || body || '|' AS base FROM lines JOIN chats USING (conv_id)),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, base ORDER BY turn) AS n, left(sha1(key), 16) AS digest FROM keyed)"""
+_EXPORTED = """SELECT 'whatsapp_export:' || left(sha1(base || '|' || n), 20) AS id, 'whatsapp_export' AS source, 'message' AS kind, 'whatsapp:export:' || digest AS thread, epoch_us(ts) AS ts_us,
+  CASE WHEN role = 'assistant' THEN 'mailto:owner@example.com' ELSE 'name:' || role END AS sender, role AS sender_name, CASE WHEN grp THEN 'group:whatsapp_export:' || digest || '|Room ' || conv_id WHEN role = 'assistant' THEN 'name:room ' || conv_id || '|Room ' || conv_id ELSE '' END AS recipients,
+  role = 'assistant' AS is_from_me, CASE WHEN grp THEN 'Room ' || conv_id END AS title, body AS text, NULL AS url,
+  '{"chat_name":"Room ' || conv_id || '","export_file":"WhatsApp Chat with Room ' || conv_id || '.txt"' || CASE WHEN grp THEN ',"is_group":true,"participants":[' || coalesce(people, '') || ']' ELSE '' END || '}' AS meta FROM counted"""
+
+
+@query("map_chat_export", sql("thread_records", _EXPORTED, _EXPORT))
+def map_chat_export(spark, sf):
+    """Conversations as export files, half in each style of heads, messages of two lines."""
+    r = t.thread_records(spark, sf)
+    clock = F.date_format("ts", "yyyy-MM-dd, HH:mm")
+    head = F.when(F.col("conv_id") % 2 == 0, F.concat(clock, F.lit(" - "))).otherwise(F.concat(F.lit("["), F.date_format("ts", "yyyy/MM/dd, hh:mm:ss a"), F.lit("] ")))
+    one = F.concat(head, "role", F.lit(": "), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("\nand more"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("o")))), lambda x: x["o"]), "\n")
+    files = r.groupBy("conv_id").agg(whole.alias("value")).select(F.concat(F.lit("WhatsApp Chat with Room "), F.col("conv_id").cast("string"), F.lit(".txt")).alias("file"), "value")
+    return shown(C.export_records(files, (t.OWNER, "assistant"), "UTC"))

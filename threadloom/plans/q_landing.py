@@ -58,12 +58,6 @@ def map_im_messages(spark, sf):
     return m.join(names, "k", "left").select("id", F.coalesce("name", "sender").alias("name"))
 
 
-@query("map_chat_export", sql("thread_records", "SELECT substr(sha1(thread || '|' || role || '|' || text || '|' || n), 1, 20) AS id, n FROM (SELECT *, row_number() OVER (PARTITION BY thread, role, text ORDER BY turn) AS n FROM thread_records)"))
-def map_chat_export(spark, sf):
-    rows = R.duplicate_ordinal(t.thread_records(spark, sf), ["thread", "role", "text"], "turn")
-    return rows.select(F.substring(F.sha1(F.concat_ws("|", "thread", "role", "text", F.col("n").cast("string"))), 1, 20).alias("id"), F.col("n").cast("bigint").alias("n"))
-
-
 @query("source_registry", sql("records", "SELECT label, count(r.id) AS n FROM (SELECT unnest(['message', 'email', 'call']) AS kind, unnest(['Chat', 'Mail', 'Calls']) AS label) k JOIN records r USING (kind) GROUP BY label"))
 def source_registry(spark, sf):
     known = spark.createDataFrame([("message", "Chat"), ("email", "Mail"), ("call", "Calls")], "kind string, label string")

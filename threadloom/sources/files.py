@@ -21,10 +21,8 @@ def signatures(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def changed(found: DataFrame, state: DataFrame) -> DataFrame:
-    """Signatures that the state doesn't hold: new files, and those of other length or time. A path may have several rows in the state; its latest counts."""
-    known = state.groupBy("path").agg(F.max_by(F.struct("length", "modified"), "modified").alias("was"))
-    same = [F.col("f.path") == F.col("k.path"), F.col("f.length") == F.col("k.was.length"), F.col("f.modified") == F.col("k.was.modified")]
-    return found.alias("f").join(known.alias("k"), same, "left_anti")
+    """Signatures that the state doesn't hold: new files, and those of other length or time."""
+    return found.join(state.select("path", "length", "modified").distinct(), ["path", "length", "modified"], "left_anti")
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
