@@ -64,6 +64,33 @@ SCRUBBED = [
     ("palabra clave: sol; clave: sol", "palabra clave: sol; clave: [password]", ["password"]),
     ("passcode: 1234", "passcode: [code]", ["code"]),
     ("nothing here", "nothing here", []),
+    ("Card 4111 1111 1111 1111 and amex 3782-822463-10005, visa 4012888888881881.", "Card [card] and amex [card], visa [card].", ["card", "card", "card"]),
+    *((s, s, []) for s in ("Call +1 305 555 0100", "Order 112-1234567-1234567", "Invoice 4111 1111 1111 1112", "Tracking 1Z999AA10123456784", "Total $1,234,567.89", "Date 2026-09-28 12:30", "Stamp 20260928123045", "Ref 5105 1051 0510 5106 1")),
+    ("IBAN: DE89 3704 0044 0532 0130 00 PLEASE PAY", "IBAN: [iban] PLEASE PAY", ["iban"]),
+    ("ES9121000418450200051332", "[iban]", ["iban"]),
+    ("it ends.\n4111111111111111 begins", "it ends.\n[card] begins", ["card"]),
+    ("the code\n123456", "the code\n123456", []),
+    ("DE89 3704 0044 0532 0130 01", "DE89 3704 0044 0532 0130 01", []),
+    ("Número de seguro social: 123 45 6789", "Número de seguro social: [ssn]", ["ssn"]),
+    ("Part number 123-45-6789", "Part number 123-45-6789", []),
+    ("ssn 123-45-6789 12 then 4111111111111111", "ssn [ssn] 12 then [card]", ["card", "ssn"]),
+    ("Tu código de verificación es 4821", "Tu código de verificación es [code]", ["code"]),
+    ("482913 is your Instagram code", "[code] is your Instagram code", ["code"]),
+    ("G-482913 is your Google verification code.", "[code] is your Google verification code.", ["code"]),
+    ("OTP: 123 456", "OTP: [code]", ["code"]),
+    ("PIN 1234 4111 1111 1111 1111", "PIN [code] 1111 1111 1111", ["code"]),
+    ("+1 4111 1111 1111 1111", "+1 [card]", ["card"]),
+    ("$4111 1111 1111 1111", "$4111 1111 1111 1111", []),
+    ("4111 1111 1111 1111 4012 8888 8888 1881", "[card] [card]", ["card", "card"]),
+    ("4111111111111111.5", "4111111111111111.5", []),
+    ("1234567890123456789012345 code", "1234567890123456789012345 code", []),
+    *((s, s, []) for s in ("Zip code 33101", "Código postal 06600", "Promo code 2024 saves 20%", "Meeting ID: 812 3456 7890", "Call me at 305 555 0100", "Order code 99812", "The code of conduct 2026")),
+    ("wifi password: Qwave2026!", "wifi password: [password]", ["password"]),
+    ("la contraseña es Tigre#88.", "la contraseña es [password].", ["password"]),
+    ("Passcode: aB3dE9", "Passcode: [password]", ["password"]),
+    ("the password is wrong", "the password is wrong", []),
+    ("palabra clave: innovación", "palabra clave: innovación", []),
+    ("password: hunter2 pin 4821 4111111111111111 ES9121000418450200051332", "password: [password] pin [code] [card] [iban]", ["iban", "card", "code", "password"]),
     ("", "", []),
     (None, None, []),
 ]
