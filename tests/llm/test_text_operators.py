@@ -91,7 +91,16 @@ def test_license_base_equals_brute_force(make, odd_texts):
         ("Licensed under the Apache License, Version 2.0.", "apache-2.0", True),
         ("Licensed under the Apache License, Version 1.1", "apache-2.0", False),
         ("This work is licensed under the GNU General Public License, version 3.", "gpl", True),
-        ("licensed under the GNU Lesser General Public License as published by the Free Software Foundation, either version 2 or any later version", "gpl", True),
+        ("licensed under the GNU Lesser General Public License as published by the Free Software Foundation, either version 2 or any later version", "lgpl", True),
+        ("licensed under the GNU Affero General Public License", "agpl", True),
+        ("licensed under the GNU Affero General Public License", "lgpl", False),
+        ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa", True),
+        ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by", False),
+        ("Licensed under a Creative Commons Attribution 4.0 International License", "cc-by", True),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa", True),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc", False),
+        ("This is not, in any sense of the word, licensed under the MIT license", "mit", False),
+        ("It is not free. It is released under the MIT license", "mit", True),
         ("Licensed under CC BY-NC 4.0.", "cc-by-nc", True),
         ("Copyright (c) 2024 Some Body Ltd. All rights reserved", "reserved", True),
         ("This is not licensed under the MIT license.", "mit", False),
@@ -106,7 +115,7 @@ def test_templates(text, label, found):
 
 def _license(label):
     """A text of a license: regions that may be left out stay, those to be replaced are filled."""
-    return re.sub(r"\{\d+\}", "some holder", license_scan.TEXTS[label][0]).replace("[", "").replace("]", "")
+    return re.sub(r"\{(?:\d+|\*)\}", "some holder", license_scan.TEXTS[label][0]).replace("[", "").replace("]", "")
 
 
 @pytest.mark.parametrize("label", sorted(license_scan.TEXTS))
@@ -116,11 +125,19 @@ def test_whole_licenses_are_told_apart(label):
     words = text.split()
     assert scan("Copyright 2020 x " + text.upper() + " end")[5:] == (",".join(sorted({label} | ({"gpl"} if "general public license" in text else set()))), 1.0)
     for cut in (words[:-1], words[: len(words) // 2] + ["not"] + words[len(words) // 2 :], words[: len(words) // 3] + words[len(words) // 3 + 1 :]):
-        assert scan(" ".join(cut))[6] < 1.0 or label == "gpl" and cut[0] == "some"
+        assert scan(" ".join(cut))[6] < 1.0
     if label == "bsd-3-clause":
         assert "bsd-2-clause" not in scan(text)[5]
 
 
+def test_gaps_have_no_limit():
+    scan = license_scan.Scanner(notices={}).scan
+    holder = "the authors and each of the many contributors to this work wherever they may live or work or their heirs"
+    text = re.sub(r"\{\*\}", holder, license_scan.TEXTS["mit"][0]).replace("[", "").replace("]", "")
+    assert scan(text)[5:] == ("mit", 1.0) and scan(text.replace("be liable for any claim", "be liable for a claim"))[6] == 0
+    assert scan(("is free software you can redistribute it " * 20_000) + text)[5] == "mit"  # many beginnings, one pass
+
+
 def test_rare_languages_and_letters(spark, make):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["then", "thing", "other"]) for _ in range(20)), "en") for i in range(3000)]

@@ -1,7 +1,8 @@
 """License scans by template-markup matching.
 
 A template is a line of words with markup: ``[ ... ]`` is a region that may be
-left out, ``{n}`` a region that may be replaced by up to n words of any kind.
+left out, ``{n}`` a region that may be replaced by up to n words of any kind,
+``{*}`` one by any number of words, up to the mandatory word that follows.
 It is compiled to an automaton over tokens; a text holds the license if the
 automaton accepts a run of its words, that is if all mandatory wording
 stands there exactly, from the first word to the last. ``TEXTS`` has whole
@@ -12,6 +13,7 @@ has lines that only name one.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -27,7 +29,7 @@ _GRANT = (
 )
 _AS_IS = (
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
-    "purpose and noninfringement in no event shall [the] {8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising "
+    "purpose and noninfringement in no event shall [the] {*} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising "
     "from out of or in connection with the software or the use or other dealings in the software"
 )
 _REDISTRIBUTION = (
@@ -36,45 +38,58 @@ _REDISTRIBUTION = (
     "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 )
 _BSD_AS_IS = (
-    "this software is provided by {8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a "
-    "particular purpose are disclaimed in no event shall {8} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+    "this software is provided by {*} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a "
+    "particular purpose are disclaimed in no event shall {*} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
     "to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
     "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
+_GNU = (
+    "is free software you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software "
+    "foundation either version {{2}} of the license or at your option any later version {{*}} is distributed in the hope that it will be useful but without any warranty without "
+    "even the implied warranty of merchantability or fitness for a particular purpose see the gnu {0}general public license for more details"
+)
+_CREATIVE = "licensed under [a] [the] creative commons attribution {0}[1 0] [2 0] [2 5] [3 0] [4 0] [unported] [international] [public] license"
 #: The whole mandatory wording of public licenses and of the notices they prescribe, with their labels.
 TEXTS = {
     "mit": [f"{_GRANT} subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software {_AS_IS}"],
     "mit-0": [f"{_GRANT} {_AS_IS}"],
     "bsd-2-clause": [f"{_REDISTRIBUTION} {_BSD_AS_IS}"],
-    "bsd-3-clause": [f"{_REDISTRIBUTION} [3] [c] neither the name of {{10}} nor the names of {{4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_AS_IS}"],
+    "bsd-3-clause": [f"{_REDISTRIBUTION} [3] [c] neither the name of {{*}} nor the names of {{*}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_AS_IS}"],
     "isc": [
         "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
-        "permission notice appear in all copies the software is provided as is and {4} disclaims all warranties with regard to this software including all implied warranties of "
-        "merchantability and fitness in no event shall {4} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use "
+        "permission notice appear in all copies the software is provided as is and {*} disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall {*} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use "
         "data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
     ],
     "apache-2.0": [
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {8} "
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {*} "
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any "
         "kind either express or implied see the license for the specific language governing permissions and limitations under the license"
     ],
-    "gpl": [
-        "{4} is free software you can redistribute it and or modify it under the terms of the gnu [lesser] [affero] general public license as published by the free software "
-        "foundation either version {2} of the license or at your option any later version {4} is distributed in the hope that it will be useful but without any warranty without "
-        "even the implied warranty of merchantability or fitness for a particular purpose see the gnu [lesser] [affero] general public license for more details"
-    ],
+    "gpl": [_GNU.format("")],
+    "lgpl": [_GNU.format("lesser "), _GNU.format("library ")],
+    "agpl": [_GNU.format("affero ")],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
 }
-#: One-line notices that name a license; they don't count after a negation.
+#: One-line notices that name a license; they don't count behind a negation in the same sentence.
 NOTICES = {
     "mit": ["[released] [licensed] under the [terms of the] mit license"],
     "apache-2.0": ["licensed under the apache license version 2 0"],
-    "gpl": ["licensed under the gnu [lesser] [affero] general public license"],
-    "cc-by-nc": ["licensed under [a] [the] [creative commons] cc by nc"],
-    "cc-by": ["licensed under [a] [the] creative commons attribution {2} license", "licensed under [a] [the] cc by"],
+    "gpl": ["licensed under the [terms of the] gnu general public license"],
+    "lgpl": ["licensed under the [terms of the] gnu lesser general public license", "licensed under the [terms of the] gnu library general public license"],
+    "agpl": ["licensed under the [terms of the] gnu affero general public license"],
+    "cc-by-nc-sa": ["licensed under [a] [the] [creative commons] cc by nc sa", _CREATIVE.format("noncommercial sharealike "), _CREATIVE.format("non commercial share alike ")],
+    "cc-by-nc-nd": ["licensed under [a] [the] [creative commons] cc by nc nd", _CREATIVE.format("noncommercial noderivatives "), _CREATIVE.format("non commercial no derivatives ")],
+    "cc-by-nc": ["licensed under [a] [the] [creative commons] cc by nc", _CREATIVE.format("noncommercial "), _CREATIVE.format("non commercial ")],
+    "cc-by-sa": ["licensed under [a] [the] [creative commons] cc by sa", _CREATIVE.format("sharealike "), _CREATIVE.format("share alike ")],
+    "cc-by-nd": ["licensed under [a] [the] [creative commons] cc by nd", _CREATIVE.format("noderivatives "), _CREATIVE.format("no derivatives ")],
+    "cc-by": [_CREATIVE.format(""), "licensed under [a] [the] cc by"],
     "reserved": ["copyright [c] {8} all rights reserved"],
 }
-NEGATIONS = frozenset(b"not never cannot nor t".split())
+NEGATIONS = frozenset(b"not never cannot nor neither t".split())
+#: Kinds of a license that a notice of another may be the beginning of.
+KINDS = {"cc-by": ("cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"), "cc-by-nc": ("cc-by-nc-sa", "cc-by-nc-nd")}
+_SENTENCE = re.compile(rb"[.!?;]+(?=\s|$)|\n\s*\n")
 #: Scores of a text's best finding.
 WHOLE, NOTICE, PHRASE = 1.0, 0.8, 0.5
 
@@ -95,7 +110,7 @@ class Automaton:
         self.skip: dict[int, list[int]] = {}
         self.states = 1
         self.must: list[bytes] = []
-        parts = re.findall(r"\[|\]|\{\d+\}|[^\s\[\]{}]+", template)
+        parts = re.findall(r"\[|\]|\{(?:\d+|\*)\}|[^\s\[\]{}]+", template)
         self.end = self._build(parts, 0, 0, True)[0]
         begin = self.closed({0})
         self.first, self.anywhere = self.words_from(begin), any(s in self.any for s in begin)
@@ -118,6 +133,13 @@ class Automaton:
                 state = after
             elif part[0] == "{":
                 after = self._state()
+                if part == "{*}":  # a state of its own that any word leads back to
+                    gap = self._state()
+                    self.skip.setdefault(state, []).append(gap)
+                    self.any[gap] = gap
+                    self.skip.setdefault(gap, []).append(after)
+                    state = after
+                    continue
                 self.skip.setdefault(state, []).append(after)
                 for _ in range(int(part[1:-1])):
                     self.any[state] = nxt = self._state()
@@ -143,21 +165,26 @@ class Automaton:
     def words_from(self, states: set[int]) -> set[bytes]:
         return {w for s in states for w in self.word.get(s, ())}
 
-    def accepts_at(self, words: list[bytes], i: int) -> bool:
-        now = self.closed({0})
-        while self.end not in now:
-            if i == len(words):
-                return False
-            now = self.closed({n for s in now for n in (self.word.get(s, {}).get(words[i]), self.any.get(s)) if n is not None})
+    def holds(self, words: list[bytes], starts: list[int]) -> bool:
+        """Whether the template begins at one of the places (ascending) and ends anywhere behind it; one pass, all beginnings at once."""
+        begin, now, k, i = self.closed({0}), set(), 0, 0
+        while i < len(words) and (now or k < len(starts)):
             if not now:
-                return False
+                i = max(i, starts[k])
+            while k < len(starts) and starts[k] <= i:
+                if starts[k] == i:
+                    now = now | begin
+                k += 1
+            now = self.closed({n for s in now for n in (self.word.get(s, {}).get(words[i]), self.any.get(s)) if n is not None})
+            if self.end in now:
+                return True
             i += 1
-        return True
+        return False
 
-    def find(self, words: list[bytes], at: dict[bytes, list[int]], denied: bool = False) -> int:
-        """First place where the template begins, or -1; with ``denied``, places up to three words after a negation don't count."""
+    def found(self, words: list[bytes], at: dict[bytes, list[int]], denied: Callable[[int], bool] | None = None) -> bool:
+        """Whether a text holds the template; places that ``denied`` names don't count."""
         places = range(len(words)) if self.anywhere else sorted({p for w in self.first for p in at.get(w, ())})
-        return next((i for i in places if not (denied and NEGATIONS.intersection(words[max(0, i - 3) : i])) and self.accepts_at(words, i)), -1)
+        return self.holds(words, [p for p in places if not (denied and denied(p))])
 
 
 class Scanner:
@@ -167,6 +194,17 @@ class Scanner:
         # a text without all of a template's long words in its bytes needs no automaton
         self.rare = [sorted(set(a.must), key=len)[-4:] for _, a, _ in self.automata]
 
+    @staticmethod
+    def _denials(text: str) -> Callable[[int], bool]:
+        """Tells whether a negation stands before a word in its sentence."""
+        since: list[bool] = []
+        for sentence in _SENTENCE.split(text.encode("utf-8", "surrogatepass").lower()):
+            denied = False
+            for w in sentence.translate(_NOT_WORD).split():
+                since.append(denied)
+                denied = denied or w in NEGATIONS
+        return since.__getitem__
+
     def scan(self, text: str | None) -> tuple:
         """``(n_words, n_base, first_word, last_word, base_labels, labels, score)`` of one text."""
         low = (text or "").encode("utf-8", "surrogatepass").lower().translate(_NOT_WORD)
@@ -190,9 +228,13 @@ class Scanner:
             for i, w in enumerate(words):
                 if w in starts:
                     at.setdefault(w, []).append(i)
+            denials = self._denials(text or "")
             for label, a, whole in likely:
-                if a.find(words, at, denied=not whole) >= 0:
+                if a.found(words, at, None if whole else denials):
                     added[label] = max(added.get(label, 0.0), WHOLE if whole else NOTICE)
+            for label, kinds in KINDS.items():  # the longer name is the license's
+                if added.get(label) == NOTICE and any(k in added for k in kinds):
+                    del added[label]
         labels = base | set(added)
         score = max([PHRASE if base else 0.0, *added.values()])
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
