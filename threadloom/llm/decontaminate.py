@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.license_scan import words_of
-from threadloom.llm.text import per_batch, small_batches
+from threadloom.llm.text import per_batch, release, small_batches
 from threadloom.storage import materialize
 
 BLOCK, GROUP, OVERSAMPLE = 512, 4096, 10
@@ -385,7 +385,10 @@ def _search_of(docs: DataFrame, passages: list[tuple[int, list[bytes]]]):
         models = [_model(spark, long[start : start + BLOCK], terms, n, df) for start in range(0, len(long), BLOCK)]
         held = {w: int(df[i]) for w, i in terms.items()}
         chosen = [rarest_places(words, held) for _, words in long]
-    return spark.sparkContext.broadcast((models, chosen, short))
+    shared = spark.sparkContext.broadcast((models, chosen, short))
+    del models
+    release()
+    return shared
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

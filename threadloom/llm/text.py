@@ -50,7 +50,7 @@ def collector_off():
 
 
 def release() -> None:
-    """Give unused memory back to the system."""
+    """Give unused memory back to the system, in a task or on the driver between two steps."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.quality_rules import labelled_sample
-from threadloom.llm.text import crc_fold, per_batch, small_batches
+from threadloom.llm.text import crc_fold, per_batch, release, small_batches
 
 #: Labelled rows that weights are fitted on, about; the language model covers all documents.
 TRAIN_ROWS = 20_000
@@ -372,6 +372,7 @@ class Scorer:
 def without_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; one map, all columns kept."""
     names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    release()  # what fitting held on the driver
 
     def make():
         scorer = Scorer(model)
