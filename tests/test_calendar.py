@@ -5,9 +5,12 @@ import json
 import random
 from zoneinfo import ZoneInfo
 
+import duckdb
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.plans import q_calendar
 from threadloom.sources import calendar as C
 
 EPOCH = dt.datetime(2001, 1, 1, tzinfo=dt.timezone.utc)
@@ -129,3 +132,12 @@ def test_rules_equal_a_walk_over_days(spark):
 def test_odd_rules_have_their_own_day(spark, rule):
     rows = spark.createDataFrame([(1, dt.datetime(2026, 1, 5, 9), rule)], "rowid long, clock timestamp, rule string")
     assert [str(r["day"]) for r in C.expand(rows, F.lit("2026-03-01").cast("timestamp")).collect()] == ["2026-01-05"]
+
+
+def test_all_day_moments_at_midnight_equal_sql(spark, tmp_path):
+    """Meetings that begin or end at midnight UTC are still the evening before in the zone of the calendar."""
+    rows = [(i, dt.datetime(2024, 1, 5 + i // 40 % 9) - dt.timedelta(seconds=(0, 60, 25_200)[i % 3]), i % 13, "signup", 60.5, "{}") for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert oracle.compare(q_calendar.map_calendar_items(spark, str(tmp_path)), con, q_calendar.SQL["map_calendar_items"]) is None

@@ -43,6 +43,9 @@ def map_calendar_items(spark, sf):
     seconds = (F.unix_seconds("ts") - _APPLE).cast("double")
     link = F.concat(F.lit("https://meet.google.com/"), F.col("user_id").cast("string"))
     all_day = F.expr("n div 5") % 8 == 7
+    # an all-day time at midnight UTC is a date and no moment: moments that fall there are put down as their date in the zone
+    local = lambda s: F.unix_seconds(F.date_trunc("day", F.from_utc_timestamp(F.timestamp_seconds(s + _APPLE), ZONE))) - _APPLE
+    stored = lambda s: F.when(all_day & (s % 86_400 == 0), local(s)).otherwise(s).cast("double")
     none = F.lit(None).cast("string")
     items = m.select(
         F.col("n").alias("rowid"),
@@ -53,8 +56,8 @@ def map_calendar_items(spark, sf):
         F.concat(F.lit("see "), link, F.lit(" there")).alias("description"),
         *(none.alias(c) for c in ("url", "conference_url", "conference_detected", "location_address")),
         F.concat(F.lit("Room "), F.col("user_id").cast("string")).alias("location_title"),
-        seconds.alias("start_date"),
-        (seconds + F.col("duration_s")).alias("end_date"),
+        stored(seconds).alias("start_date"),
+        stored(seconds + F.col("duration_s")).alias("end_date"),
         F.when(F.col("user_id") % 3 == 0, ZONE).when(F.col("user_id") % 3 == 1, C.FLOATING).otherwise("UTC").alias("start_tz"),
         all_day.alias("all_day"),
         rule.alias("rule"),
