@@ -6,7 +6,11 @@ from itertools import combinations
 
 import pytest
 
-from threadloom.operators.pairs import partners, similar_sets, together
+from pyspark.sql import functions as F
+
+from threadloom.functions import text as T
+from threadloom.operators.pairs import partners, scored_pairs, similar_classes, similar_pairs, similar_sets, together
+from threadloom.plans.registry import QUERIES
 
 SETS = "id long, place string, words array<string>, keys array<string>"
 
@@ -72,3 +76,70 @@ def test_a_crowd_is_not_paired(spark):
     crowd = spark.range(20_000).selectExpr("explode(array('all', 'also')) container", "id person")
     got = partners(crowd, 3)
     assert got.count() == 60_000 and got.where("shared <> 2").count() == 0
+
+
+ROWS = "id long, place string, words array<string>"
+
+
+def some_rows():
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), sorted(set(rng.choices("uvwxyz", k=rng.randrange(5))))) for i in range(300)]
+    return rows + [(1000 + i, "hot", ["u", "v", "w"] if i % 7 else ["u", "v"]) for i in range(1300)] + [(5000, "a", None), (None, "a", ["u"])]
+
+
+def likeness(x, y):
+    return len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
+
+
+def alike(rows):
+    """Pairs of rows of one place; nulls leave."""
+    whole = [r for r in rows if None not in r]
+    return [(*sorted((i, j)), likeness(v, w)) for (i, p, v), (j, q, w) in combinations(whole, 2) if p == q]
+
+
+def test_similar_classes_and_pairs_equal_brute_force(spark):
+    rows = some_rows()
+    df = spark.createDataFrame(rows, ROWS)
+    want = {(a, b) for a, b, s in alike(rows) if s >= 0.6}
+    got = [(r["a"], r["b"]) for r in similar_pairs(df, 0.6, ["place"]).collect()]
+    assert len(got) == len(want) and set(got) == want
+    classed, near = similar_classes(df, 0.6, ["place"])
+    assert {(r["id"], r["class"]) for r in classed.collect()} and near.where("score < 0.6").count() == 0
+    assert classed.select("class").distinct().count() == near.where("class = other").count()
+
+
+@pytest.mark.parametrize("most", [None, 0.5])
+def test_scored_pairs_equal_brute_force(spark, most):
+    rows = some_rows()
+    df = spark.createDataFrame(rows, ROWS).where("words is not null").withColumnRenamed("words", "value")
+    got = [(r["a"], r["b"], round(r["score"], 6)) for r in scored_pairs(df, ["place"], T.jaccard, most).collect()]
+    want = [(a, b, round(s, 6)) for a, b, s in alike(rows) if most is None or s <= most]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_value_that_is_null_is_scored_null(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, "a", None)], "id long, place string, value string")
+    assert sorted((r["a"], r["b"], r["score"]) for r in scored_pairs(df, ["place"], F.levenshtein).collect()) == [(1, 2, None), (1, 3, None), (2, 3, None)]
+
+
+@pytest.mark.parametrize("name", ["merge_decisions", "merge_ideas", "merge_knowledge", "merge_opportunities", "similar_fact_join"])
+def test_a_title_of_many_copies_is_not_paired(spark, tmp_path, name):
+    """A hundred thousand projects of one title and kind would make ten thousand million comparisons."""
+    spark.range(100_000).selectExpr("id p_partkey", "if(id % 2 = 0, 'red bolt', 'new red bolt') p_name", "'b' p_brand", "'t' p_type", "1 p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert len(got) == 100_000
+    if name == "similar_fact_join":
+        assert [got[i] for i in range(5)] == [2, 3, 0, 1, 0]
+    else:
+        near = {"merge_decisions": 0, "merge_opportunities": 0}.get(name, 1)
+        assert set(got.values()) == {0, near}
+
+
+@pytest.mark.parametrize("name", ["edit_distance", "jaccard", "probable_duplicate_people", "probable_duplicate_projects"])
+def test_pairs_of_a_large_group_are_scored_by_lists(spark, tmp_path, name):
+    """Copies of a title are compared once a list; the pairs of 6,000 copies are still all there."""
+    spark.range(6_000).selectExpr("id p_partkey", "'red bolt' p_name", "'b' p_brand", "'t' p_type", "1 p_size").write.parquet(str(tmp_path / "part.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    assert df.agg(F.count("*")).first()[0] == df.where("a < b").count() == 6_000 * 5_999 // 2
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") >= 2
