@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators.pairs import partners, scored_pairs, similar_classes, similar_pairs, similar_sets, together
+from threadloom.operators.pairs import all_partners, partners, scored_pairs, similar_classes, similar_pairs, similar_sets, together
 from threadloom.plans.registry import QUERIES
 
 SETS = "id long, place string, words array<string>, keys array<string>"
@@ -78,6 +78,16 @@ def test_a_crowd_is_not_paired(spark):
     assert got.count() == 60_000 and got.where("shared <> 2").count() == 0
 
 
+@pytest.mark.parametrize("slab", [4096, 4])
+def test_all_partners_equal_brute_force(spark, monkeypatch, slab):
+    """Every partner is there, those after the twentieth too."""
+    monkeypatch.setattr("threadloom.operators.pairs.SLAB", slab)
+    rng = random.Random(11)
+    rows = [(c, p) for c in range(30) for p in rng.sample(range(50), rng.choice([1, 2, 3, 9, 30]))] + [(None, 1), (1, None), (0, 0), (0, 0)]
+    got = sorted((r["a"], r["b"], r["shared"], r["rank"]) for r in all_partners(spark.createDataFrame(rows, "container int, person int")).collect())
+    assert got == brute_partners(rows, None) and max(r[3] for r in got) > 20
+
+
 ROWS = "id long, place string, words array<string>"
 
 
