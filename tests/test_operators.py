@@ -99,3 +99,20 @@ def test_nearest_within(spark):
     a = spark.createDataFrame([(1, 1000), (2, 5000)], "id int, at long")
     b = spark.createDataFrame([(7, 1100), (8, 950), (9, 5300)], "rid int, rat long")
     assert [tuple(r) for r in R.nearest_within(a, b).collect()] == [(1, 8, 50)]
+
+
+def test_mentions_of_texts_with_equal_grams(spark):
+    """The last words of a text are one n-gram each, whatever the longest length; repeated texts count once."""
+    from threadloom.operators.mentions import entity_mentions
+
+    texts = spark.createDataFrame([(1, "about red bolt and new red bolt"), (1, "about red bolt and new red bolt"), (2, "bolt"), (3, None), (4, "")], "id long, text string")
+    names = spark.createDataFrame([("red bolt",), ("new red bolt",), ("bolt",)], "name string")
+    assert sorted(tuple(r) for r in entity_mentions(texts, names).collect()) == [(1, "new red bolt", 4), (1, "red bolt", 1), (2, "bolt", 0)]
+
+
+def test_texts_are_dealt_out_before_they_are_cut(spark):
+    from threadloom.operators.mentions import entity_mentions
+
+    texts = spark.createDataFrame([(1, "red bolt")], "id long, text string")
+    plan = entity_mentions(texts, spark.createDataFrame([("red bolt",)], "name string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [id") == 2 and "Generate posexplode" in plan

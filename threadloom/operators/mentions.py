@@ -12,14 +12,15 @@ def entity_mentions(texts: DataFrame, names: DataFrame, longest: int = 5) -> Dat
     """``(id, name, at)``: first mention of each name in each text, whole words, the longest name where several overlap.
 
     Texts are cut to word n-grams that are joined to the names on an equal
-    key, so no text is compared with all names.
+    key, so no text is compared with all names. Texts are dealt out by id
+    first, and only n-grams that are names are kept, sorted within their text.
     """
     keyed = names.select("name", T.name_norm(F.col("name")).alias("key")).withColumn("n", F.size(F.split("key", " "))).where("key <> ''")
-    words = texts.select("id", T.name_tokens(F.col("text")).alias("w"))
+    words = texts.select("id", "text").repartition("id").select("id", T.name_tokens(F.col("text")).alias("w"))
     grams = words.select("id", "w", F.posexplode("w").alias("at", "_")).select(
-        "id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice("w", F.col("at") + 1, n), " "))).alias("key")
+        "id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at"))), lambda n: F.array_join(F.slice("w", F.col("at") + 1, n), " "))).alias("key")
     )
-    hits = grams.distinct().join(keyed, "key")
+    hits = grams.join(keyed, "key").repartition("id")
     best = Window.partitionBy("id", "at").orderBy(F.desc("n"), "name")
     long = hits.withColumn("r", F.row_number().over(best)).where("r = 1")
     reach = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
