@@ -116,3 +116,12 @@ def test_texts_are_dealt_out_before_they_are_cut(spark):
     texts = spark.createDataFrame([(1, "red bolt")], "id long, text string")
     plan = entity_mentions(texts, spark.createDataFrame([("red bolt",)], "name string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [id") == 2 and "Generate posexplode" in plan
+
+
+def test_an_address_is_looked_for_once_in_each_of_many_tasks(spark, sf_dir):
+    from threadloom.operators.pairs import TASKS
+    from threadloom.plans.registry import QUERIES
+
+    df = QUERIES["norm_email"](spark, sf_dir)
+    assert df.rdd.getNumPartitions() == TASKS
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("@[^") == 1
