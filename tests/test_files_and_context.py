@@ -1,9 +1,14 @@
 """Files are taken once for each signature; contexts keep to their numbers."""
 
+import glob
 import os
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import context
+from threadloom.plans.registry import QUERIES
 from threadloom.sources import files
+from threadloom.storage import shared_dir
 
 
 def test_unchanged_files_are_not_taken_again(spark, tmp_path):
@@ -43,6 +48,17 @@ def test_a_stopped_run_goes_on(spark, tmp_path, monkeypatch):
     assert files.ingest_changed(spark, str(folder), state, rest.extend) == 2 and len({*taken, *rest}) == 4
 
 
+def test_landed_files_follow_rows_not_threads(spark, tmp_path):
+    ids = spark.range(2000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 400).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    ids.write.parquet(f"{tmp_path}/events.parquet")
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/landed-*"))
+    got = {r["thread"]: (r["n"], r["changed"]) for r in QUERIES["file_signature_skip"](spark, str(tmp_path)).collect()}
+    assert got == {f"t:{u}": (5, 5 if u % 3 == 0 else 0) for u in range(400) if u % 3 < 2}
+    (landed,) = set(glob.glob(f"{root}/landed-*")) - before
+    assert len(glob.glob(f"{landed}/**/*.parquet", recursive=True)) <= 24
+
+
 def test_known_context_is_held_to_numbers(spark, monkeypatch):
     monkeypatch.setattr(context, "KNOWN", {"people": 3, "companies": 2, "projects": 2, "meetings": 2, "commitments": 2, "opportunities": 2, "answers": 1})
     monkeypatch.setattr(context, "DETAILED", 1)

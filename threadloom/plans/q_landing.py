@@ -15,6 +15,8 @@ from threadloom.sources import mappers as M
 from threadloom.storage import materialize
 
 QUERIES, SQL = {}, {}
+#: Rows of the landing folder that one bundle of threads holds, on average.
+FILE_ROWS = 250_000
 
 
 def query(name: str, oracle: str | None = None):
@@ -140,22 +142,24 @@ def map_strings(spark, sf):
 
 @query("file_signature_skip", sql("records", "SELECT thread, count(*) AS n, sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS changed FROM records WHERE user_id % 3 < 2 GROUP BY thread"))
 def file_signature_skip(spark, sf):
-    """Three runs over a folder with a file a thread: a third is there from the start, a third comes later and a third of the first changes. Runs two and three take what is new; this is what they took."""
+    """Three runs over a folder of files that hold many threads each: a third is there from the start, a third comes later and a third of the first changes. Runs two and three take what is new; this is what they took."""
     from threadloom.sources import files
     from threadloom.streaming.ingest import new_folder
 
     r = t.records(spark, sf).select("id", "thread", "user_id")
     folder, state, out = new_folder(spark, "landed"), new_folder(spark, "signatures"), new_folder(spark, "taken")
-    put = lambda df, kind: df.repartition("thread").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("thread").parquet(f"{folder}/{kind}")
+    bundles = max(8, -(-r.count() // FILE_ROWS))  # one number; files follow the rows, not the threads
+    r = r.withColumn("third", F.col("user_id") % 3).withColumn("bundle", F.pmod(F.xxhash64("thread"), F.lit(bundles)))
+    put = lambda df, kind: df.repartition("third", "bundle").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("third", "bundle").parquet(f"{folder}/{kind}")
 
     def take(paths):
         spark.read.option("basePath", folder).parquet(*paths).write.mode("append").parquet(out)
 
-    put(r.where("user_id % 3 <> 1"), "old")
+    put(r.where("third in (0, 2)"), "old")
     files.ingest_changed(spark, folder, state, lambda paths: None, "*.parquet")
-    put(r.where("user_id % 3 = 1"), "new")
+    put(r.where("third < 2 and third <> 0"), "new")
     files.ingest_changed(spark, folder, state, take, "*.parquet")
-    put(r.where("user_id % 3 = 0").withColumn("user_id", F.col("user_id") + 0), "old")  # written anew
+    put(r.where("third = 0").withColumn("user_id", F.col("user_id") + 0), "old")  # written anew
     files.ingest_changed(spark, folder, state, take, "*.parquet")
     assert files.ingest_changed(spark, folder, state, take, "*.parquet") == 0
     return spark.read.parquet(out).groupBy("thread").agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 3 == 0).alias("changed"))

@@ -40,7 +40,7 @@ def ingest_changed(spark: SparkSession, folder: str, state: str, take: Callable[
     half-way takes the rest again. What is listed at the start is what counts:
     a file that changes meanwhile has another signature at the next run.
     """
-    fresh = changed(signatures(spark, folder, pattern), read_state(spark, state)).orderBy("path").collect()  # metadata of new files
+    fresh = sorted(changed(signatures(spark, folder, pattern), read_state(spark, state)).collect())  # metadata of new files
     for start in range(0, len(fresh), PATHS):
         part = fresh[start : start + PATHS]
         take([r["path"] for r in part])
