@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators.pairs import all_partners, partners, scored_pairs, similar_classes, similar_pairs, similar_sets, together
+from threadloom.operators.pairs import all_partners, near_duplicate_bullets, partners, scored_pairs, similar_classes, similar_pairs, similar_sets, together
 from threadloom.plans.registry import QUERIES
 
 SETS = "id long, place string, words array<string>, keys array<string>"
@@ -39,6 +39,25 @@ def test_similar_sets(spark, threshold, hot):
     assert len(got) == len(want) and {(r["a"], r["b"]): pytest.approx(r["score"]) for r in got} == want
 
 
+def test_bullets_that_meet_nobody_leave_first(spark):
+    rng = random.Random(5)
+    rows = [(i, f"t{i % 4}", rng.choice(["d", "e", None]), rng.choice([rng.sample(["r", "s", f"own{i}"], rng.randrange(3)), ["r", "r"], [f"own{i}"], None]), rng.choices(["x", "y", "z"], k=rng.randrange(4))) for i in range(120)]
+    bullets = spark.createDataFrame([*rows, rows[7]], "id long, target string, date string, refs array<string>, words array<string>")
+    asked = []
+
+    def worded(left):
+        asked.extend(left.collect())
+        return left.join(bullets.select("id", "words").distinct(), "id")
+
+    every = similar_sets(bullets.withColumnRenamed("refs", "keys"), 0.6, ["target", "date"])
+    shown = lambda df: sorted((r["a"], r["b"], r["score"]) for r in df.collect())
+    assert shown(near_duplicate_bullets(bullets)) == shown(every) != []
+    assert shown(near_duplicate_bullets(bullets.drop("words"), worded=worded)) == shown(every)
+    met = Counter((target, date, k) for _, target, date, refs, _ in [*rows, rows[7]] for k in set(refs or ()))
+    assert sorted(r["id"] for r in asked) == sorted(i for i, target, date, refs, _ in [*rows, rows[7]] if any(met[target, date, k] > 1 for k in refs or ()))
+    assert len(asked) < len(rows)
+
+
 def test_similar_sets_of_nothing(spark):
     assert similar_sets(spark.createDataFrame([], SETS), 0.6, ["place"]).count() == 0
 
