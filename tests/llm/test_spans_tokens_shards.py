@@ -173,6 +173,33 @@ def test_long_and_short_pieces_agree():
         assert np.frombuffer(model.merge_rows([piece], width)[0], "<u4").tolist() == model.merge_long(piece)
 
 
+def test_words_go_to_the_model_of_one_coder_a_worker(monkeypatch):
+    import public_tokenizers
+    from threadloom.llm import token_binary
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = token_binary.worker_coder(path)
+    assert token_binary.worker_coder(path) is coder and coder.bare is not None
+    accents = "".join(chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha())
+    words = [" " + w for w in ["the", "Quemios", "àà", "éàè", "ſtraße", *accents, *(a + "à" for a in accents), "a.b", "foo\nbar", "x\n\ny", "\xa0", "a\xa0", "don't", "a1b2", "x\x1cy"]] * 3
+    assert coder._many(words) == coder._whole(words)
+    plain = [" plain", " words", " éàè"]
+    whole = coder._whole(plain)
+    monkeypatch.setattr(coder, "model", None)  # words of letters need no cutting by the library's pattern
+    monkeypatch.setattr(coder, "_whole", lambda texts: [])
+    assert coder._many(plain) == whole
+
+
+def test_segments_give_coded_documents():
+    import numpy as np
+    from threadloom.llm import token_binary
+
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 30, n).astype("<u4") for n in (0, 5, 4000, 1, 0, 9000)]
+    segment = token_binary.Segment(token_binary.pack(list(range(6)), docs, 50_257))
+    assert len(segment.rules) and [bytes(c) for c in segment.coded()] == [np.append(d, 0).astype("<u4").tobytes() for d in docs]
+
+
 def test_segments_round_trip(spark, make, strings, monkeypatch):
     monkeypatch.setattr(token_binary, "SEGMENT_TOKENS", 3000)
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -15,6 +15,15 @@ MOST = 400_000
 _STOPS = ".,;:!?#$*%&|<>"
 
 
+def _strings(values: pa.Array) -> list[str]:
+    """``values.to_pylist()``, by way of one long string where no value holds the mark between them."""
+    if not len(values):
+        return []
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values)
+    out = pc.binary_join(whole, pa.scalar("\x00", values.type))[0].as_py().split("\x00")
+    return out if len(out) == len(values) else values.to_pylist()
+
+
 class ChunkCoder:
     """Encodes texts whose pattern never looks over a lone space (see ``text.chunks``).
 
@@ -40,7 +49,7 @@ class ChunkCoder:
             if (v := old.get(c)) is not None:
                 young[c] = v
                 self.lasting.append(c)
-            elif (word := c.rstrip(_STOPS)) and word is not c and word.isalpha() and max(word) < "\u0250":
+            elif (word := c.rstrip(_STOPS)) and word is not c and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
                 # signs behind letters are a match of their own
                 stopped.append((c, word, c[len(word) :]))
                 if word not in young:
@@ -85,7 +94,7 @@ class ChunkCoder:
         parts, starts = self._split(texts)
         heads = self.encode_many(parts.take(pa.array(starts[:-1])).to_pylist())
         coded = parts.dictionary_encode()
-        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        which, words = coded.indices.to_numpy().astype(np.int64), _strings(coded.dictionary)
         values = list(map(self.young.get, words))
         if None in values:
             self._learn([w for w, v in zip(words, values, strict=True) if v is None])

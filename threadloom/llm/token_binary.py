@@ -21,6 +21,7 @@ import json
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,22 @@ SEGMENT_TOKENS = 1_000_000
 PAIRS, LEAST = 8192, 8
 END_ID = 0
 _MAGIC = b"RPTK"
-_BIN_BITS = 22
-#: Words that the library is given as one string.
-_JOINED = 4096
+_BIN_BITS = 20
+#: Words that the library is given as one string, and words of letters alone.
+_JOINED, _LETTERS = 4096, 512
+#: Entries of a worker's memo of chunks; about 160 MB.
+_MEMO = 800_000
+
+
+def _byte_signs() -> str:
+    """The sign that byte-level vocabularies write for each byte."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
+def _letters(text: str) -> bool:
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
 
 
 class LibraryCoder:
@@ -50,7 +64,10 @@ class LibraryCoder:
     hold are encoded together as one string and its ids are cut where a token
     begins with a space. This needs a byte-level model that cuts text at every
     lone space; with any other file, and for texts that hold an added token,
-    the library gets the whole text. The memo lives as long as the object.
+    the library gets the whole text. Words of letters alone are one match of
+    its pattern, so they go to the library's model without cutting and
+    without the bookkeeping of offsets that goes with it, if no merge of the
+    model spans a letter and a space. The memo lives as long as the object.
     """
 
     def __init__(self, path: str):
@@ -66,28 +83,57 @@ class LibraryCoder:
         for token, i in self.model.get_vocab().items():
             table[i] = token.startswith("\u0120")  # how such vocabularies write the space
         self.spaced = table
-        self.words = ChunkCoder(self._many) if lone else None
+        self.words = ChunkCoder(self._many, _MEMO) if lone else None
+        self.signs = _byte_signs()
+        self.bare = Tokenizer(self.model.model) if lone and self._apart(spec["model"]) else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, texts: list[str]) -> list[bytes]:
-        # printable text holds no white space but the plain space
-        word = [t[:1] == " " and (w := t[1:]).isprintable() and w != "" and " " not in w for t in texts]
-        words, rest = [], []
-        for t, w in zip(texts, word, strict=True):
-            (words if w else rest).append(t)
+    def _apart(self, model: dict) -> bool:
+        """Whether words of letters behind spaces get the ids that each gets alone, when the model gets them in one string."""
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            return False
+        value = {sign: b for b, sign in enumerate(self.signs)}
+        for token in model["vocab"]:
+            if "\u0120" in token[1:] and all(c in value for c in token):
+                raw = bytes(value[c] for c in token)
+                for at in [i for i, b in enumerate(raw) if b == 32 and i]:
+                    last = raw[:at].decode(errors="ignore")[-1:]
+                    if not last or last.isalpha() or not raw[:at].endswith(last.encode()):
+                        return False
+        return True
+
+    def _cut(self, model, words: list[str], size: int, signs: str | None = None) -> list[bytes]:
+        """Ids of words that begin with a space, ``size`` of them at a time as one string, written in ``signs`` if those are given."""
         cut = []
-        for start in range(0, len(words), _JOINED):
-            part = words[start : start + _JOINED]
-            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for start in range(0, len(words), size):
+            part = words[start : start + size]
+            text = "".join(part)
+            if signs:
+                text = text.replace(" ", signs[32]) if text.isascii() else text.encode().decode("latin-1").translate(signs)
+            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 4
             if len(stops) != len(part) + 1:
                 raise ValueError("the vocabulary doesn't begin a token at every space")
             flat, bounds = ids.tobytes(), stops.tolist()
             cut += [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        words, others = iter(cut), iter(self._whole(rest))
-        return [next(words) if w else next(others) for w in word]
+        return cut
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        kinds, sorts = [], ([], [], [])
+        for t in texts:
+            w, kind = t[1:], 2
+            if t[:1] == " ":
+                if self.bare is not None and _letters(w):
+                    kind = 0
+                # one plain space, which begins a match behind the end of any such word
+                elif w != "" and " " not in w and not w[0].isspace() and not w[-1].isspace():
+                    kind = 1
+            kinds.append(kind)
+            sorts[kind].append(t)
+        done = iter(self._cut(self.bare, sorts[0], _LETTERS, self.signs)), iter(self._cut(self.model, sorts[1], _JOINED)), iter(self._whole(sorts[2]))
+        return [next(done[kind]) for kind in kinds]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if self.words is None:
@@ -97,8 +143,22 @@ class LibraryCoder:
         return [next(easy) if p else next(hard) for p in plain]
 
 
-def _bins(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
+#: The coder of this worker process, by its file: a worker serves many tasks, which meet the same words.
+_CODERS: dict[tuple, LibraryCoder] = {}
+
+
+def worker_coder(path: str) -> LibraryCoder:
+    """The process's coder of a file; another file, or a changed one, takes its place."""
+    found = os.stat(path)
+    key = path, found.st_size, found.st_mtime_ns
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = LibraryCoder(path)
+    return _CODERS[key]
+
+
+def _bins(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +179,9 @@ def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST
         live[-1:] = False
         at = np.flatnonzero(live)
         pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        bins = _bins(pair)
-        some = np.bincount(bins, minlength=1 << _BIN_BITS)[bins] >= least
+        bits = min(_BIN_BITS, max(10, len(pair).bit_length() - 1))
+        bins = _bins(pair, bits)
+        some = np.bincount(bins, minlength=1 << bits)[bins] >= least
         live[at[~some]] = False
         at, pair, bins = at[some], pair[some], bins[some]
         ordered = np.sort(pair)
@@ -132,18 +193,23 @@ def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST
             break
         if len(found) > pairs:
             found = np.sort(found[np.argpartition(-counts, pairs)[:pairs]])
-        flag = np.zeros(1 << _BIN_BITS, dtype=bool)
-        flag[_bins(found)] = True
-        likely = np.flatnonzero(flag[bins])
-        which = np.minimum(np.searchsorted(found, pair[likely]), len(found) - 1)
-        same = found[which] == pair[likely]
+        # a bin names one of the pairs to replace; what is another pair is searched among all
+        named = np.full(1 << bits, -1, dtype=np.int32)
+        named[_bins(found, bits)] = np.arange(len(found))
+        which = named[bins]
+        likely = np.flatnonzero(which >= 0)
+        which, wanted = which[likely].astype(np.int64), pair[likely]
+        miss = np.flatnonzero(found[which] != wanted)
+        which[miss] = np.minimum(np.searchsorted(found, wanted[miss]), len(found) - 1)
+        same = found[which] == wanted
         place, which = at[likely[same]], which[same]
         # of neighbouring hits that overlap, every second one counts
         breaks = np.flatnonzero(np.diff(place, prepend=-2) != 1)
         run = np.arange(len(place)) - np.repeat(breaks, np.diff(np.append(breaks, len(place))))
         place, which = place[run % 2 == 0], which[run % 2 == 0]
-        used, name = np.unique(which, return_inverse=True)
-        seq[place] = (first + len(rules) + name).astype(np.uint32)
+        hit = np.bincount(which, minlength=len(found)) > 0
+        used, name = np.flatnonzero(hit), np.cumsum(hit) - 1
+        seq[place] = (first + len(rules) + name[which]).astype(np.uint32)
         rules.extend(zip((found[used] >> np.uint64(32)).tolist(), (found[used] & np.uint64(0xFFFFFFFF)).tolist(), strict=True))
         live[place] = True
         live[place[place > 0] - 1] = True
@@ -234,6 +300,14 @@ class Segment:
         ends = np.flatnonzero(body == END_ID)
         return [body[a + 1 : b] - 1 for a, b in zip([-1, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def coded(self) -> Iterator[memoryview]:
+        """Every document's ids with its end id, as little-endian 32-bit integers."""
+        body = self.expand(self.symbols)
+        stops = (np.flatnonzero(body == END_ID) + 1) * 4
+        flat = memoryview(np.maximum(body - 1, END_ID).astype("<u4").tobytes())
+        for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+            yield flat[a:b]
+
 
 def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", vocabulary: int = 50_257) -> DataFrame:
     """``(part, seq, n_docs, n_ids, data)``: one row a segment, written to the shared folder.
@@ -252,7 +326,7 @@ def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", voca
     shape = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def segments(batches):
-        part, seq, model = TaskContext.get().partitionId(), 0, LibraryCoder(path)
+        part, seq, model = TaskContext.get().partitionId(), 0, worker_coder(path)
         keys, ids, held = [], [], 0
 
         def flush():
@@ -296,11 +370,11 @@ def read_segments(segments: DataFrame) -> DataFrame:
             out = {"part": [], "seq": [], "doc_id": [], "offset": [], "n_tokens": [], "ids_crc32": []}
             for part, seq, data in zip(batch["part"], batch["seq"], batch["data"], strict=True):
                 segment, at = Segment(data), 0
-                for key, ids in zip(segment.doc_ids, segment.documents(), strict=True):
-                    crc = zlib.crc32(np.append(ids, END_ID).astype("<u4").tobytes())
-                    for name, value in (("part", part), ("seq", seq), ("doc_id", key), ("offset", at), ("n_tokens", len(ids) + 1), ("ids_crc32", crc)):
+                for key, code in zip(segment.doc_ids, segment.coded(), strict=True):
+                    n = len(code) // 4
+                    for name, value in (("part", part), ("seq", seq), ("doc_id", key), ("offset", at), ("n_tokens", n), ("ids_crc32", zlib.crc32(code))):
                         out[name].append(value)
-                    at += len(ids) + 1
+                    at += n
             return out
 
         return work
