@@ -274,6 +274,19 @@ def test_svd_is_that_of_the_matrix(spark):
     assert few.shape[1] == int(np.searchsorted(np.cumsum(values), 0.8 * values.sum())) + 1
 
 
+def test_factoring_takes_one_python_worker_a_task(spark, monkeypatch):
+    docs, items, _, _, _ = _corpus(spark)
+    plans, svd = [], D.randomised_svd
+
+    def seen(rows, *rest):
+        plans.append(rows._jdf.queryExecution().toString())
+        return svd(rows, *rest)
+
+    monkeypatch.setattr(D, "randomised_svd", seen)
+    D.without_leaks(docs.limit(5), items)
+    assert plans and not any("MapInArrow" in p for p in plans)
+
+
 def test_leaks_of_odd_rows(spark, make, odd_texts):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, ""), (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     long = "filler words " * 40_000 + "alpha beta gamma delta epsilon zeta eta theta iota kappa " + "more words " * 1000

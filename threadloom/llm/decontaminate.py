@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.license_scan import words_of
-from threadloom.llm.text import per_batch, release, small_batches
+from threadloom.llm.text import per_batch, release, small_batches, trimmed
 from threadloom.storage import materialize
 
 BLOCK, GROUP, OVERSAMPLE = 512, 4096, 10
@@ -99,7 +99,7 @@ def _document_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[int
 
     df, total = np.zeros(len(terms)), 0
     small_batches(docs.sparkSession)
-    for w, n in docs.select("text").mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect():
+    for w, n in docs.select("text").mapInArrow(trimmed(run), "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect():
         if w is None:
             total = n
         else:
@@ -153,7 +153,7 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, energy: float = 1.0,
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "m": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
         # pieces of the partial products are added in tasks: the driver gets the product once
-        parts = rows.mapInArrow(run, "piece int, m binary").repartition(_PIECES, "piece").mapInArrow(add, "piece int, m binary").collect()
+        parts = rows.mapInArrow(trimmed(run), "piece int, m binary").repartition(_PIECES, "piece").mapInArrow(trimmed(add), "piece int, m binary").collect()
         size = basis.shape[1] if last else terms
         return np.concatenate([np.frombuffer(bytes(p["m"])).reshape(-1, basis.shape[1]) for p in sorted(parts, key=lambda p: p["piece"])])[:size] if parts else np.zeros((size, basis.shape[1]))
 
@@ -186,7 +186,8 @@ def _model(spark, block: list[tuple[int, list[bytes]]], terms: dict[bytes, int],
             made = [vector(block[i][1], place, weight) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"at": pa.array([a.tolist() for a, _ in made], pa.list_(pa.int32())), "value": pa.array([v.tolist() for _, v in made], pa.list_(pa.float64()))})
 
-    rows = spark.range(0, len(block), 1, partitions).mapInArrow(rows_of, "at array<int>, value array<double>")
+    # written once: two Python steps in one task take two workers a core, which stay for all later stages
+    rows = materialize(spark.range(0, len(block), 1, partitions).mapInArrow(trimmed(rows_of), "at array<int>, value array<double>"), "passages")
     vectors = randomised_svd(rows, len(own), len(block), ENERGY)
     latent = np.stack([v @ vectors[a] for a, v in (vector(words, place, weight) for _, words in block)])
     return {

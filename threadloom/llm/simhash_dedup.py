@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import per_batch, small_batches
+from threadloom.llm.text import per_batch, small_batches, trimmed
 from threadloom.operators.graph import connected_components
 from threadloom.storage import materialize
 
@@ -236,7 +236,7 @@ def _shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
 
     shape, out = "piece int, n binary", np.zeros((_PIECES, (1 << _BIN_BITS) // _PIECES), dtype=np.int64)
     small_batches(docs.sparkSession)
-    for piece, n in docs.select("text").mapInArrow(count, shape).repartition(_PIECES, "piece").mapInArrow(add, shape).collect():
+    for piece, n in docs.select("text").mapInArrow(trimmed(count), shape).repartition(_PIECES, "piece").mapInArrow(trimmed(add), shape).collect():
         out[piece] = np.frombuffer(bytes(n), dtype=np.int64)
     return out.reshape(-1)
 

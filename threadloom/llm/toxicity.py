@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.quality_rules import labelled_sample
-from threadloom.llm.text import crc_fold, per_batch, release, small_batches
+from threadloom.llm.text import crc_fold, per_batch, release, small_batches, trimmed
 
 #: Labelled rows that weights are fitted on, about; the language model covers all documents.
 TRAIN_ROWS = 20_000
@@ -77,7 +77,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
 
     out = np.zeros(_SIZE**3)
     small_batches(docs.sparkSession)
-    for gram, n in docs.select("text").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for gram, n in docs.select("text").mapInArrow(trimmed(run), "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[gram] = n
     return out
 
@@ -291,7 +291,7 @@ def _feature_counts(rows: DataFrame, cost: np.ndarray | None, wanted: set[str] |
         yield pa.RecordBatch.from_pydict({"feature": pa.array([k[0] for k in keys], pa.string()), "y": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([sums[k] for k in keys], pa.int64())})
 
     small_batches(rows.sparkSession)
-    return rows.select("text", "y").mapInArrow(run, "feature string, y int, n bigint").groupBy("feature", "y").agg(F.sum("n").alias("n"))
+    return rows.select("text", "y").mapInArrow(trimmed(run), "feature string, y int, n bigint").groupBy("feature", "y").agg(F.sum("n").alias("n"))
 
 
 def _regress(rows: list[list[int]], y: np.ndarray, size: int, steps: int = 400, ridge: float = 2e-4) -> np.ndarray:
