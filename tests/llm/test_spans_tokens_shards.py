@@ -247,3 +247,16 @@ def test_grammar_compresses_and_reads_at_random():
     assert all((segment.document(i) == d).all() and len(segment.document(i)) == len(d) for i, d in enumerate(docs))
     assert [len(d) for d in segment.documents()] == [len(d) for d in docs]
     assert (segment.lengths == token_binary.expansion_lengths(segment.rules, segment.first)).all()
+
+
+def test_pieces_are_large_however_small_the_batches(monkeypatch):
+    import pyarrow as pa
+
+    from threadloom.llm import token_binary
+
+    monkeypatch.setattr(token_binary, "PIECE", 1000)
+    texts = ["a" * 10, None, "b" * 2500, *["c" * 100] * 40]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i]), "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    pieces = list(token_binary.text_pieces(iter(batches)))
+    assert [k for keys, _ in pieces for k in keys] == list(range(43)) and [t for _, some in pieces for t in some] == [t or "" for t in texts]
+    assert [len(k) for k, _ in pieces] == [3, 10, 10, 10, 10] and list(token_binary.text_pieces(iter([]))) == []

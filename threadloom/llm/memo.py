@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,8 @@ from threadloom.llm.text import chunks, plain_spaces
 #: Entries of a task's memo of chunks; about 80 MB.
 MOST = 400_000
 _STOPS = ".,;:!?#$*%&|<>"
+#: A character beyond the Latin letters that every pattern here takes for one kind.
+WIDE = re.compile("[\u0250-\U0010ffff]")
 
 
 def _strings(values: pa.Array) -> list[str]:
@@ -49,7 +52,7 @@ class ChunkCoder:
             if (v := old.get(c)) is not None:
                 young[c] = v
                 self.lasting.append(c)
-            elif (word := c.rstrip(_STOPS)) and word is not c and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            elif (word := c.rstrip(_STOPS)) and word is not c and word.isalpha() and (word.isascii() or not WIDE.search(word)):
                 # signs behind letters are a match of their own
                 stopped.append((c, word, c[len(word) :]))
                 if word not in young:

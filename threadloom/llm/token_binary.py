@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.memo import ChunkCoder
+from threadloom.llm.memo import WIDE, ChunkCoder
 from threadloom.llm.text import collector_off, per_batch
 from threadloom.storage import materialize
 
@@ -42,8 +42,10 @@ _MAGIC = b"RPTK"
 _BIN_BITS = 20
 #: Words that the library is given as one string, and words of letters alone.
 _JOINED, _LETTERS = 4096, 512
-#: Entries of a worker's memo of chunks; about 160 MB.
-_MEMO = 800_000
+#: Characters and rows that are encoded together: a word is looked up once in a piece, and large pieces repeat more of theirs.
+PIECE, _ROWS = 8_000_000, 10_000
+#: Entries of a worker's memo of chunks; about 240 MB.
+_MEMO = 1_200_000
 
 
 def _byte_signs() -> str:
@@ -54,7 +56,7 @@ def _byte_signs() -> str:
 
 
 def _letters(text: str) -> bool:
-    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+    return text.isalpha() and (text.isascii() or not WIDE.search(text))
 
 
 class LibraryCoder:
@@ -309,6 +311,21 @@ class Segment:
             yield flat[a:b]
 
 
+def text_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of batches, put together into pieces of about ``PIECE`` characters, whatever the size of a batch."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.append(key)
+            texts.append(text or "")
+            held += len(texts[-1])
+            if held >= PIECE or len(keys) >= _ROWS:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", vocabulary: int = 50_257) -> DataFrame:
     """``(part, seq, n_docs, n_ids, data)``: one row a segment, written to the shared folder.
 
@@ -336,17 +353,16 @@ def write_segments(docs: DataFrame, path: str, tag: str = "token-segments", voca
             seq, keys, ids, held = seq + 1, [], [], 0
             return out
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                piece = batch.slice(start, 1000)
-                coded = model.encode_batch([t or "" for t in piece.column(1).to_pylist()])
-                for key, code in zip(piece.column(0).to_pylist(), coded, strict=True):
-                    one = np.frombuffer(code, dtype="<u4")
-                    if held and held + len(one) > SEGMENT_TOKENS:
-                        yield flush()
-                    keys.append(key)
-                    ids.append(one)
-                    held += len(one)
+        for some, texts in text_pieces(batches):
+            coded = model.encode_batch(texts)
+            del texts
+            for key, code in zip(some, coded, strict=True):
+                one = np.frombuffer(code, dtype="<u4")
+                if held and held + len(one) > SEGMENT_TOKENS:
+                    yield flush()
+                keys.append(key)
+                ids.append(one)
+                held += len(one)
         if keys:
             yield flush()
 
