@@ -190,6 +190,37 @@ def test_words_go_to_the_model_of_one_coder_a_worker(monkeypatch):
     assert coder._many(plain) == whole
 
 
+def test_lines_are_cut_like_words(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = token_binary.LibraryCoder(path)
+    assert coder.lines
+    words = ["\nThe", "\néàè", "\nſtraße", "\nx-y.z", "\n1a", "\n", "\n\n", "\n\nx", "\na\nb", "\n\xa0", "\n\xa0x", "\nx\xa0y", "\n's", "\nªb", "\n#", " a", " b\nc"] * 3
+    assert coder._many(words) == coder._whole(words)
+    rng = random.Random(8)
+    texts = ["a\nb", "\n", "\n\n", "\n\n\n", "a\n\nb", "a\n\n\nb c", "a b\n\n", "\na", "\n\na", "it's\n's\n\n's", "end.\nStart,\nnext"] + ["".join(rng.choice("\n\n aé's.,1") for _ in range(rng.randrange(30))) for _ in range(500)]
+    assert coder.encode_batch(texts) == coder._whole(texts)
+    fresh = token_binary.LibraryCoder(path)
+    fresh.encode_batch([f"{a}.\n{b}." for a in ("one", "two", "three") for b in ("Four", "Five", "Six")] + ["x one. two. three."])
+    assert not any("\n" in w[1:] for w in fresh.words.young)  # no entry for a word's end and the next line's start together
+    plain = ["\nplain", "\nwords", "\néàè"]
+    whole = coder._whole(plain)
+    monkeypatch.setattr(coder, "model", None)
+    monkeypatch.setattr(coder, "_whole", lambda texts: [])
+    assert coder._many(plain) == whole
+
+
+def test_rules_are_expanded_in_few_steps():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 60, 20_000).astype("<u4") for _ in range(4)]
+    segment = token_binary.Segment(token_binary.pack(list(range(4)), docs, 50_257))
+    steps = list(token_binary._in_turn(segment.rules, segment.first))
+    assert len(steps) < 40 < len(segment.rules) / 10 and steps[-1][1] == len(segment.rules)
+    assert all(segment.rules[a:b].max() < segment.first + a for a, b in steps)
+    assert all((got == want).all() for got, want in zip(segment.documents(), docs, strict=True))
+    chain = np.array([[1, 2], [10, 3], [11, 10]])
+    assert token_binary.expansion_lengths(chain, 10).tolist() == [2, 3, 5] and len(token_binary.expansion_lengths(chain[:0], 10)) == 0
+
+
 def test_segments_give_coded_documents():
     import numpy as np
     from threadloom.llm import token_binary

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from threadloom.llm.text import chunks, plain_spaces
+from threadloom.llm.text import chunks, plain_lines, plain_spaces
 
 #: Entries of a task's memo of chunks; about 80 MB.
 MOST = 400_000
@@ -31,6 +31,9 @@ class ChunkCoder:
     """Encodes texts whose pattern never looks over a lone space (see ``text.chunks``).
 
     ``encode_many`` gives the ids of strings as little-endian 32-bit integers.
+    Such a pattern takes a line feed before a character of any other kind as a
+    match of its own, so plain texts are cut there too: a chunk that begins a
+    line keeps its line feed, all others get their space back.
     Arrow finds the distinct chunks of a batch; each is looked up once, and the
     ids of the texts are gathered by position. The memo has two generations:
     when the young one is full it becomes the old one, and what is met again
@@ -52,7 +55,7 @@ class ChunkCoder:
             if (v := old.get(c)) is not None:
                 young[c] = v
                 self.lasting.append(c)
-            elif (word := c.rstrip(_STOPS)) and word is not c and word.isalpha() and (word.isascii() or not WIDE.search(word)):
+            elif (word := c.rstrip(_STOPS)) is not c and (bare := word[1:] if word[:1] == "\n" else word).isalpha() and (bare.isascii() or not WIDE.search(bare)):
                 # signs behind letters are a match of their own
                 stopped.append((c, word, c[len(word) :]))
                 if word not in young:
@@ -63,7 +66,7 @@ class ChunkCoder:
             else:
                 fresh[c] = None
         words = list(fresh)
-        young.update(zip(words, self.encode_many([" " + w for w in words]), strict=True))
+        young.update(zip(words, self.encode_many([w if w[:1] == "\n" else " " + w for w in words]), strict=True))
         if len(stops) > 10_000:
             stops.clear()
         signs = list({s for _, _, s in stopped if s not in stops})
@@ -71,30 +74,30 @@ class ChunkCoder:
         for c, word, sign in stopped:
             young[c] = young[word] + stops[sign]
 
-    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """Chunks of all texts (all plain, or none) one after another, and where each text's begin; the end comes last."""
-        if not plain_spaces(texts[0]):
+    def _split(self, texts: list[str], kind: int) -> tuple[pa.Array, np.ndarray]:
+        """Chunks of all texts (all of one kind) one after another, and where each text's begin; the end comes last."""
+        if kind == 0:
             parts = [chunks(t) for t in texts]
             return pa.array([c for some in parts for c in some], pa.large_string()), np.cumsum([0, *map(len, parts)])
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        parts = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts] if kind == 2 else texts, pa.large_string()), " ")
         return parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts; the plain ones and the others are split apart."""
+        """Ids of whole texts; plain ones, those of plain lines and the others are split apart."""
         out: list[bytes] = [b""] * len(texts)
-        plain = [plain_spaces(t) for t in texts]
-        for kind in (True, False):
-            own = [i for i, p in enumerate(plain) if p is kind]
+        kinds = [plain_spaces(t) * (1 + plain_lines(t)) for t in texts]
+        for kind in range(3):
+            own = [i for i, k in enumerate(kinds) if k == kind]
             if own:
-                for i, code in zip(own, self._encode([texts[i] for i in own]), strict=True):
+                for i, code in zip(own, self._encode([texts[i] for i in own], kind), strict=True):
                     out[i] = code
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str], kind: int) -> list[bytes]:
         if len(self.young) > self.half:
             taken = {c: self.young[c] for c in self.lasting[-self.half // 2 :]}
             self.old, self.young, self.lasting = self.young, taken, list(taken)
-        parts, starts = self._split(texts)
+        parts, starts = self._split(texts, kind)
         heads = self.encode_many(parts.take(pa.array(starts[:-1])).to_pylist())
         coded = parts.dictionary_encode()
         which, words = coded.indices.to_numpy().astype(np.int64), _strings(coded.dictionary)

@@ -64,7 +64,8 @@ class LibraryCoder:
 
     The library is slow on many small strings, so words that a memo doesn't
     hold are encoded together as one string and its ids are cut where a token
-    begins with a space. This needs a byte-level model that cuts text at every
+    begins with a space; words behind a line feed are cut likewise, if no token
+    holds a line feed and anything but white space. This needs a byte-level model that cuts text at every
     lone space; with any other file, and for texts that hold an added token,
     the library gets the whole text. Words of letters alone are one match of
     its pattern, so they go to the library's model without cutting and
@@ -81,14 +82,27 @@ class LibraryCoder:
         shape = spec["pre_tokenizer"] or {}
         lone = not spec["normalizer"] and shape.get("type") == "ByteLevel" and shape.get("use_regex") and not shape.get("add_prefix_space")
         self.added = [t["content"] for t in spec["added_tokens"]]
-        table = np.zeros(self.model.get_vocab_size(), dtype=bool)
-        for token, i in self.model.get_vocab().items():
-            table[i] = token.startswith("\u0120")  # how such vocabularies write the space
-        self.spaced = table
+        # how such vocabularies write the space and the line feed
+        self.spaced, self.lined = self._beginning("\u0120"), self._beginning("\u010a")
         self.words = ChunkCoder(self._many, _MEMO) if lone else None
         self.signs = _byte_signs()
         self.bare = Tokenizer(self.model.model) if lone and self._apart(spec["model"]) else None
 
+        self.lines = self.bare is not None and self._lines_apart()
+
+    def _beginning(self, sign: str) -> np.ndarray:
+        table = np.zeros(self.model.get_vocab_size(), dtype=bool)
+        for token, i in self.model.get_vocab().items():
+            table[i] = token.startswith(sign)
+        return table
+
+    def _lines_apart(self) -> bool:
+        """Whether line feeds before and behind anything but white space are tokens of their own."""
+        value = {sign: b for b, sign in enumerate(self.signs)}
+        tokens = [t for t in self.model.get_vocab() if "\u010a" in t]
+        # what is white space as a whole stands for nothing else
+        return "\u010a" in tokens and all(bytes(value.get(c, 65) for c in t).decode(errors="replace").isspace() for t in tokens)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -106,35 +120,46 @@ class LibraryCoder:
                         return False
         return True
 
-    def _cut(self, model, words: list[str], size: int, signs: str | None = None) -> list[bytes]:
-        """Ids of words that begin with a space, ``size`` of them at a time as one string, written in ``signs`` if those are given."""
+    def _cut(self, model, words: list[str], size: int, begins: np.ndarray, signs: str | None = None) -> list[bytes]:
+        """Ids of words that begin with the same sign, ``size`` of them at a time as one string, written in ``signs`` if those are given; ``begins`` tells the tokens that begin with that sign."""
         cut = []
         for start in range(0, len(words), size):
             part = words[start : start + size]
             text = "".join(part)
             if signs:
-                text = text.replace(" ", signs[32]) if text.isascii() else text.encode().decode("latin-1").translate(signs)
+                text = text.replace(" ", signs[32]).replace("\n", signs[10]) if text.isascii() else text.encode().decode("latin-1").translate(signs)
             ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 4
+            stops = np.append(np.flatnonzero(begins[ids]), len(ids)) * 4
             if len(stops) != len(part) + 1:
-                raise ValueError("the vocabulary doesn't begin a token at every space")
+                raise ValueError("the vocabulary doesn't begin a token at every space and line")
             flat, bounds = ids.tobytes(), stops.tolist()
             cut += [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         return cut
 
     def _many(self, texts: list[str]) -> list[bytes]:
-        kinds, sorts = [], ([], [], [])
+        kinds, sorts, lines = [], ([], [], [], [], []), self.lines
         for t in texts:
-            w, kind = t[1:], 2
-            if t[:1] == " ":
+            w, first, kind = t[1:], t[:1], 4
+            if first == " ":
                 if self.bare is not None and _letters(w):
                     kind = 0
                 # one plain space, which begins a match behind the end of any such word
                 elif w != "" and " " not in w and not w[0].isspace() and not w[-1].isspace():
                     kind = 1
+            elif lines and first == "\n":
+                if _letters(w):
+                    kind = 2
+                elif w.split() == [w]:
+                    kind = 3
             kinds.append(kind)
             sorts[kind].append(t)
-        done = iter(self._cut(self.bare, sorts[0], _LETTERS, self.signs)), iter(self._cut(self.model, sorts[1], _JOINED)), iter(self._whole(sorts[2]))
+        done = [
+            iter(self._cut(self.bare, sorts[0], _LETTERS, self.spaced, self.signs)),
+            iter(self._cut(self.model, sorts[1], _JOINED, self.spaced)),
+            iter(self._cut(self.bare, sorts[2], _LETTERS, self.lined, self.signs)),
+            iter(self._cut(self.model, sorts[3], _JOINED, self.lined)),
+            iter(self._whole(sorts[4])),
+        ]
         return [next(done[kind]) for kind in kinds]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -174,17 +199,16 @@ def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST
     the others are sorted.
     """
     seq, rules = ids.astype(np.uint32), []
-    live = np.ones(len(seq), dtype=bool)
+    inner = seq != END_ID
+    live = inner & np.append(inner[1:], False)[: len(seq)]
     while True:
-        inner = seq != END_ID
-        live[:-1] &= inner[:-1] & inner[1:]
-        live[-1:] = False
         at = np.flatnonzero(live)
         pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
         bits = min(_BIN_BITS, max(10, len(pair).bit_length() - 1))
         bins = _bins(pair, bits)
-        some = np.bincount(bins, minlength=1 << bits)[bins] >= least
-        live[at[~some]] = False
+        some = (np.bincount(bins, minlength=1 << bits) >= least)[bins]
+        live[at] = some
+        some = np.flatnonzero(some)  # positions are taken faster than by a mask
         at, pair, bins = at[some], pair[some], bins[some]
         ordered = np.sort(pair)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, dtype=np.int64)
@@ -203,30 +227,45 @@ def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST
         which, wanted = which[likely].astype(np.int64), pair[likely]
         miss = np.flatnonzero(found[which] != wanted)
         which[miss] = np.minimum(np.searchsorted(found, wanted[miss]), len(found) - 1)
-        same = found[which] == wanted
+        same = np.flatnonzero(found[which] == wanted)
         place, which = at[likely[same]], which[same]
         # of neighbouring hits that overlap, every second one counts
         breaks = np.flatnonzero(np.diff(place, prepend=-2) != 1)
         run = np.arange(len(place)) - np.repeat(breaks, np.diff(np.append(breaks, len(place))))
-        place, which = place[run % 2 == 0], which[run % 2 == 0]
+        even = np.flatnonzero(run & 1 == 0)
+        place, which = place[even], which[even]
         hit = np.bincount(which, minlength=len(found)) > 0
         used, name = np.flatnonzero(hit), np.cumsum(hit) - 1
         seq[place] = (first + len(rules) + name[which]).astype(np.uint32)
         rules.extend(zip((found[used] >> np.uint64(32)).tolist(), (found[used] & np.uint64(0xFFFFFFFF)).tolist(), strict=True))
-        live[place] = True
-        live[place[place > 0] - 1] = True
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
+        keep = np.flatnonzero(keep)
         seq, live = seq[keep], live[keep]
+        # the new symbols, where they stand now, and the places before them can pay again
+        place -= np.arange(len(place))
+        live[place] = np.append(seq, END_ID)[place + 1] != END_ID
+        before = place[1:] - 1 if place[0] == 0 else place - 1
+        live[before] = (seq[before] != END_ID) & (seq[before + 1] != END_ID)
     return seq, np.array(rules, dtype=np.int64).reshape(-1, 2)
 
 
+def _in_turn(rules: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
+    """Slices of rules that use only rules before the slice."""
+    latest = np.maximum.accumulate(rules.max(axis=1)) - first if len(rules) else rules[:, 0]
+    start = 0
+    while start < len(rules):
+        stop = int(np.searchsorted(latest, start))
+        yield start, stop
+        start = stop
+
+
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """How many ids each rule stands for; a rule uses only earlier rules."""
-    lengths = []
-    for a, b in rules.tolist():
-        lengths.append((lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1))
-    return np.array(lengths, dtype=np.int64)
+    lengths = np.ones(first + len(rules), dtype=np.int64)
+    for start, stop in _in_turn(rules, first):
+        lengths[first + start : first + stop] = lengths[rules[start:stop]].sum(axis=1)
+    return lengths[first:]
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], first: int) -> bytes:
@@ -265,40 +304,33 @@ class Segment:
         self.rules = pairs.reshape(-1, 2).astype(np.int64)
         self._table = None
 
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All rules expanded one after another, and where each begins."""
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All plain symbols, then all rules expanded, one after another; where each begins, and its length."""
         if self._table is None:
-            starts = np.cumsum(self.lengths) - self.lengths
-            flat = np.zeros(int(self.lengths.sum()), dtype=np.int64)
-            for i, (a, b) in enumerate(self.rules.tolist()):
-                at = int(starts[i])
-                for s in (a, b):
-                    n = int(self.lengths[s - self.first]) if s >= self.first else 1
-                    flat[at : at + n] = flat[(o := int(starts[s - self.first])) : o + n] if s >= self.first else s
-                    at += n
-            self._table = flat, starts
+            sizes = np.append(np.ones(self.first, dtype=np.int64), self.lengths)
+            starts = np.cumsum(sizes) - sizes
+            flat = np.arange(int(sizes.sum()), dtype=np.uint32)
+            self._table = flat, starts, sizes
+            for a, b in _in_turn(self.rules, self.first):
+                made = self.expand(self.rules[a:b].reshape(-1))
+                flat[(at := int(starts[self.first + a])) : at + len(made)] = made
         return self._table
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        rule = symbols >= self.first
-        if not rule.any():
+        if not len(symbols):
             return symbols
-        flat, starts = self._expansions()
-        which = np.where(rule, symbols - self.first, 0)
-        sizes = np.where(rule, self.lengths[which], 1)
-        ends = np.cumsum(sizes)
-        inner = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)
-        source = np.repeat(np.where(rule, starts[which], 0), sizes) + inner
-        return np.where(np.repeat(rule, sizes), flat[source], np.repeat(symbols, sizes))
+        flat, starts, sizes = self._expansions()
+        size = sizes[symbols]
+        ends = np.cumsum(size)
+        return flat[np.repeat(starts[symbols] - ends + size, size) + np.arange(int(ends[-1]))]
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document without its end id."""
         start = int(self.stops[i - 1]) if i else 0
-        return self.expand(self.symbols[start : int(self.stops[i]) - 1]) - 1
+        return self.expand(self.symbols[start : int(self.stops[i]) - 1]).astype(np.int64) - 1
 
     def documents(self) -> list[np.ndarray]:
-        body = self.expand(self.symbols)
+        body = self.expand(self.symbols).astype(np.int64)
         ends = np.flatnonzero(body == END_ID)
         return [body[a + 1 : b] - 1 for a, b in zip([-1, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
@@ -306,7 +338,7 @@ class Segment:
         """Every document's ids with its end id, as little-endian 32-bit integers."""
         body = self.expand(self.symbols)
         stops = (np.flatnonzero(body == END_ID) + 1) * 4
-        flat = memoryview(np.maximum(body - 1, END_ID).astype("<u4").tobytes())
+        flat = memoryview((body - (body != END_ID)).astype("<u4").tobytes())
         for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True):
             yield flat[a:b]
 
