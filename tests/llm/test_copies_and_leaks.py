@@ -263,6 +263,40 @@ def test_blocks_and_groups_give_the_same(spark, monkeypatch):
     assert left.count() == 240 - 2 * len({d for d, _ in whole})
 
 
+def test_bounds_leave_all_windows_that_are_near(spark, monkeypatch):
+    """Windows left before they are projected are far from all passages; a text's words are made once for all blocks."""
+    docs, items, _, rows, _ = _corpus(spark)
+    monkeypatch.setattr(D, "BLOCK", 15)
+    passages = [p for group in D._groups(items) for p in group]
+    models, chosen, short = D._search_of(docs, passages).value
+    group = D.GroupSearch(models, chosen, short)
+    texts = [t for _, t in rows[:60]] + [" ".join(t for _, t in rows[:80]), "", "w1", None]
+    windows = kept = found = 0
+    for model, search in zip(models, group.parts, strict=False):
+        for text in texts:
+            words, want = D.words_of(text), {}
+            for window, own in ((w, np.flatnonzero(model["scale"] == i)) for i, (_, w) in enumerate(D.SCALES)):
+                for start in range(0, len(words), window // 4):
+                    at = [model["terms"][w] for w in words[start : start + window] if w in model["terms"]]
+                    if len(at) >= 2 and len(own):
+                        near = model["table"][at].sum(axis=0, dtype=np.float64).astype(np.float32) @ model["queries"][own].T
+                        bound = model["nearest"][D.SCALES.index(next(s for s in D.SCALES if s[1] == window))][at].sum()
+                        assert near.max() <= bound + D._SLACK
+                        windows, kept = windows + 1, kept + (bound >= D.NEAR - D._SLACK)
+                        want |= {(int(own[j]), start, window): float(near[j]) for j in np.flatnonzero(near >= D.NEAR)}
+            known = np.array([group.number.get(w, -1) for w in words], dtype=np.int64)
+            at = np.flatnonzero(known >= 0)
+            got = {c[:3]: c[3] for c in search._candidates(len(words), *D._places(search.local, known[at], at))}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+            found += len(got)
+    assert len(models) > 1 and found and kept < windows / 2
+    calls, words_of = [], D.words_of
+    monkeypatch.setattr(D, "words_of", lambda t: calls.append(t) or words_of(t))
+    for text in texts:
+        group.leaks(text)
+    assert len(calls) == len(texts)
+
+
 def test_svd_is_that_of_the_matrix(spark):
     rng = np.random.default_rng(2)
     m = rng.standard_normal((40, 6)) @ rng.standard_normal((6, 90))  # rank 6

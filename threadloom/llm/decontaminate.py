@@ -5,7 +5,9 @@ factored by a randomised SVD whose products are computed where the rows are;
 the inverse document frequencies come from all documents. Windows of every
 document are projected to the latent space, and a window whose cosine to a
 passage comes near the cosine it would have if it contained the passage is a
-candidate. Beside it stands an exact gate: a passage that shares the longest
+candidate. A term brings a passage no nearer than the passage that it brings
+nearest, so windows whose terms fall short by these bounds are left before
+they are projected; no candidate is lost. Beside it stands an exact gate: a passage that shares the longest
 common subsequence that is enough alone must share a counted number of its
 rarest words, so windows with that many are candidates whatever their cosine.
 Candidates are verified on the words: by the longest common subsequence with
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,6 +52,8 @@ FEW = 8
 #: Share of a passage's words, the rarest, that the exact gate looks for.
 RAREST = 0.4
 _STEP, _PIECES = 16_384, 8
+#: Rows of the term table that are summed at a time, and what the bounds of windows may lack to rounding.
+_ROWS, _SLACK = 8192, 1e-3
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -190,54 +195,85 @@ def _model(spark, block: list[tuple[int, list[bytes]]], terms: dict[bytes, int],
     rows = materialize(spark.range(0, len(block), 1, partitions).mapInArrow(trimmed(rows_of), "at array<int>, value array<double>"), "passages")
     vectors = randomised_svd(rows, len(own), len(block), ENERGY)
     latent = np.stack([v @ vectors[a] for a, v in (vector(words, place, weight) for _, words in block)])
+    table = (vectors * weight[:, None]).astype(np.float32)
+    # latent passages over their squared length: times a window's latent vector, the cosine over that of an exact inclusion
+    queries = (latent / np.maximum((latent**2).sum(axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    scale = np.array([next(i for i, (most, _) in enumerate(SCALES) if len(words) <= most) for _, words in block])
     return {
         "passages": block,
         "terms": {w: t for w, t in place.items() if weight[t] > 0},
-        "table": (vectors * weight[:, None]).astype(np.float32),
-        # latent passages over their squared length: times a window's latent vector, the cosine over that of an exact inclusion
-        "queries": (latent / np.maximum((latent**2).sum(axis=1, keepdims=True), 1e-12)).astype(np.float32),
-        "scale": np.array([next(i for i, (most, _) in enumerate(SCALES) if len(words) <= most) for _, words in block]),
+        "table": table,
+        "queries": queries,
+        "scale": scale,
+        "nearest": nearest_of(table, queries, scale),
     }
 
 
+def nearest_of(table: np.ndarray, queries: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What a term adds to the nearness of the passage that it brings nearest, by scale and term; 0 at least."""
+    out = np.zeros((len(SCALES), len(table)))
+    for i in range(len(SCALES)):
+        if len(own := queries[scale == i]):
+            for first in range(0, len(table), _ROWS):
+                out[i, first : first + _ROWS] = np.maximum((table[first : first + _ROWS] @ own.T).max(axis=1), 0)
+    return out
+
+
+def _places(local: np.ndarray, known: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A part's own numbers of a text's words, and where they stand."""
+    ids = local[known]
+    own = np.flatnonzero(ids >= 0)
+    return ids[own], at[own]
+
+
 class Search:
-    """Finds the leaks of one block of passages in a text."""
+    """Finds the leaks of one block of passages in a text.
 
-    def __init__(self, model: dict):
+    ``number`` has the words of the group; a text comes as its words, the
+    numbers of those that the group has, and their places.
+    """
+
+    def __init__(self, model: dict, number: dict[bytes, int]):
         self.model = model
-        self.by_scale = [(window, np.flatnonzero(model["scale"] == i)) for i, (_, window) in enumerate(SCALES)]
+        self.by_scale = [(window, np.flatnonzero(model["scale"] == i), model["nearest"][i]) for i, (_, window) in enumerate(SCALES)]
+        self.local = np.full(len(number), -1, dtype=np.int64)
+        self.local[[number[w] for w in model["terms"]]] = list(model["terms"].values())
 
-    def _candidates(self, words: list[bytes]):
-        """``(passage, window start, window, nearness)`` of all windows near a passage."""
-        m, get = self.model, self.model["terms"].get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        hits = np.flatnonzero(ids >= 0)
+    def _candidates(self, count: int, ids: np.ndarray, hits: np.ndarray):
+        """``(passage, window start, window, nearness)`` of all windows near a passage, in a text of ``count`` words."""
+        m = self.model
         if len(hits) < 2:
             return
-        for first in range(0, len(words), _STEP):
+        for first in range(0, count, _STEP):
             lo, hi = np.searchsorted(hits, [first, first + _STEP + SCALES[-1][1]])
-            at = hits[lo:hi]
+            at, terms = hits[lo:hi], ids[lo:hi]
             if len(at) < 2:
                 continue
-            sums = np.zeros((len(at) + 1, m["table"].shape[1]))
-            np.cumsum(m["table"][ids[at]], axis=0, dtype=np.float64, out=sums[1:])
-            for window, passages in self.by_scale:
+            for window, passages, nearest in self.by_scale:
                 if not len(passages):
                     continue
-                queries = m["queries"][passages]
-                starts = np.arange(first, min(first + _STEP, len(words)), window // 4)
+                starts = np.arange(first, min(first + _STEP, count), window // 4)
                 a, b = np.searchsorted(at, starts), np.searchsorted(at, starts + window)
-                some = b - a >= 2
-                starts, a, b = starts[some], a[some], b[some]
-                for k in range(0, len(starts), 1024):
-                    near = (sums[b[k : k + 1024]] - sums[a[k : k + 1024]]).astype(np.float32) @ queries.T
+                reached = np.zeros(len(at) + 1)
+                np.cumsum(nearest[terms], out=reached[1:])
+                some = np.flatnonzero((b - a >= 2) & (reached[b] - reached[a] >= NEAR - _SLACK))
+                if not len(some):
+                    continue
+                starts, a, b, queries = starts[some], a[some], b[some], m["queries"][passages]
+                most = _ROWS // window
+                for k in range(0, len(starts), most):
+                    size = (b - a)[k : k + most]
+                    begins = np.cumsum(size) - size
+                    rows = np.repeat(a[k : k + most] - begins, size) + np.arange(int(size.sum()))
+                    sums = np.add.reduceat(m["table"][terms[rows]], begins, axis=0, dtype=np.float64)
+                    near = sums.astype(np.float32) @ queries.T
                     for i, j in np.argwhere(near >= NEAR).tolist():
                         yield int(passages[j]), int(starts[k + i]), window, float(near[i, j])
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+    def leaks(self, words: list[bytes], known: np.ndarray, at: np.ndarray) -> list[tuple[int, float, float, bool]]:
         """``(item_id, nearness, common share, answer found)`` of each item that the text leaks, its best passage."""
-        words, best, tried = words_of(text), {}, set()
-        for p, start, window, near in self._candidates(words):
+        best, tried = {}, set()
+        for p, start, window, near in self._candidates(len(words), *_places(self.local, known, at)):
             item, passage = self.model["passages"][p]
             place = (p, start // window)
             if place in tried and best.get(item, (0, 0))[1] >= SAME:
@@ -266,24 +302,22 @@ def rarest_places(words: list[bytes], df: dict[bytes, int]) -> tuple[list[int],
 class OverlapSearch:
     """Finds the passages of which a text shares ``SAME``, by counts of their rarest words; no likeness decides."""
 
-    def __init__(self, passages: list[tuple[int, list[bytes]]], chosen: list[tuple[list[int], int]]):
+    def __init__(self, passages: list[tuple[int, list[bytes]]], chosen: list[tuple[list[int], int]], number: dict[bytes, int]):
         self.passages, postings = passages, {}
         for p, ((_, words), (places, _)) in enumerate(zip(passages, chosen, strict=True)):
             for k in places:
                 postings.setdefault(words[k], []).append((p, k))
-        self.number = {w: i for i, w in enumerate(postings)}
+        self.local = np.full(len(number), -1, dtype=np.int64)
+        self.local[[number[w] for w in postings]] = np.arange(len(postings))
         self.starts = np.cumsum([0, *map(len, postings.values())])
         flat = np.array([x for held in postings.values() for x in held], dtype=np.int64).reshape(-1, 2)
         self.owner, self.place = flat[:, 0], flat[:, 1]
         self.need = np.array([need for _, need in chosen], dtype=np.int64)
         self.reach = np.array([len(w) // 2 * 2 + next(window for most, window in SCALES if len(w) <= most) for _, w in passages], dtype=np.int64)
 
-    def _candidates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Passages, and where in the text each would begin."""
-        get = self.number.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        at = np.flatnonzero(ids >= 0)
-        first, size = self.starts[ids[at]], self.starts[ids[at] + 1] - self.starts[ids[at]]
+        first, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
         ends = np.cumsum(size)
         flat = np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
         owner, held = self.owner[flat], np.repeat(at, size)
@@ -295,10 +329,10 @@ class OverlapSearch:
         found = np.flatnonzero(inside & (owner[last] == owner) & (held[last] - held < self.reach[owner])) if len(owner) else np.zeros(0, dtype=np.int64)
         return owner[found], held[found] - place[found]
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+    def leaks(self, words: list[bytes], known: np.ndarray, at: np.ndarray) -> list[tuple[int, float, float, bool]]:
         """As ``Search.leaks``; nearness is the common share."""
-        words, best, tried = words_of(text), {}, set()
-        for p, begin in zip(*(x.tolist() for x in self._candidates(words)), strict=True):
+        best, tried = {}, set()
+        for p, begin in zip(*(x.tolist() for x in self._candidates(*_places(self.local, known, at))), strict=True):
             item, passage = self.passages[p]
             slack = max(1, len(passage) // 4)
             if (p, begin // slack) in tried or best.get(item, (0, 0.0))[1] == 1:
@@ -319,18 +353,18 @@ class ShortSearch:
     together as they are, and of five to seven one may be changed.
     """
 
-    def __init__(self, passages: list[tuple[int, list[bytes]]]):
+    def __init__(self, passages: list[tuple[int, list[bytes]]], number: dict[bytes, int]):
         self.passages, self.by_word = passages, {}
         for p, (_, words) in enumerate(passages):
             for w in set(words):
-                self.by_word.setdefault(w, []).append(p)
+                self.by_word.setdefault(number[w], []).append(p)
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+    def leaks(self, words: list[bytes], known: np.ndarray, at: np.ndarray) -> list[tuple[int, float, float, bool]]:
         """As ``Search.leaks``; nearness is the common share."""
-        words, places, best = words_of(text), {}, {}
-        for at, w in enumerate(words):
+        places, best = {}, {}
+        for k, w in zip(at.tolist(), known.tolist(), strict=True):
             for p in self.by_word.get(w, ()):
-                places.setdefault(p, []).append(at)
+                places.setdefault(p, []).append(k)
         for p, held in places.items():
             item, passage = self.passages[p]
             need, window = int(np.ceil(SAME * len(passage) - 1e-9)), len(passage) + len(passage) // 5
@@ -349,13 +383,17 @@ class GroupSearch:
 
     def __init__(self, models: list[dict], chosen: list[tuple[list[int], int]], short: list[tuple[int, list[bytes]]]):
         long = [p for m in models for p in m["passages"]]
-        self.parts = [*map(Search, models), *([OverlapSearch(long, chosen)] if long else []), *([ShortSearch(short)] if short else [])]
+        self.number = {w: i for i, w in enumerate({w for _, words in [*long, *short] for w in words})}
+        self.parts = [*(Search(m, self.number) for m in models), *([OverlapSearch(long, chosen, self.number)] if long else []), *([ShortSearch(short, self.number)] if short else [])]
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
-        """As ``Search.leaks``; of an item's passages in several parts the best counts."""
-        best: dict = {}
+        """As ``Search.leaks``; of an item's passages in several parts the best counts. Words are made and looked up once for all parts."""
+        words, best = words_of(text), {}
+        known = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        at = np.flatnonzero(known >= 0)
+        known = known[at]
         for part in self.parts:
-            for item, *found in part.leaks(text):
+            for item, *found in part.leaks(words, known, at):
                 if item not in best or found[1] > best[item][1]:
                     best[item] = found
         return [(item, *found) for item, found in best.items()]
