@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import decontaminate as D
 from threadloom.llm import simhash_dedup as S
 from threadloom.operators.graph import connected_components
+from threadloom.storage import materialize
 
 
 def brute_fp(text):
@@ -377,3 +378,27 @@ def test_passages_without_their_rarest_words_are_found(spark, share, inserted):
     docs, bench = spark.createDataFrame(planted, "doc_" + schema), spark.createDataFrame(items, "item_" + schema)
     found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect()}
     assert {(d, i) for d, (i, _) in enumerate(items)} <= found
+
+
+def test_exploded_rows_are_not_broadcast(make, spark, monkeypatch):
+    """Spark tells exploded rows by the size of what they were made of; 400,000 fingerprints of a few MB would be broadcast as eight million rows."""
+    plans = {}
+
+    def kept(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, tag)
+
+    monkeypatch.setattr(S, "materialize", kept)
+    rng = random.Random(7)
+    fps = [rng.getrandbits(62) for _ in range(40)]
+    pairs = S.hamming_links(spark.createDataFrame([(x,) for f in fps for x in (f, f ^ 5)], "fp bigint"))
+    assert {tuple(r) for r in pairs.collect()} >= {(min(f, f ^ 5), max(f, f ^ 5)) for f in fps}
+    plans["few"] = pairs._jdf.queryExecution().executedPlan().toString()
+    words = [f"w{i}" for i in range(60)]
+    classes, links = S.near_copy_links(make([" ".join(words), " ".join([*words[:59], "x"]), "other text of a few words"]))
+    assert links.count() == 1
+    for tag in ("blocks", "few", "open", "stars", "pairs"):
+        joins = [x for x in plans[tag].splitlines() if "Join" in x]
+        assert any("SortMergeJoin" in x for x in joins), tag
+    assert "BroadcastHashJoin" not in plans["blocks"] and "BroadcastHashJoin" not in plans["few"]
+    assert "LeftSemi" in plans["entries"] and "Inner" not in plans["entries"]

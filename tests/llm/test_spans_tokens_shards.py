@@ -81,6 +81,13 @@ def test_contexts_have_no_limit(make):
     assert len([c for c in learned(make(texts)) if c.endswith("ref: ")]) == 1100
 
 
+def test_exploded_candidates_are_not_broadcast(make, spark):
+    """The size of exploded candidates is told too low; only the contexts, in a semi join, may be broadcast."""
+    docs = make([f"badge no. A{i:07d}" for i in range(5)])
+    plan = pii.find_spans(docs, pii.scan(docs), spark.createDataFrame([(f"c {i}",) for i in range(5_000)], "context string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join Inner" not in plan
+
+
 def test_repeated_texts_keep_their_rows(make):
     got = pii.span_digest(make(["a@b.com x", "a@b.com x", None, None], [1, 1, 2, None])).collect()
     assert sorted((r["n_email"], r["spans"]) for r in got) == [(0, ""), (0, ""), (1, "email:0:7"), (1, "email:0:7")]

@@ -210,7 +210,8 @@ def find_spans(docs: DataFrame, scanned: DataFrame, contexts: DataFrame) -> Data
     else joins it by the text's key.
     """
     named = scanned.select("key", F.explode("found").alias("c")).select("key", "c.context", F.struct(F.lit(OTHER).alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end")).alias("s"))
-    named = named.join(contexts.select("context"), "context").groupBy("key").agg(F.array_sort(F.collect_list("s")).cast(_SPAN).alias("_found"))
+    # a context stands once; a semi join never broadcasts the exploded side, whose size Spark tells too low
+    named = named.join(contexts.select("context"), "context", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("s")).cast(_SPAN).alias("_found"))
     none = F.array().cast(_SPAN)
     known = scanned.select("key", F.col("base").alias("_base"), *(F.col(f"n_{k}").alias(f"_n_{k}") for k in KINDS)).join(named, "key", "left").where("size(_base) > 0 or _found is not null")
     # left rows keep their own columns under one name, so clashing names meet nothing

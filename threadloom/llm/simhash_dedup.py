@@ -125,11 +125,12 @@ def hamming_links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     masks = F.expr("array(" + ",".join(f"named_struct('t', {t}, 'm', {m}L)" for t, (m, _) in enumerate(_tables())) + ")")
     rows = distinct.select("fp", F.explode(masks).alias("k")).select(F.col("k.t").alias("t"), F.col("fp").bitwiseAND(F.col("k.m")).alias("block"), "fp")
     sizes = rows.groupBy("t", "block").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(rows.join(sizes, ["t", "block"]), "blocks")
+    # merged whatever their size: Spark counts none of the twenty rows that a fingerprint becomes, and would broadcast them
+    shared = materialize(rows.join(sizes.hint("merge"), ["t", "block"]), "blocks")
     few = shared.where(F.col("n") <= crowded)
     pairs = (
         few.alias("a")
-        .join(few.alias("b"), F.expr(f"a.t = b.t and a.block = b.block and a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {MAX_BITS}"))
+        .join(few.alias("b").hint("merge"), F.expr(f"a.t = b.t and a.block = b.block and a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {MAX_BITS}"))
         .select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
     )
     return pairs.unionByName(_crowded_links(shared.where(F.col("n") > crowded).select("t", "block", "fp")))
@@ -287,14 +288,15 @@ def _entries(classes: DataFrame) -> DataFrame:
     """``(shingle, key, size, pos)`` of prefix shingles that several texts share."""
     shared = classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(shared.select("shingle"), "shared")
-    return materialize(classes.select("key", "size", F.posexplode("prefix").alias("pos", "shingle")).join(shared, "shingle"), "entries")
+    # a semi join can only broadcast what is shared, whose size is that of its file; that of the exploded side is told too low
+    return materialize(classes.select("key", "size", F.posexplode("prefix").alias("pos", "shingle")).join(shared, "shingle", "left_semi"), "entries")
 
 
 def _open(entries: DataFrame, links: DataFrame, sketches: DataFrame) -> DataFrame:
     """Entries, with their roots and sketches, of shingles that texts of different components share."""
     rooted = materialize(_with_roots(entries, links), "rooted")
     several = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return materialize(rooted.join(several.select("shingle", "n"), "shingle").join(sketches, "key"), "open")
+    return materialize(rooted.join(several.select("shingle", "n").hint("merge"), "shingle").join(sketches, "key"), "open")
 
 
 def _could_reach(similar: float) -> Column:
@@ -363,14 +365,14 @@ def near_copy_links(docs: DataFrame, similar: float = SIMILAR, words: int = WORD
         # one member stands for each component of a bucket, another one in each bucket; that of the most frequent component is the centre
         members = entries.where("n > 2").groupBy("shingle", "root").agg(F.count("*").alias("m"), F.min_by(F.struct("key", "size", "pos", "sketch"), F.xxhash64("key", "shingle", F.lit(turn))).alias("c"))
         centre = members.groupBy("shingle").agg(F.max_by(F.struct("c.*", "root"), F.struct("m", "root")).alias("c")).select("shingle", "c.*")
-        pairs = entries.alias("a").join(centre.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & F.expr("a.root <> b.root") & _could_reach(similar))
+        pairs = entries.alias("a").join(centre.alias("b").hint("merge"), (F.col("a.shingle") == F.col("b.shingle")) & F.expr("a.root <> b.root") & _could_reach(similar))
         pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).select(*ordered).distinct()
         found = _verified(docs, classes, materialize(pairs, "stars"), similar, words)
         if found.isEmpty():
             break
         links = links.unionByName(found)
         entries = _open(entries.select("shingle", "key", "size", "pos"), links, sketches)
-    pairs = entries.alias("a").join(entries.alias("b"), F.expr("a.shingle = b.shingle and a.key < b.key and a.root <> b.root") & _could_reach(similar))
+    pairs = entries.alias("a").join(entries.alias("b").hint("merge"), F.expr("a.shingle = b.shingle and a.key < b.key and a.root <> b.root") & _could_reach(similar))
     pairs = materialize(pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct(), "pairs")
     return classes.select("key", "text_key", "first_id", "n"), links.unionByName(_verified(docs, classes, pairs, similar, words))
 
