@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators.pairs import all_partners, near_duplicate_bullets, partners, scored_pairs, similar_classes, similar_pairs, similar_sets, together
+from threadloom.operators.pairs import all_partners, near_duplicate_bullets, partners, probable_duplicates, scored_pairs, similar_classes, similar_pairs, similar_sets, together
 from threadloom.plans.registry import QUERIES
 
 SETS = "id long, place string, words array<string>, keys array<string>"
@@ -172,3 +172,33 @@ def test_pairs_of_a_large_group_are_scored_by_lists(spark, tmp_path, name):
     assert df.agg(F.count("*")).first()[0] == df.where("a < b").count() == 6_000 * 5_999 // 2
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") >= 2
+
+
+def one_person(v, w):
+    """The rule of similar names, written out."""
+    if len(v) < 2 or len(w) < 2:
+        return False
+    if len(v) <= len(w) and set(v) <= set(w) or len(w) <= len(v) and set(w) <= set(v):
+        return True
+    f, g = v[0], w[0]
+    begins = min(len(f), len(g)) >= 3 and (f.startswith(g) or g.startswith(f))
+    edits = f == g or any(f[:i] + f[i + 1 :] in (g, g[:i] + g[i + 1 :]) or f[:i] == g[:i] and f[i:] == g[i + 1 :] for i in range(max(len(f), len(g)) + 1))
+    return v[-1] == w[-1] and (begins or edits)
+
+
+def test_probable_duplicates_equal_brute_force(spark):
+    """Tokens of one name in the other, beginnings and single edits of first names; the same company, or someone else whom both meet."""
+    rng = random.Random(4)
+    names = ["ana ruiz", "ana ruiz gomez", "ruiz ana", "ben cole", "benjamin cole", "bo cole", "jon park", "john park", "jo park", "ann", "ann ann", "ann lee", "lee ann may"]
+    people = [(i, (n := rng.choice(names)), n.split(), rng.choice(["x", "y", "z", None])) for i in range(80)] + [(80, None, None, "x"), (81, "", [], "x")]
+    members = [(c, p) for c in range(25) for p in rng.sample(range(80), rng.choice([1, 2, 2, 3, 4]))] + [(None, 1), (1, None)]
+    meets = {}
+    for c, p in members:
+        for d, q in members:
+            if c == d and c is not None and None not in (p, q) and p != q:
+                meets.setdefault(p, set()).add(q)
+    similar = [(a, b) for a, b in combinations(people[:80], 2) if one_person(a[2], b[2])]
+    same = {(a[0], b[0]) for a, b in similar if a[3] and a[3] == b[3]}
+    through = {(a[0], b[0]) for a, b in similar if meets.get(a[0], set()) & meets.get(b[0], set())}
+    got = [(r["a"], r["b"]) for r in probable_duplicates(spark.createDataFrame(people, "id long, name string, tokens array<string>, company string"), spark.createDataFrame(members, "container int, person long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == same | through and through - same and same - through
